@@ -5,23 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm import language_id, near_dedup, packing, pieces
 from strandline.llm.exact_dedup import exact_duplicates
 from strandline.llm.sharding import reshard
 from strandline.llm.shared import documents
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents to the ids of a 32,000-piece vocabulary and back."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(documents(spark, sf_dir), model), model)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "score", F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"), F.length("text").cast("long").alias("decoded_chars"))
+
+
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, hashed over 32 old shards, put into 40 of equal bytes with the fewest bytes moved."""
     plan = reshard(documents(spark, sf_dir), new_shards=40, old_shards=32)
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose labels are not held out."""
+    docs, vocabulary = documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model")
+    held = language_id.held_out()
+    model = language_id.train(docs.filter(~held), vocabulary)
+    return language_id.identify(docs, model, vocabulary).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir), keep="largest")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte-level BPE ids in windows of 2048."""
+    import public_tokenizers
+
+    packed = packing.pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_resharding, op4_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_language_id, op4_exact_dedup, op5_minhash_near_dedup, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
