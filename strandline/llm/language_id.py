@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from strandline.llm.lattice import backward, forward, lattices
 
@@ -23,8 +24,6 @@ TRAIN_DOCS = 500
 ROUNDS, SMOOTHING, LONGEST_RUN, WORDS_KEPT = 3, 0.05, 40, 400_000
 UNDETERMINED = "und"
 
-PREDICTED = "doc_id long, lang_pred string, score double"
-
 
 class Vocabulary:
     """The lower-case letter pieces of a SentencePiece file, word starts marked by U+2581; the last id: any other letter."""
@@ -152,6 +151,22 @@ class Scorer:
         return pred, score
 
 
+def identify_rows(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score (see ``identify``) in place of columns so named."""
+    spread = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size for each language
+    rows = docs.drop("lang_pred", "score")
+
+    def predicted(batches):
+        scorer = Scorer(*spread.value, vocabulary(model_file))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                pred, score = scorer.score(part.column(text_col).to_pylist())
+                yield part.append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(score, pa.float64()))
+
+    return rows.mapInArrow(predicted, StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang_pred, score, from the whole text alone.
 
@@ -160,17 +175,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: s
     under equal priors. Repeated rows get equal values; an empty table gives an empty result; others of ``docs``'
     columns are not looked at.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size for each language
-
-    def predicted(batches):
-        scorer = Scorer(*spread.value, vocabulary(model_file))
-        for batch in batches:
-            texts = batch.column(1)
-            for i in range(0, max(1, len(texts)), 500):
-                pred, score = scorer.score(texts[i : i + 500].to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(predicted, PREDICTED)
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
+    return identify_rows(rows, model, model_file).select("doc_id", "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):
