@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language_id, near_dedup, packing, pieces
+from strandline.llm import html_text, language_id, line_dedup, near_dedup, packing, pieces, tiff, warc
 from strandline.llm.exact_dedup import exact_duplicates
 from strandline.llm.sharding import reshard
-from strandline.llm.shared import documents
+from strandline.llm.shared import documents, pages
 
 
 def tokenizer_file(name: str) -> str:
@@ -46,6 +46,21 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as TIFF files and read back."""
+    found = tiff.round_trip(documents(spark, sf_dir))
+    tail = F.crc32(F.expr("substring(payload, -16, 16)"))
+    return found.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records of archives, and the archives read back."""
+    files = warc.write_archives(warc.plan_records(pages(spark, sf_dir), min_bytes=1000), warc.archive_folder(spark))
+    records = warc.read_archives(spark, files).filter(F.col("record_type").isin("response", "revisit"))
+    page = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "intact")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as byte-level BPE ids in windows of 2048."""
     import public_tokenizers
@@ -54,8 +69,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents that occurred before, alike but for two edits."""
+    docs = documents(spark, sf_dir)
+    gone = line_dedup.repeated_lines(docs, max_edits=2, min_chars=20)
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    rows = docs.select("doc_id", lines.alias("n_lines")).join(gone, "doc_id", "left")
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    return rows.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.array_join(dropped.cast("array<string>"), ",").alias("dropped"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(pages(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_language_id, op4_exact_dedup, op5_minhash_near_dedup, op8_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_language_id, op4_exact_dedup, op5_minhash_near_dedup, op6_tiff, op7_warc, op8_packing, op9_line_dedup, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -64,4 +93,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+        "op9_line_dedup": """
+            WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+            o AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS no FROM l),
+            f AS (SELECT line, length(line) AS n, min(doc_id * 2147483648::HUGEINT + no) AS first FROM o WHERE length(line) >= 20 GROUP BY line),
+            near AS (SELECT DISTINCT a.line FROM f a JOIN f b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND b.first < a.first AND a.line <> b.line AND levenshtein(a.line, b.line) <= 2),
+            gone AS (SELECT o.doc_id, o.no FROM o JOIN f USING (line) WHERE f.first <> o.doc_id * 2147483648::HUGEINT + o.no OR o.line IN (SELECT line FROM near))
+            SELECT l.doc_id, len(parts) AS n_lines, count(gone.no) AS n_dropped, coalesce(string_agg(gone.no::VARCHAR, ',' ORDER BY gone.no), '') AS dropped
+            FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id GROUP BY l.doc_id, parts""",
     }
