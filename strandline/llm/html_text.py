@@ -52,7 +52,7 @@ LABELLED = [
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0), (3, 1.0, 3, 1.0, 40, 0.0, 0, 0, 0, 0), (6, 0.8, 5, 0.9, 5, 0.9, 0, 0, 1, 0),
     (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0, 0), (30, 0.9, 4, 1.0, 5, 1.0, 0, 0, 0, 0),
     (8, 0.1, 5, 0.5, 0, 0.0, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 0), (14, 0.7, 70, 0.0, 12, 0.8, 0, 0, 0, 0),
-    (7, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (1, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0), (12, 1.0, 40, 0.0, 9, 1.0, 0, 0, 1, 0),
+    (1, 1.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 1.0, 60, 0.0, 2, 0.0, 0, 0, 1, 0), (7, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (1, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0), (12, 1.0, 40, 0.0, 9, 1.0, 0, 0, 1, 0),
 ]
 
 

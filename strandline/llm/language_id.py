@@ -129,6 +129,8 @@ class Scorer:
                 self.known[c] = -1
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.langs:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         counted = [Counter((t or "").split()) for t in texts]
         fresh = {c for counts in counted for c in counts if c not in self.known}
         if len(self.known) + len(fresh) > WORDS_KEPT:
@@ -140,7 +142,7 @@ class Scorer:
             at = np.fromiter(map(self.known.__getitem__, counts), np.int64, len(counts))
             n = np.fromiter(counts.values(), np.int64, len(counts))[at >= 0]
             at = at[at >= 0]
-            if not len(at) or not self.langs:
+            if not len(at):
                 pred.append(UNDETERMINED)
                 score.append(0.0)
                 continue
