@@ -21,7 +21,9 @@ REFERENCE = r"(?i)\b(Table|Figure|Fig\.?)\s+(\d+)"
 CAPTION_GAP = 60.0
 DEFAULT_IMPORTANCE = 0.5
 
-_BY_DOC = Window.partitionBy("doc_id").orderBy("pos")
+
+def _by_doc():
+    return Window.partitionBy("doc_id").orderBy("pos")
 
 
 def _edges(rows: DataFrame, kind: str, confidence: float, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -34,12 +36,12 @@ def parent_edges(elements: DataFrame) -> DataFrame:
 
 
 def next_edges(elements: DataFrame) -> DataFrame:
-    return _edges(elements.withColumn("dst", F.lead("pos").over(_BY_DOC)).filter("dst is not null"), "next", 1.0, "pos")
+    return _edges(elements.withColumn("dst", F.lead("pos").over(_by_doc())).filter("dst is not null"), "next", 1.0, "pos")
 
 
 def question_edges(elements: DataFrame) -> DataFrame:
     """A question and the speech segment or paragraph after it, in both directions."""
-    rows = elements.withColumns({"dst": F.lead("pos").over(_BY_DOC), "after": F.lead("kind").over(_BY_DOC)})
+    rows = elements.withColumns({"dst": F.lead("pos").over(_by_doc()), "after": F.lead("kind").over(_by_doc())})
     text = F.rtrim("text")
     rows = rows.filter((text.endswith("?") | text.rlike(QUESTION)) & F.col("after").isin("speech_segment", "paragraph"))
     return _edges(rows, "answered_by", 0.9, "pos").union(_edges(rows, "question_for", 0.9, "dst", "pos"))
@@ -97,7 +99,7 @@ def reference_edges(elements: DataFrame, captions: DataFrame) -> DataFrame:
 
 def explaining_edges(elements: DataFrame) -> DataFrame:
     """A paragraph or list item of over 20 characters just before a table or figure explains it."""
-    rows = elements.withColumns({"before": F.lag("pos").over(_BY_DOC), "what": F.lag("kind").over(_BY_DOC), "said": F.lag("text").over(_BY_DOC)})
+    rows = elements.withColumns({"before": F.lag("pos").over(_by_doc()), "what": F.lag("kind").over(_by_doc()), "said": F.lag("text").over(_by_doc())})
     rows = rows.filter(F.col("kind").isin("table", "figure") & F.col("what").isin("paragraph", "list_item") & (F.length("said") > 20))
     return _edges(rows, "explains", 0.85, "before", "pos").union(_edges(rows, "illustrated_by", 0.85, "pos", "before"))
 
@@ -134,7 +136,7 @@ def heading_paths(elements: DataFrame) -> DataFrame:
     its level follows from the dots. Another pops unnumbered ones, gets one level more than the top or 2, and stays on the
     stack only if that is empty. The fold sees headings only; the others join by the number of headings before them.
     """
-    seen = elements.withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(_BY_DOC.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = elements.withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0)))
     heads = seen.filter("kind = 'heading'").select("doc_id", "section", "pos", "text", *(["level"] if "level" in elements.columns else []))
 
     def fold(pdf):
@@ -172,7 +174,7 @@ def heading_paths(elements: DataFrame) -> DataFrame:
 
 def surrounding_text(elements: DataFrame, min_chars: int = 40, max_chars: int = 320) -> DataFrame:
     """leading and trailing: the nearest paragraphs or list items of over ``min_chars`` before and after, up to a heading."""
-    rows = elements.withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(_BY_DOC.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = elements.withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0)))
     prose = F.when(F.col("kind").isin("paragraph", "list_item") & (F.length("text") > min_chars), F.substring("text", 1, max_chars))
     island = Window.partitionBy("doc_id", "section").orderBy("pos")
     before = F.last(prose, ignorenulls=True).over(island.rowsBetween(Window.unboundedPreceding, -1))
