@@ -321,6 +321,38 @@ def event_windows(spark, d):
     return video.event_windows(rows, scored).groupBy("doc_id", "window").agg(F.count(F.lit(1)).alias("elements"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def heading_scorecard(spark, d):
+    """How often a paragraph of a host is found with its heading: in sections, and in fixed windows."""
+    rows = graph.heading_paths(_hosts(spark, d))
+    heads = rows.filter("kind = 'heading'").select("doc_id", F.col("pos").alias("parent_pos"), F.col("text").alias("head"))
+    probes = rows.filter((F.col("kind") == "paragraph") & (F.length("text") >= 60)).join(heads, ["doc_id", "parent_pos"])
+    probes = probes.select("doc_id", F.col("pos").alias("probe_id"), F.lit("heading").alias("metric"), F.substring(norm(F.col("text")), 1, 80).alias("bearing"), F.substring(norm(F.col("head")), 1, 60).alias("wanted"))
+    units = _section_units(spark, d)
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("unit_id", "content"))), lambda x: x["content"]), "\n\n")
+    fixed = retrieval.fixed_windows(units.groupBy("doc_id").agg(texts.alias("text")))
+    score = lambda arm, df: quality.containment(probes, df.select("doc_id", norm(F.col("content")).alias("chunk"), F.lit(None).cast("string").alias("context"))).withColumn("arm", F.lit(arm))
+    return score("sections", units).unionByName(score("fixed", fixed))
+
+
+def tabular_units_customer(spark, d):
+    """Schema cards and row groups of the customers of each nation."""
+    table = _read(spark, d, "customer")
+    rows = sources.cells_of(table, "c_nationkey", ["c_custkey"])
+    cells = table.select(F.col("c_nationkey").alias("sheet"), F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(n).alias("name"), sources.as_text(n, t).alias("value")) for k, (n, t) in enumerate(table.dtypes)])).alias("c"))
+    profiles = tables.describe(tables.profile_columns(cells.select("sheet", "c.place", "c.name", "c.value"), ["sheet", "place", "name"]))
+    units = chunking.tabular_units(rows, profiles, HEADER, 300)
+    return units.select("sheet", "unit_id", "unit_type", F.md5("content").alias("digest"), "first_row", "last_row", "overflow", F.size("relations").alias("relations"), "n_tokens")
+
+
+def event_units(spark, d):
+    """Conversations' windows as events: every third turn is taken as a picture."""
+    rows = _seconds(_speech(spark, d, True)).withColumns({"region": F.lit(0), "kind": F.when(F.col("pos") % 3 == 2, "visual_event").otherwise("speech_segment")})
+    found = boundary.candidates(rows, graph.resolve(graph.next_edges(rows)), ["region"])
+    scored = found.select("doc_id", "pos", boundary.score(F.col("tokens_before"), F.col("loss")).alias("score"), "vetoed", "loss", F.col("multimodal_consensus").alias("consensus"))
+    units = chunking.event_units(video.event_windows(rows, scored))
+    return units.select("doc_id", "unit_id", F.md5("content").alias("digest"), "unit_type", "start_s", "end_s", "members", "fusion", "agreement")
+
+
 def queries() -> dict:
     own = [
         token_counts, normalize_probe, clean_documents, cleaning_report, clean_documents_nfkc, doc_profile, route_documents, anaphora_rate,
@@ -329,6 +361,6 @@ def queries() -> dict:
         *map(_column_profile, ("lineitem", "orders", "part", "customer")), row_groups_customer, schema_card_orders, overlap_edges,
         fusion_confidence, semantic_drift_groups, topk_search, retrieval_eval, completeness, unit_measures, cross_doc_links, usage_ledger,
         enrichment_batches, export_chroma, export_langchain, unit_hierarchy, paragraph_pack_units, structural_units, boundary_candidates,
-        event_windows,
+        event_windows, heading_scorecard, tabular_units_customer, event_units,
     ]
     return {f.__name__: f for f in own}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.text import body_rows, count_tokens, header_md, row_md
+from strandline.operators import tables, turns, video
 from strandline.operators.boundary import MAX_TOKENS, cut_regions
 
 
@@ -78,3 +80,85 @@ def export_chroma(units: DataFrame) -> DataFrame:
 def vector_rows(units: DataFrame) -> DataFrame:
     """What a vector store gets: a stable 64-bit key, the text to embed, and the payload."""
     return units.select(F.xxhash64("doc_id", "unit_id").alias("key"), "content", F.to_json(F.struct("doc_id", "unit_id", "unit_type")).alias("payload"))
+
+
+def tabular_units(rows: DataFrame, profiles: DataFrame, header: list[str], target: int | None = None) -> DataFrame:
+    """Units of sheets (``rows``: sheet, row_no, cells; ``profiles``: described columns by sheet): a schema card each, and
+    its row groups, linked both ways in ``relations``."""
+    groups = tables.group_units(rows, header, tables.row_groups(rows, header, target or tables.TARGET_TOKENS))
+    count = rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
+    lines = profiles.groupBy("sheet").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: F.concat(F.lit("  - "), x["line"])), "\n").alias("columns"))
+    head = F.concat(F.lit("Dataset: "), F.col("sheet").cast("string"), F.lit("\n"), F.format_number("n", 0), F.lit(f" rows × {len(header)} columns\n\nColumns:\n"), F.col("columns"))
+    link = lambda kind, to: F.struct(F.lit(kind).alias("type"), to.cast("int").alias("target"))
+    own = groups.groupBy("sheet").agg(F.sort_array(F.collect_list(link("schema_of", F.col("group") + 1))).alias("relations"))
+    cards = count.join(lines, "sheet").join(own, "sheet").select("sheet", F.lit(0).alias("unit_id"), F.lit("schema_card").alias("unit_type"), head.alias("content"), F.lit(None).cast("int").alias("first_row"), F.lit(None).cast("int").alias("last_row"), F.lit(False).alias("overflow"), "relations")
+    parts = groups.select("sheet", (F.col("group") + 1).cast("int").alias("unit_id"), F.lit("row_group").alias("unit_type"), "content", F.col("first_row").cast("int").alias("first_row"), F.col("last_row").cast("int").alias("last_row"), "overflow", F.array(link("has_schema", F.lit(0))).alias("relations"))
+    return cards.unionByName(parts).withColumn("n_tokens", count_tokens(F.col("content")))
+
+
+def split_floats(floats: DataFrame, target: int = 500, most: int = 700) -> DataFrame:
+    """Tables (doc_id, pos, grid, header_row, caption) as atomic units: whole if they have at most ``most`` tokens, else
+    in parts of rows, each with the caption and header again; a part is closed when the next row would pass ``target``."""
+    said = F.coalesce("caption", F.lit(""))
+    first = count_tokens(header_md(F.col("header_row"))) + count_tokens(said)
+    body = body_rows(F.col("grid"), F.col("header_row"))
+    rows = floats.withColumns({"body": body, "first": first})
+    costs = F.transform("body", lambda r: count_tokens(row_md(r)))
+    whole = F.col("first") + F.aggregate(costs, F.lit(0), lambda a, c: a + c)
+    group = F.when(whole <= most, F.array_repeat(F.lit(0), F.size("body"))).otherwise(tables.fold_groups(costs, F.col("first"), target))
+    rows = rows.withColumn("g", group).withColumn("parts", F.greatest(F.coalesce(F.array_max("g"), F.lit(0)), F.lit(0)) + 1)
+    rows = rows.select("doc_id", "pos", "header_row", said.alias("caption"), "body", "g", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = F.filter("body", lambda _, k: F.element_at("g", k + 1) == F.col("part"))
+    content = F.concat_ws("\n\n", F.when(F.col("caption") != "", F.col("caption")), F.concat_ws("\n", header_md(F.col("header_row")), F.array_join(F.transform(own, row_md), "\n")))
+    return rows.select("doc_id", "pos", "part", "parts", content.alias("content"), F.when(F.col("caption") != "", 1.0).otherwise(0.0).alias("caption_confidence"), count_tokens(content).alias("n_tokens"))
+
+
+def projected_relations(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """References between elements as references between their units (``members``: doc_id, pos, unit_id): one for each
+    target, none within a unit. An element in several units counts for the first."""
+    first = members.groupBy("doc_id", "pos").agg(F.min("unit_id").alias("unit_id"))
+    end = lambda at, name: first.select("doc_id", F.col("pos").alias(at), F.col("unit_id").alias(name))
+    rows = edges.filter("type = 'references'").join(end("src", "unit_id"), ["doc_id", "src"]).join(end("dst", "target_id"), ["doc_id", "dst"])
+    return rows.filter("unit_id != target_id").groupBy("doc_id", "unit_id", "target_id").agg(F.lit("references").alias("type"), F.max("confidence").alias("confidence"))
+
+
+def event_units(elements: DataFrame) -> DataFrame:
+    """Units of event windows (``elements`` with ``window``, t0, t1, speaker): speech and pictures with when they were,
+    how well they agree, and what the group of speech is."""
+    spoken, seen = F.col("kind") == "speech_segment", F.col("kind") == "visual_event"
+    texts = lambda which: F.transform(F.sort_array(F.collect_list(F.when(which, F.struct("pos", "text")))), lambda x: x["text"])
+    rows = elements.groupBy("doc_id", "window").agg(
+        *[f(F.when(k, F.col(t))).alias(n) for n, f, k, t in (("s0", F.min, spoken, "t0"), ("s1", F.max, spoken, "t1"), ("v0", F.min, seen, "t0"), ("v1", F.max, seen, "t1"))],
+        F.array_join(texts(spoken), " ").alias("said"), texts(seen).alias("shown"), F.min_by("speaker", F.when(spoken & F.col("speaker").isNotNull(), F.col("pos"))).alias("speaker"), F.count(F.lit(1)).alias("members"),
+    )
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("fusion", video.fusion(F.col("s0"), F.col("s1"), F.col("v0"), F.col("v1"), none, none)).withColumn("agreement", video.fusion_label(F.col("fusion")))
+    types = turns.conversational_type(elements.filter(spoken), ["doc_id", "window"]).select("doc_id", "window", "type")
+    rows = rows.join(types, ["doc_id", "window"], "left")
+    event = F.size("shown") > 0
+    kind = F.when(event & F.coalesce(F.col("type").isin("narrative", "speaker_turn", "discussion"), F.lit(True)), "video_event").otherwise(F.col("type"))
+    text = video.content(F.col("speaker"), F.col("said"), F.col("v0"), F.col("v1"), F.col("shown"), F.col("agreement"))
+    return rows.select("doc_id", F.col("window").alias("unit_id"), text.alias("content"), kind.alias("unit_type"), F.least("s0", "v0").alias("start_s"), F.greatest("s1", "v1").alias("end_s"), "speaker", "members", "fusion", "agreement")
+
+
+def export_llamaindex(units: DataFrame, relations: DataFrame) -> DataFrame:
+    """id_, text, extra_info and relationships (JSON); of several relations of a type the last target by number stays."""
+    last = relations.groupBy("doc_id", "unit_id", "type").agg(F.max("target_id").alias("target_id")).groupBy("doc_id", "unit_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", F.col("target_id").cast("string"))))).alias("r"))
+    rows = units.join(last, ["doc_id", "unit_id"], "left")
+    return rows.select(F.concat_ws(":", "doc_id", "unit_id").alias("id_"), F.col("content").alias("text"), F.to_json(F.struct("unit_type", "n_tokens")).alias("extra_info"), F.coalesce(F.to_json("r"), F.lit("{}")).alias("relationships"))
+
+
+def export_qdrant(units: DataFrame) -> DataFrame:
+    payload = F.to_json(F.struct(F.col("content").alias("document"), "unit_type", "strategy", "n_tokens"))
+    return units.select(F.xxhash64("doc_id", "unit_id").alias("id"), payload.alias("payload"))
+
+
+def write_artifacts(path: str, **frames: DataFrame) -> None:
+    """Each frame (units, edges, profiles ...) as JSON lines in a folder of its name."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def totals(units: DataFrame) -> DataFrame:
+    """One row: units, tokens, those over a unit's size, and the share of each strategy's units that overflow."""
+    return units.agg(F.count(F.lit(1)).alias("units"), F.sum("n_tokens").alias("n_tokens"), F.count_if("overflow").alias("overflowing"), F.round(100 * F.count_if(~F.col("overflow")) / F.greatest(F.count(F.lit(1)), F.lit(1)), 1).alias("fitting_pct"))

@@ -26,6 +26,10 @@ units AS (SELECT doc_id, section AS unit_id, string_agg(text, chr(10) || chr(10)
   CASE WHEN arg_min(kind, pos) = 'heading' THEN 'section' ELSE 'narrative' END AS unit_type FROM el GROUP BY ALL)"""
 
 
+def _norm(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'))"
+
+
 def speech(asking: bool) -> str:
     text = ASKING if asking else "text"
     return f"""s0 AS (SELECT conv_id AS doc_id, turn, {text} AS text, role AS speaker FROM conversations),
@@ -202,6 +206,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, unit_id, round(passed / applying, 3) AS completeness FROM v""",
         "unit_measures": f"""WITH {HOSTS} SELECT doc_id, count(*) AS units, CASE WHEN count(*) <= 1 THEN 1.0 ELSE round(count(*) FILTER (unit_id % 2 = 1 OR unit_id % 4 = 0) / count(*), 3) END::DOUBLE AS coherence,
             round(count(*) FILTER (n_tokens < 40) / count(*), 3) AS fragmentation, round(stddev_pop(n_tokens), 2) AS size_stddev FROM units GROUP BY doc_id""",
+        "heading_scorecard": f"""WITH {HOSTS}, p AS (SELECT e.doc_id, e.pos, substring({_norm('e.text')}, 1, 80) AS bearing, substring({_norm('h.text')}, 1, 60) AS wanted FROM el e JOIN el h ON h.doc_id = e.doc_id AND h.section = e.section AND h.kind = 'heading' WHERE e.kind = 'paragraph' AND length(e.text) >= 60),
+            w AS (SELECT doc_id, regexp_extract_all(string_agg(content, chr(10) || chr(10) ORDER BY unit_id), {TOKENS}) AS t FROM units GROUP BY doc_id), ws AS (SELECT doc_id, t, unnest(generate_series(0, len(t) - 1, 448)) AS start FROM w),
+            ch AS (SELECT 'sections' AS arm, doc_id, {_norm('content')} AS chunk FROM units UNION ALL SELECT 'fixed', doc_id, {_norm("array_to_string(t[start + 1 : start + 512], ' ')")} FROM ws),
+            o AS (SELECT a.arm, p.doc_id, p.pos, coalesce(bool_or(contains(chunk, wanted)) FILTER (bearing <> '' AND contains(chunk, bearing)), false) AS ok FROM p CROSS JOIN (VALUES ('sections'), ('fixed')) a(arm) LEFT JOIN ch ON ch.doc_id = p.doc_id AND ch.arm = a.arm GROUP BY ALL)
+            SELECT 'heading' AS metric, count(*) FILTER (ok) AS hits, count(*) AS total, round(100 * count(*) FILTER (ok) / count(*), 1) AS pct, arm FROM o GROUP BY arm""",
         "cross_doc_links": """WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS doc_id FROM pages), u AS (SELECT a.page_id, a.doc_id, b.doc_id AS other FROM h a JOIN h b ON b.page_id = a.page_id + 1),
             t AS (SELECT doc_id, max(page_id) AS target_id FROM u GROUP BY doc_id) SELECT u.doc_id, page_id AS unit_id, other AS target_doc, target_id, 'references' AS type, 0.85::DOUBLE AS confidence FROM u JOIN t ON t.doc_id = u.other WHERE u.doc_id <> u.other""",
         "usage_ledger": """WITH c AS (SELECT (['gemini-2.5-flash', 'gemini-2.5-flash-lite', 'gemini-2.0-flash', 'ollama/small', 'unknown-1'])[user_id % 5 + 1] AS model, event_id % 997 AS i, event_id % 101 AS o, event_id % 53 AS k FROM events),
