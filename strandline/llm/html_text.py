@@ -27,7 +27,7 @@ MAIN = set("article main".split())
 CLOSED_BY_BLOCK = set("p h1 h2 h3 h4 h5 h6".split())
 
 # Words in class, id and role that name what is not main text, and what is.
-BOILER_HINT = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|respond|discussion|replies|disqus|side-?bar|widget\w*|nav\w*|menu|menubar|breadcrumbs?|pagination|pager|footer|site-?header|page-?header|masthead|topbar|header|related|recommend\w*|share|sharing|social|tags?|toolbar|search|skip\w*|print|copyright|legal|disclaimer|complementary|contentinfo|navigation)(?:[^a-z]|$)", re.I)
+BOILER_HINT = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|noticebar|alerts?|popup\w*|modal|overlay|newsletter\w*|subscribe|subscription|signup|login|comment(?:s|list|box|thread|area|section|form|wrap)?|respond|discussion|replies|disqus|side-?bar\w*|widget\w*|nav\w*|menu|menubar|breadcrumbs?|pagination|pager|footer\w*|site-?header|page-?header|masthead|topbar|header|related|recommend\w*|share|sharing|social|tags?|toolbar|search|skip\w*|print|copyright|legal|disclaimer|complementary|contentinfo|navigation)(?:[^a-z]|$)", re.I)
 MAIN_HINT = re.compile(r"(?:^|[^a-z])(?:article\w*|entry-?content|post-?(?:content|body)|story\w*|main-?(?:content|text)?|content-?body|body-?text)(?:[^a-z]|$)", re.I)
 
 FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "boiler", "main", "prose")
