@@ -3,7 +3,8 @@
 Distinct lines come first, each with the place of its first occurrence. A line is split into ``max_edits`` + 1 even
 segments: a line within ``max_edits`` edits has one of them unchanged, at nearly the same place. So the segments are
 indexed by (length of the line, number of the segment, characters), and each line probes, for the lengths a little
-below its own, only the substrings whose place can agree. Candidates are verified by Spark's edit distance with a
+below its own, only the substrings whose place can agree. Candidates whose letter counts differ by more than the edits
+could make them are left out while they are found, the others are verified by Spark's edit distance with a
 threshold, which computes only the band around the diagonal (in code points; Spark has no bit-parallel form).
 
 Lines with over a quarter of a partition's share of all occurrences are few by pigeonhole: their decisions are
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from strandline.llm.shared import shuffle_partitions, written
 
 MAX_EDITS, MIN_CHARS, HOT_SHARE = 2, 20, 4
+#: Candidates whose counts of these are too far apart are no candidates.
+LETTERS = " aeioundrstlhcmg"
 LINE = ["h1", "h2"]
 
 
@@ -30,6 +33,25 @@ def _segment(length: Column, number: int, max_edits: int) -> tuple[Column, Colum
     return short * (number - 1) + extra + 1, short + (F.lit(number) > parts - longer).cast("int")
 
 
+def _counts() -> Column:
+    """How often each of LETTERS occurs in a line, modulo 16, as the hexadecimal digits of a long."""
+    packed = F.lit(0).cast("long")
+    for k, letter in enumerate(LETTERS):
+        n = F.col("n") - F.length(F.replace("line", F.lit(letter)))
+        packed = packed.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(15)), 4 * k))
+    return packed
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """At most the sum of the differences of two lines' letter counts; an edit changes that by two or less."""
+    total = F.lit(0)
+    for k in range(len(LETTERS)):
+        digit = lambda c: F.shiftrightunsigned(c, 4 * k).bitwiseAND(F.lit(15))  # noqa: B023, E731
+        d = (digit(x) - digit(y)).bitwiseAND(F.lit(15))
+        total = total + F.least(d, 16 - d)
+    return total
+
+
 def _index(max_edits: int) -> Column:
     keys = []
     for i in range(1, max_edits + 2):
@@ -72,13 +94,17 @@ def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
         raise ValueError("lines must be longer than the edits between them")
     every = occurrences(docs, id_col, text_col, min_chars)
     lines = every.groupBy(*LINE).agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("count"), F.first("line").alias("line"), F.first("n").alias("n"))
-    lines = lines.withColumn("at", F.struct("first", "h1", "h2"))
-
-    index = lines.select(F.col("h1").alias("a"), F.explode(_index(max_edits)).alias("key"))
-    probe = lines.select(F.col("h1").alias("b"), F.explode(F.array_distinct(_probes(max_edits))).alias("key"))
-    pairs = index.join(probe, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("la"), F.col("at").alias("pa")), "a")
-    both = left.join(lines.select(F.col("h1").alias("b"), F.col("line").alias("lb"), F.col("at").alias("pb")), "b")
+    lines = written(lines.withColumns({"at": F.struct("first", "h1", "h2"), "counts": _counts()}), "distinct-lines")
+
+    index = lines.select(F.col("h1").alias("a"), F.col("counts").alias("ca"), F.explode(_index(max_edits)).alias("key"))
+    probe = lines.select(F.col("h1").alias("b"), F.col("counts").alias("cb"), F.explode(F.array_distinct(_probes(max_edits))).alias("key"))
+    alike = (F.col("a") != F.col("b")) & (_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits)
+    pairs = index.join(probe.hint("merge"), "key").filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    named = written(lines.join(ends.hint("merge"), "h1", "left_semi").select("h1", "line", "at"), "candidate-lines")
+    left = pairs.join(named.select(F.col("h1").alias("a"), F.col("line").alias("la"), F.col("at").alias("pa")), "a")
+    both = left.join(named.select(F.col("h1").alias("b"), F.col("line").alias("lb"), F.col("at").alias("pb")), "b")
     linked = both.filter(F.levenshtein("la", "lb", max_edits) >= 0)
     linked = linked.select(F.explode(F.array(F.struct(F.col("pa").alias("own"), (F.col("pb") < F.col("pa")).alias("later")), F.struct(F.col("pb").alias("own"), (F.col("pa") < F.col("pb")).alias("later")))).alias("e"))
     linked = linked.groupBy(F.col("e.own.h1").alias("h1"), F.col("e.own.h2").alias("h2")).agg(F.bool_or("e.later").alias("later"), F.count(F.lit(1)).alias("links"))
