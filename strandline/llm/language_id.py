@@ -9,6 +9,7 @@ maximisation on a sample of the labelled rows of about ``TRAIN_DOCS`` a language
 from __future__ import annotations
 
 from collections import Counter
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from strandline.llm.lattice import backward, forward, lattices
+from strandline.llm.lattice import PieceTable, backward, forward, lattices
 
 #: The bound of the sample that the model is fitted on: labelled documents of a language, in expectation.
 TRAIN_DOCS = 500
-ROUNDS, SMOOTHING, LONGEST_RUN, WORDS_KEPT = 3, 0.05, 40, 400_000
+ROUNDS, SMOOTHING, LONGEST_RUN, WORDS_KEPT = 3, 0.05, 40, 1_000_000
 UNDETERMINED = "und"
 
 
@@ -37,7 +38,7 @@ class Vocabulary:
         pieces = [p for p in pieces if (b := p.removeprefix("▁")) == "" or b.isalpha() and b == b.lower()]
         self.ids = {p: k for k, p in enumerate(pieces) if p}
         self.unknown = len(self.ids)
-        self.longest = max(map(len, self.ids))
+        self.table = PieceTable(self.ids)
         self.letters = regex.compile(r"\p{L}+")
 
     def words(self, chunk: str) -> list[str]:
@@ -63,7 +64,7 @@ def fit(counts: Counter, vocab: Vocabulary) -> np.ndarray:
     prob = np.append(np.full(size, 1 / size), 0.0)[:, None]
     for _ in range(ROUNDS):
         expected = np.zeros(size + 1)
-        for own, grid in lattices(words, vocab.ids, vocab.longest, vocab.unknown):
+        for own, grid in lattices(words, vocab.table, vocab.unknown):
             alpha, beta = forward(grid, prob), backward(grid, prob)
             scale = weight[own] / alpha[:, -1, 0]
             for end in range(1, grid.shape[1] + 1):
@@ -99,34 +100,49 @@ def train(labelled: DataFrame, model_file: str, text_col: str = "text", lang_col
     return [r.lang for r in found], np.array([r.prob for r in found]).T
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(name: str, spread, model_file: str) -> Scorer:
+    """A worker's scorer of a broadcast model; what it has learned serves the worker's next tasks."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(*spread.value, vocabulary(model_file))
+    return _SCORERS[name]
+
+
 class Scorer:
     def __init__(self, langs: list[str], prob: np.ndarray, vocab: Vocabulary):
         self.langs, self.prob, self.vocab = langs, prob, vocab
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.logs = np.zeros((1, len(langs)))
-        self.size = 1
+        self.words: dict[str, int] = {}
+        self.logs, self.size = np.zeros((1, len(self.langs))), 1
 
     def learn(self, chunks: list[str]) -> None:
-        """Log-probabilities of chunks (words of a text with what sticks to them); one without letters gets index -1."""
-        if len(self.known) + len(chunks) > WORDS_KEPT:
-            self.known, self.size = {}, 1
+        """Log-probabilities of chunks (words of a text with what sticks to them); one without letters gets index -1.
+
+        Chunks of one word share the word's row, which the forward algorithm fills once.
+        """
         own = [self.vocab.words(c) for c in chunks]
-        words = [w for ws in own for w in ws]
-        logs = np.zeros((len(words), len(self.langs)))
-        for k, grid in lattices(words, self.vocab.ids, self.vocab.longest, self.vocab.unknown):
+        words = list({w for ws in own for w in ws if w not in self.words})
+        room = self.size + len(words) + len(chunks)
+        if room > len(self.logs):
+            self.logs = np.concatenate([self.logs[: self.size], np.zeros((room, len(self.langs)))])
+        for k, grid in lattices(words, self.vocab.table, self.vocab.unknown):
             for i in range(0, len(k), 4096):
-                logs[k[i : i + 4096]] = np.log(forward(grid[i : i + 4096], self.prob)[:, -1])
-        if self.size + len(chunks) > len(self.logs):
-            self.logs = np.concatenate([self.logs[: self.size], np.zeros((max(self.size, len(chunks)) + 1024, len(self.langs)))])
-        at = 0
+                self.logs[self.size + k[i : i + 4096]] = np.log(forward(grid[i : i + 4096], self.prob)[:, -1])
+        self.words.update(zip(words, range(self.size, self.size + len(words))))
+        self.size += len(words)
         for c, ws in zip(chunks, own):
-            if ws:
-                self.logs[self.size] = logs[at : at + len(ws)].sum(0) if len(ws) > 1 else logs[at]
+            if len(ws) > 1:
+                self.logs[self.size] = self.logs[[self.words[w] for w in ws]].sum(0)
                 self.known[c] = self.size
                 self.size += 1
-                at += len(ws)
             else:
-                self.known[c] = -1
+                self.known[c] = self.words[ws[0]] if ws else -1
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.langs:
@@ -134,7 +150,7 @@ class Scorer:
         counted = [Counter((t or "").split()) for t in texts]
         fresh = {c for counts in counted for c in counts if c not in self.known}
         if len(self.known) + len(fresh) > WORDS_KEPT:
-            self.known, self.size = {}, 1
+            self.forget()
             fresh = set().union(*counted)
         self.learn(list(fresh))
         pred, score = [], []
@@ -157,9 +173,10 @@ def identify_rows(docs: DataFrame, model: tuple[list[str], np.ndarray], model_fi
     """``docs`` with lang_pred and score (see ``identify``) in place of columns so named."""
     spread = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size for each language
     rows = docs.drop("lang_pred", "score")
+    name = sha256(repr((model[0], model_file)).encode() + model[1].tobytes()).hexdigest()
 
     def predicted(batches):
-        scorer = Scorer(*spread.value, vocabulary(model_file))
+        scorer = scorer_of(name, spread, model_file)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)

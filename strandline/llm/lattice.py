@@ -6,25 +6,50 @@ from collections import defaultdict
 
 import numpy as np
 
+BASE = 0x9E3779B97F4A7C15 | 1
+_MASK = (1 << 64) - 1
 
-def lattices(words: list[str], ids: dict[str, int], longest: int, unknown: int):
+
+class PieceTable:
+    """Looks up pieces by a 64-bit polynomial hash of their characters, a sorted table for each length."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.longest = max(map(len, ids), default=1)
+        self.power = np.array([pow(BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        own: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for piece, k in ids.items():
+            h = 0
+            for c in piece:
+                h = (h * BASE + ord(c)) & _MASK
+            own[len(piece)].append((h, k))
+        self.hashes = {n: np.array([h for h, _ in sorted(x)], np.uint64) for n, x in own.items()}
+        self.ids = {n: np.array([k for _, k in sorted(x)], np.int64) for n, x in own.items()}
+
+    def find(self, n: int, h: np.ndarray) -> np.ndarray:
+        """The ids of pieces of ``n`` characters with these hashes, -1 where there is none."""
+        if n not in self.hashes:
+            return np.full(h.shape, -1)
+        at = np.minimum(np.searchsorted(self.hashes[n], h), len(self.hashes[n]) - 1)
+        return np.where(self.hashes[n][at] == h, self.ids[n][at], -1)
+
+
+def lattices(words: list[str], table: PieceTable, unknown: int):
     """Groups of words of one length: (their indices, grid); grid[w, end, n - 1]: the piece of n characters that ends
     before ``end + 1``, or -1. A character that no piece covers alone is the piece ``unknown``."""
     by_length = defaultdict(list)
     for k, w in enumerate(words):
         by_length[len(w)].append(k)
-    get = ids.get
     for n, own in by_length.items():
-        most = min(n, longest)
-        flat = []
-        for k in own:
-            w = words[k]
-            for end in range(1, n + 1):
-                row = [get(w[end - m : end], -1) if m <= end else -1 for m in range(1, most + 1)]
-                if row[0] < 0:
-                    row[0] = unknown
-                flat += row
-        yield np.array(own), np.array(flat, np.int64).reshape(len(own), n, most)
+        codes = np.array([words[k] for k in own], f"<U{n}").view("<u4").reshape(len(own), n).astype(np.uint64)
+        prefix = np.zeros((len(own), n + 1), np.uint64)
+        for end in range(n):
+            prefix[:, end + 1] = prefix[:, end] * np.uint64(BASE) + codes[:, end]
+        most = min(n, table.longest)
+        grid = np.full((len(own), n, most), -1, np.int64)
+        for m in range(1, most + 1):
+            grid[:, m - 1 :, m - 1] = table.find(m, prefix[:, m:] - prefix[:, : n + 1 - m] * table.power[m])
+        grid[:, :, 0][grid[:, :, 0] < 0] = unknown
+        yield np.array(own), grid
 
 
 def forward(grid: np.ndarray, prob: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from strandline.llm import language_id
-from strandline.llm.lattice import backward, forward, lattices
+from strandline.llm.lattice import PieceTable, backward, forward, lattices
 from strandline.llm.queries import tokenizer_file
 
 
@@ -21,7 +21,7 @@ def test_forward_sums_all_segmentations():
                     parts.append(word[at:k])
                     at = k
             total += math.prod(prob[pieces[p], 0] if p in pieces else (0.01 if len(p) == 1 else 0.0) for p in parts)
-        (_, grid), = lattices([word], pieces, 3, 5)
+        (_, grid), = lattices([word], PieceTable(pieces), 5)
         assert forward(grid, prob)[0, -1, 0] == pytest.approx(total)
         assert backward(grid, prob)[0, 0, 0] == pytest.approx(total)
 
