@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from strandline.llm.lattice import PieceTable, lattices
 from strandline.llm.shared import written
 
-CHUNK_CHARS, BLOCK_CHUNKS, WORDS_KEPT = 32_768, 256, 400_000
+CHUNK_CHARS, BLOCK_CHUNKS, WORDS_KEPT, LONGEST_KNOWN = 32_768, 256, 800_000, 60
 NEVER = -(1 << 60)
 #: A piece covers at most so many characters, so a boundary has as many states.
 STATES = 16
@@ -55,6 +56,11 @@ class Pieces:
         if any("▁" in p.lstrip("▁") for p in self.ids):
             raise ValueError("a piece goes on after a word's end")
         self.known: dict[str, tuple[bytes, int]] = {}
+        self.unknown = sp.get_piece_size()
+        self.table = PieceTable({p: k for p, (k, _) in self.ids.items()})
+        self.scores = np.full(self.unknown + 2, NEVER)  # the last for -1, no piece
+        self.scores[[k for k, _ in self.ids.values()]] = [v for _, v in self.ids.values()]
+        self.scores[self.unknown] = UNKNOWN_SCORE
 
     def best(self, text: str, entry: np.ndarray | None = None, core: int | None = None):
         """Greatest scores of each place from 0 to len(text), and the length of the piece that ends there; of equal
@@ -97,12 +103,51 @@ class Pieces:
         if found is None:
             score, last = self.best(word)
             found = np.array(self.trace(word, last, len(word)), "<u4").tobytes(), score[-1]
-            if len(word) <= 100:
+            if len(word) <= LONGEST_KNOWN:
                 if len(self.known) >= WORDS_KEPT:
                     self.known.clear()
                 self.known[word] = found
         return found
 
+    def learn(self, texts: list[str]) -> None:
+        """Segments the new words of texts together, so that ``unit`` knows them."""
+        fresh = {w for t in texts for w in self.words_of(t) if w not in self.known and len(w) <= LONGEST_KNOWN}
+        if len(self.known) + len(fresh) > WORDS_KEPT:
+            self.known.clear()
+            fresh = {w for t in texts for w in self.words_of(t) if len(w) <= LONGEST_KNOWN}
+        words = list(fresh)
+        for own, grid in lattices(words, self.table, self.unknown):
+            for k in range(0, len(own), 4096):
+                self._segment([words[i] for i in own[k : k + 4096]], grid[k : k + 4096])
+
+    def _segment(self, words: list[str], grid: np.ndarray) -> None:
+        count, n, most = grid.shape
+        score, last = np.full((count, n + 1), NEVER), np.zeros((count, n + 1), np.int64)
+        score[:, 0] = 0
+        for end in range(1, n + 1):
+            for m in range(min(most, end), 0, -1):  # of equal ones the longest piece
+                value = score[:, end - m] + self.scores[grid[:, end - 1, m - 1]]
+                better = value > score[:, end]
+                score[better, end], last[better, end] = value[better], m
+        at, row, steps = np.full(count, n), np.arange(count), []
+        while at.any():
+            m = last[row, at]
+            steps.append(np.where(at > 0, grid[row, at - 1, m - 1], -1))
+            at = at - m
+        ids = np.array(steps[::-1]).T
+        sizes, odd = np.cumsum((ids >= 0).sum(1)).tolist(), (ids == self.unknown).any(1).tolist()
+        flat, start = ids[ids >= 0].astype("<u4").tobytes(), 0
+        for w, size, total, other in zip(words, sizes, score[:, n].tolist(), odd):
+            if not other:  # characters without a piece become bytes, one word at a time
+                self.known[w] = flat[4 * start : 4 * size], total
+            start = size
+
+    def words_of(self, text: str) -> list[str]:
+        if not text:
+            return []
+        words = text.split(" ")
+        return UNITS.findall("▁" + text.replace(" ", "▁")) if "" in words or "▁" in text else ["▁" + w for w in words]
+
     def encode(self, text: str) -> tuple[bytes, int]:
         if not text:
             return b"", 0
@@ -181,9 +226,11 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model_file)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                found = [pieces.encode(t or "") for t in part.column(1).to_pylist()]
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                pieces.learn(texts)
+                found = [pieces.encode(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64())], ["doc_id", "ids", "score"])
 
     giants = rows.filter(~small).select("doc_id", F.concat(F.lit("▁"), F.replace("text", F.lit(" "), F.lit("▁"))).alias("text"), F.xxhash64("text").alias("h"))
