@@ -7,6 +7,9 @@ below its own, only the substrings whose place can agree. Candidates whose lette
 could make them are left out while they are found, the others are verified by Spark's edit distance with a
 threshold, which computes only the band around the diagonal (in code points; Spark has no bit-parallel form).
 
+Shorter lines than the edits are meant for can take part by exact comparison only: they are grouped by their hashes like all
+others, and left out of the segments.
+
 Lines with over a quarter of a partition's share of all occurrences are few by pigeonhole: their decisions are
 broadcast, so that no task gets all occurrences of a frequent line.
 """
@@ -22,6 +25,8 @@ MAX_EDITS, MIN_CHARS, HOT_SHARE = 2, 20, 4
 #: Candidates whose counts of these are too far apart are no candidates.
 LETTERS = " aeioundrstlhcmg"
 LINE = ["h1", "h2"]
+#: A line without such a character is empty.
+INK = r"[^\s\x0B]"
 
 
 def _segment(length: Column, number: int, max_edits: int) -> tuple[Column, Column]:
@@ -80,24 +85,28 @@ def _place() -> Column:
     return F.coalesce(place.cast("decimal(38,0)"), F.lit("9" * 37).cast("decimal(38,0)"))
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """The lines of at least ``min_chars`` characters: doc_id, no (from 0), line, n, and two hashes as its key."""
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
+    """The lines of at least ``min_chars`` characters, with ``exact_short`` all that are not empty: doc_id, no (from 0), line,
+    n, and two hashes as its key."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("no", "line"))
-    lines = lines.withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
+    wanted = F.col("n") >= min_chars
+    lines = lines.withColumn("n", F.length("line")).filter(wanted | F.col("line").rlike(INK) if exact_short else wanted)
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_short: bool = False) -> DataFrame:
     """For each distinct line: h1, h2, count, first (its first occurrence's place), later (a line within ``max_edits``
-    edits has its first occurrence before this one's), links (such lines before or after)."""
+    edits has its first occurrence before this one's), links (such lines before or after). Lines of less than ``min_chars``
+    characters, there with ``exact_short``, have no links."""
     if min_chars <= max_edits:
         raise ValueError("lines must be longer than the edits between them")
-    every = occurrences(docs, id_col, text_col, min_chars)
+    every = occurrences(docs, id_col, text_col, min_chars, exact_short)
     lines = every.groupBy(*LINE).agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("count"), F.first("line").alias("line"), F.first("n").alias("n"))
     lines = written(lines.withColumns({"at": F.struct("first", "h1", "h2"), "counts": _counts()}), "distinct-lines")
 
-    index = lines.select(F.col("h1").alias("a"), F.col("counts").alias("ca"), F.explode(_index(max_edits)).alias("key"))
-    probe = lines.select(F.col("h1").alias("b"), F.col("counts").alias("cb"), F.explode(F.array_distinct(_probes(max_edits))).alias("key"))
+    long = lines.filter(F.col("n") >= min_chars) if exact_short else lines
+    index = long.select(F.col("h1").alias("a"), F.col("counts").alias("ca"), F.explode(_index(max_edits)).alias("key"))
+    probe = long.select(F.col("h1").alias("b"), F.col("counts").alias("cb"), F.explode(F.array_distinct(_probes(max_edits))).alias("key"))
     alike = (F.col("a") != F.col("b")) & (_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits)
     pairs = index.join(probe.hint("merge"), "key").filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "candidates")
@@ -111,16 +120,17 @@ def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     return lines.select(*LINE, "first", "count").join(linked, LINE, "left").select(*LINE, "first", "count", F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_short: bool = False) -> DataFrame:
     """doc_id, dropped (the numbers of its repeated lines, ascending) for each document that has any.
 
     A line is repeated if the same line, or one within ``max_edits`` edits (code points), occurs before it: in a
-    document with a smaller id, or higher up in its own. Lines of less than ``min_chars`` characters are never repeated.
+    document with a smaller id, or higher up in its own. Lines of less than ``min_chars`` characters are
+    repeated only with ``exact_short``, and then only by the same line; lines of white space alone never are, if they are short.
     Null and empty texts have none. Rows with equal ids count as one document; rows without an id come after all others
     and count as one place. An empty table gives an empty result; other columns are not looked at.
     """
-    decided = written(line_decisions(docs, max_edits, min_chars, id_col, text_col), "lines")
-    every = occurrences(docs, id_col, text_col, min_chars).select("doc_id", "no", *LINE)
+    decided = written(line_decisions(docs, max_edits, min_chars, id_col, text_col, exact_short), "lines")
+    every = occurrences(docs, id_col, text_col, min_chars, exact_short).select("doc_id", "no", *LINE)
     rows = decided.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     share = max(1, rows // (HOT_SHARE * shuffle_partitions(docs.sparkSession)))
     hot = F.broadcast(decided.filter(F.col("count") > share))  # fewer than HOT_SHARE * partitions + 1

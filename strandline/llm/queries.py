@@ -71,8 +71,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all documents that occurred before, alike but for two edits."""
-    docs = documents(spark, sf_dir)
-    gone = line_dedup.repeated_lines(docs, max_edits=2, min_chars=20)
+    return _repeated_lines(documents(spark, sf_dir))
+
+
+def op9_line_dedup_short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_line_dedup, and lines of less than 20 characters that are the same as one before."""
+    return _repeated_lines(documents(spark, sf_dir), exact_short=True)
+
+
+def _repeated_lines(docs: DataFrame, **options) -> DataFrame:
+    gone = line_dedup.repeated_lines(docs, max_edits=2, min_chars=20, **options)
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     rows = docs.select("doc_id", lines.alias("n_lines")).join(gone, "doc_id", "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
@@ -84,7 +92,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_language_id, op4_exact_dedup, op5_minhash_near_dedup, op6_tiff, op7_warc, op8_packing, op9_line_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_language_id, op4_exact_dedup, op5_minhash_near_dedup, op6_tiff, op7_warc, op8_packing, op9_line_dedup, op9_line_dedup_short_lines, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -101,4 +109,12 @@ def oracle_sql() -> dict[str, str]:
             gone AS (SELECT o.doc_id, o.no FROM o JOIN f USING (line) WHERE f.first <> o.doc_id * 2147483648::HUGEINT + o.no OR o.line IN (SELECT line FROM near))
             SELECT l.doc_id, len(parts) AS n_lines, count(gone.no) AS n_dropped, coalesce(string_agg(gone.no::VARCHAR, ',' ORDER BY gone.no), '') AS dropped
             FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id GROUP BY l.doc_id, parts""",
+        "op9_line_dedup_short_lines": r"""
+            WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+            o AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS no FROM l),
+            f AS (SELECT line, length(line) AS n, min(doc_id * 2147483648::HUGEINT + no) AS first FROM o WHERE length(line) >= 20 OR regexp_matches(line, '[^\s\x0B]') GROUP BY line),
+            near AS (SELECT DISTINCT a.line FROM f a JOIN f b ON a.n >= 20 AND b.n >= 20 AND b.n BETWEEN a.n - 2 AND a.n + 2 AND b.first < a.first AND a.line <> b.line AND levenshtein(a.line, b.line) <= 2),
+            gone AS (SELECT o.doc_id, o.no FROM o JOIN f USING (line) WHERE f.first <> o.doc_id * 2147483648::HUGEINT + o.no OR o.line IN (SELECT line FROM near))
+            SELECT l.doc_id, len(parts) AS n_lines, count(gone.no) AS n_dropped, coalesce(string_agg(gone.no::VARCHAR, ',' ORDER BY gone.no), '') AS dropped
+            FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id GROUP BY l.doc_id, parts""",
     }

@@ -1,5 +1,9 @@
 import random
 
+import corpus_pipeline
+import duckdb
+import pytest
+from strandline.llm import queries
 from strandline.llm.line_dedup import drop_repeated_lines, repeated_lines
 
 
@@ -67,3 +71,21 @@ def test_null_ids_come_last(spark):
 def test_plan_is_native(spark, small):
     plan = repeated_lines(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_short_lines_are_compared_exactly(spark):
+    texts = ["Les.\nAnd ornd.\n\n \t", "Les.\na line of some length here\nLes!\n\n \t", "a line of some length herE\nown short\n\n \t\nAnd ornd.\nown short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert found(repeated_lines(df, exact_short=True)) == {1: [0], 2: [0, 4, 5]}
+    assert found(repeated_lines(df)) == {2: [0]}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    assert kept[1] == "a line of some length here\nLes!\n\n \t"
+
+
+@pytest.mark.parametrize("name", ["op9_line_dedup", "op9_line_dedup_short_lines"])
+def test_queries_equal_their_sql(spark, small, name):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{small}/documents.parquet'")
+    rows = {tuple(r) for r in queries.queries()[name](spark, small).collect()}
+    assert rows == set(duck.sql(queries.oracle_sql()[name]).fetchall()) and len(rows) == docs.count()
