@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that occurred before, alike but for two edits, short ones if they are the same; a document left without a
-    line goes."""
+    """Drops lines that occurred before, alike but for two edits, short ones if they are the same; a document of which
+    nothing but white space is left goes."""
     kept = line_dedup.drop_repeated_lines(docs, exact_short=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 

@@ -142,10 +142,10 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the texts that are left without their repeated lines (other columns as they are), and all the
-    documents that nothing is dropped from; one that is left without a line of ``min_chars`` characters goes."""
+    documents that nothing is dropped from; one that is left with nothing but white space goes."""
     gone = repeated_lines(docs, min_chars=min_chars, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
     rows = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
     left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, k: ~F.array_contains("__dropped", k))
-    rows = rows.filter(F.col("__dropped").isNull() | F.coalesce(F.exists(left, lambda line: F.length(line) >= min_chars), F.lit(True)))
+    rows = rows.filter(F.col("__dropped").isNull() | F.coalesce(F.exists(left, lambda line: line.rlike(INK)), F.lit(True)))
     text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return rows.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -89,3 +89,11 @@ def test_queries_equal_their_sql(spark, small, name):
     duck.sql(f"create view documents as select * from '{small}/documents.parquet'")
     rows = {tuple(r) for r in queries.queries()[name](spark, small).collect()}
     assert rows == set(duck.sql(queries.oracle_sql()[name]).fetchall()) and len(rows) == docs.count()
+
+
+def test_short_lines_outlive_a_dropped_line(spark):
+    line = "the license line that all of them have"
+    rows = [(0, line), (1, f"{line}\nmine\n \nown"), (2, f"{line}\n \t\n"), (3, f"{line}\nmine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in drop_repeated_lines(df).collect()} == {0: line, 1: "mine\n \nown", 3: "mine"}
+    assert {r.doc_id: r.text for r in drop_repeated_lines(df, exact_short=True).collect()} == {0: line, 1: "mine\n \nown"}
