@@ -28,6 +28,23 @@ def top_k(vectors: DataFrame, query: list[float], id_col: str, vector: str, k: i
     return vectors.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def top_k_each(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int = 5, block: int = 1000) -> DataFrame:
+    """query_id, ``id_col``, score, rank (from 1): for each row of ``queries`` (query_id, and ``vector``) the ``k`` nearest rows
+    by dot product, ties by id. Blocks of about ``block`` queries are broadcast against all rows one by one; of each
+    partition only the ``k`` best of a query are shuffled."""
+    own = queries.select("query_id", F.col(vector).alias("__query"))
+    blocks = max(1, -(-own.count() // block))
+    score = F.round(dot(F.col(vector), F.col("__query")), 6)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    found = None
+    for b in range(blocks):
+        part = own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else own
+        rows = vectors.crossJoin(F.broadcast(part)).select("query_id", id_col, score.alias("score"))
+        best = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
 def fixed_windows(docs: DataFrame, size: int = 512, stride: int = 448) -> DataFrame:
     """The baseline: windows of ``size`` tokens, each ``stride`` after the one before: doc_id, window, start, tokens, words."""
     own = docs.select("doc_id", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)

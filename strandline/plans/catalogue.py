@@ -230,6 +230,13 @@ def topk_search(spark, d):
     return retrieval.top_k(rows, [float(x) for x in query.embedding], "vec_id", "embedding")
 
 
+def topk_search_every_20th(spark, d):
+    """Every 20th vector as a query against all of them."""
+    rows = _read(spark, d, "embeddings")
+    wanted = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.top_k_each(wanted, rows, "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
+
+
 def retrieval_eval(spark, d):
     """The first lines of every 20th document as probes for the documents."""
     docs = _read(spark, d, "documents")
@@ -238,6 +245,14 @@ def retrieval_eval(spark, d):
     return retrieval.retrieval_scores(scored, probes.select("probe_id", F.col("probe_id").alias("unit_id")))
 
 
+def retrieval_eval_benchmark(spark, d):
+    """The whole benchmark texts as probes for the documents that contain them; those of no document have nothing to find."""
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("content"))
+    probes = _read(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), "text")
+    truth = docs.join(F.broadcast(probes), F.contains("content", "text")).select("probe_id", "unit_id")
+    return retrieval.retrieval_scores(retrieval.overlap_scores(probes, docs), truth)
+
+
 def _section_units(spark, d):
     rows = chunking.sections(_hosts(spark, d))
     parts = F.sort_array(F.collect_list(F.struct("pos", "kind", "text")))
@@ -359,7 +374,7 @@ def queries() -> dict:
         escalation_flags, fixed_chunks_512_64, section_ids, heading_path, surrounding_text, reading_order_edges, qa_edges, edge_conflicts,
         relationship_loss, references_resolve, explaining_edges, speaker_turns, micro_turn_merge, long_turn_split, conversational_type,
         *map(_column_profile, ("lineitem", "orders", "part", "customer")), row_groups_customer, schema_card_orders, overlap_edges,
-        fusion_confidence, semantic_drift_groups, topk_search, retrieval_eval, completeness, unit_measures, cross_doc_links, usage_ledger,
+        fusion_confidence, semantic_drift_groups, topk_search, topk_search_every_20th, retrieval_eval, retrieval_eval_benchmark, completeness, unit_measures, cross_doc_links, usage_ledger,
         enrichment_batches, export_chroma, export_langchain, unit_hierarchy, paragraph_pack_units, structural_units, boundary_candidates,
         event_windows, heading_scorecard, tabular_units_customer, event_units,
     ]

@@ -194,6 +194,15 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT s.doc_id, vec_id, coalesce(sum(CASE WHEN n >= 4 AND sim < least THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id ORDER BY vec_id), 0)::BIGINT AS grp FROM s JOIN t ON t.doc_id = s.doc_id)
             SELECT doc_id, grp, count(*) AS n, min(vec_id) AS first_id FROM g GROUP BY ALL""",
         "topk_search": "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 5",
+        "topk_search_every_20th": """SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
+            FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5""",
+        "retrieval_eval_benchmark": """WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM documents),
+            p AS (SELECT DISTINCT item_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM benchmark),
+            s AS (SELECT item_id AS probe, doc_id AS unit, count(*) AS score FROM p JOIN w USING (word) WHERE word <> '' GROUP BY ALL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, unit) AS rank FROM s),
+            t AS (SELECT item_id AS probe, doc_id AS unit FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+            o AS (SELECT t.probe, count(*) FILTER (rank <= 5) AS hits, min(rank) AS rank FROM t LEFT JOIN r USING (probe, unit) GROUP BY t.probe)
+            SELECT count(*) AS probes, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS recall_at_k, round(avg(hits / 5), 6) AS precision_at_k, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM o""",
         "retrieval_eval": """WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM documents),
             p AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM documents WHERE doc_id % 20 = 0),
             s AS (SELECT p.doc_id AS probe, w.doc_id AS unit, count(*) AS score FROM p JOIN w USING (word) WHERE word <> '' GROUP BY ALL),

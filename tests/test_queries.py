@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
+from strandline.operators import retrieval  # noqa: E402
 from strandline.plans import catalogue, oracle  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,3 +51,11 @@ def test_every_line_is_in_one_unit(spark, small):
 def test_plans_shuffle_by_document_only(spark, small):
     plan = catalogue.section_ids(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_every_query_vector_has_its_best_rows_in_any_block(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet")
+    wanted = rows.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding")
+    whole, parts = ({tuple(r) for r in retrieval.top_k_each(wanted, rows, "vec_id", "embedding", block=b).collect()} for b in (1000, 7))
+    assert whole == parts and len(whole) == 5 * wanted.count()
+    assert [(r.vec_id, r.score) for r in catalogue.topk_search(spark, small).collect()] == [x[1:3] for x in sorted((r for r in whole if r[0] == 0), key=lambda r: r[3])]
