@@ -238,11 +238,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     plain = nodes.select("node", "bits")
     apart = members.join(plain, "node").withColumn("comp", F.lit(None).cast("binary"))
     first = written(_leaf_pairs(apart, cutoff, True).distinct(), "forest")
-    needed = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    of = nodes.select("node", "low.doc_id", "low.h").join(needed, "node", "left_semi")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"xxhash64(`{text_col}`) h", f"`{text_col}` text")
-    texts = source.alias("s").join(of.alias("o"), F.expr("s.doc_id <=> o.doc_id and s.h = o.h")).select("node", "text")
-    texts = written(texts.dropDuplicates(["node"]), "texts")
+
+    def fetched(needed):
+        of = nodes.select("node", "low.doc_id", "low.h").join(needed, "node", "left_semi")
+        texts = source.alias("s").join(of.alias("o"), F.expr("s.doc_id <=> o.doc_id and s.h = o.h")).select("node", "text")
+        return written(texts.dropDuplicates(["node"]), "texts")
+
+    needed = ends(first)
+    texts = fetched(needed)
     links = written(_confirm(first, texts, words, percent), "links")
     comps = components(links)
 
@@ -250,9 +255,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     known = written(needed.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "known")
     # A pair whose least common group is a large one comes from its stragglers: one of the two is outside of its main part.
     again = _leaf_pairs(members.filter("leaf").join(known, "node").join(plain, "node"), cutoff, False)
-    rest = again.union(_stragglers(hot.join(known, "node").join(plain, "node"), cutoff)) if not hot.isEmpty() else again
+    # All members of large groups take part, those without a candidate in a forest too; the latter's texts are still to be fetched.
+    large = hot.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = again.union(_stragglers(large.join(plain, "node"), cutoff)) if not hot.isEmpty() else again
     rest = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
+        if not hot.isEmpty():
+            texts = texts.union(fetched(ends(rest).join(needed, "node", "left_anti")))
         comps = components(links.union(_confirm(rest, texts, words, percent)))
 
     named = nodes.select("node", "low.doc_id").join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -70,6 +70,20 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert found(out) == brute(rows, 3, 85)
 
 
+def test_large_group_with_a_common_passage_only(spark, monkeypatch):
+    passage = " ".join(f"v{k}" for k in range(100))
+    own = [" ".join(f"u{k}_{n}" for n in range(32)) for k in range(40)]
+    rows = [(k, f"{passage} {own[k % 40]} {'end' if k < 40 else 'other'}") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "TREES", 1)
+    monkeypatch.setattr(near_dedup, "DEPTH", 1)
+    out = []
+    for leaf in (8, 1000):
+        monkeypatch.setattr(near_dedup, "LEAF", leaf)
+        out.append(found(near_duplicates(df, words=3, percent=85)))
+    assert out[0] == out[1] and sum(k != c for k, _, c in out[0]) > 20
+
+
 def test_edges(spark):
     long = " ".join(f"z{k}" for k in range(60_000))
     rows = [(1, None, ""), (2, "", ""), (3, " \n\t", ""), (4, "one", ""), (5, "ONE", ""), (6, "one two", ""), (7, long, ""), (8, long + " end", ""), (7, long, ""), (None, "one", "")]
