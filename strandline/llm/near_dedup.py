@@ -3,36 +3,60 @@
 A document is the set of its distinct word shingles, and a signature of minwise tokens of that set. Equal sets are one
 node from the start. Independent trees branch the nodes: at each level a node goes on by the value of one of its
 minwise tokens, chosen by the tree, and with a probability of 1 / threshold - 1 by a second one too, which holds the
-chance that a similar pair stays together as paths grow. Tree nodes of at most ``LEAF`` members are compared
-exhaustively on their signatures; larger ones branch again, down to ``DEPTH``. What is larger even there is a large
-group of near copies: it is compared in blocks, each with the same pivots, and members that don't join the group's
-largest component are then compared with all of it.
-
-Candidates are confirmed on full sets, at first those of a spanning forest of each leaf; then every candidate
-between documents that these have not connected. So a large group costs links in proportion to its rows, never to
-their square, and no link between two classes is lost that the trees find.
+chance that a similar pair stays together as paths grow. There are as many trees as a pair of just the threshold needs
+to meet in one of them with the probability ``recall``, whatever the level its paths end at.
+
+Tree nodes of at most ``LEAF`` members are compared exhaustively on their signatures. Larger ones branch again, down to
+``DEPTH``, or until a node keeps most of its parent's members: then it is a core of documents that share nearly
+everything, which further tokens would not part. A core is compared in blocks, all with the same pivots, and members
+that don't join its largest component are then compared with all of it, a block of them with a block of members at a time.
+
+Candidates are confirmed on full sets, at first those of a spanning forest of the likeliest pairs of each leaf or block;
+then, where they meet, all between documents that these have not connected. So a large group costs links in proportion to its
+rows, never to their square, and no link between two classes is lost that the trees find.
 """
 
 from __future__ import annotations
 
+import math
 import random
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import written
+from strandline.llm.shared import erase, held, written
 
-TOKENS, TREES, DEPTH, LEAF = 256, 12, 8, 64
+#: Eight lanes of a 64-bit word count equal tokens; with under 256 tokens their sum fits a byte.
+TOKENS, DEPTH, LEAF = 248, 6, 512
+#: The chance of a pair of just the threshold to meet in a tree, over all trees.
+RECALL = 0.999
+#: A node that keeps this share of its parent's members is a core.
+CORE_SHARE = 0.7
 #: Candidates have an estimated similarity of the threshold less this: over three standard deviations.
 SLACK = 0.08
-WORDS_KEPT = 400_000
+WORDS_KEPT, ROUNDS = 150_000, 100
 
 _draw = random.Random(20240229)
 _FACTORS = [(_draw.getrandbits(64) | 1, _draw.getrandbits(64)) for _ in range(TOKENS)]
-_PLACES = [random.Random(t).sample(range(TOKENS), 2 * DEPTH) for t in range(TREES)]
+
+
+def trees_for(recall: float, threshold: float) -> int:
+    """How many trees find a pair of similarity ``threshold`` with probability ``recall`` even at the deepest level: a
+    path of the pair goes on with the threshold's probability, and a second one is added with 1 / threshold - 1."""
+    second, met = 1 / threshold - 1, 1.0
+    for _ in range(DEPTH):
+        met = 1 - (1 - threshold * met) * (1 - second * threshold * met)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
+@cache
+def _places(trees: int) -> list[int]:
+    """The tokens that the trees branch by, one tree after the other: two for each level."""
+    return [p for t in range(trees) for p in random.Random(t).sample(range(TOKENS), 2 * DEPTH)]
 
 
 class _Words(dict):
@@ -43,15 +67,13 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word shingles; of a shorter text the whole sequence is one."""
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: lowers A-Z, splits at \x20 \x09-\x0D
     if not own:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, own), np.uint64, len(own))
+    h = np.fromiter(map(held("shingle-words", _Words).__getitem__, own), np.uint64, len(own))
     size = min(words, len(h))
     s = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
@@ -70,8 +92,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (of the text), n_shingles, node (128 bits of the set; null if empty), tokens, bits (a byte of each)."""
+def sketch(docs: DataFrame, words: int, trees: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (of the text), n_shingles, content (128 bits of the set; null if empty), path (the trees' tokens, 32 bits each),
+    bits (8 of each token)."""
+    places = _places(trees)
 
     def sketched(batches):
         for batch in batches:
@@ -82,75 +106,188 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 tokens = iter(signatures(full)) if full else iter(())
                 rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, next(tokens) if len(s) else None) for s in sets]
                 arrays = [part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())]
-                arrays += [pa.array([None if r[2] is None else r[2].astype(kind).tobytes() for r in rows], pa.binary()) for kind in ("<u4", "u1")]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "n_shingles", "node", "tokens", "bits"])
+                arrays.append(pa.array([None if r[2] is None else r[2][places].astype("<u4").tobytes() for r in rows], pa.binary()))
+                arrays.append(pa.array([None if r[2] is None else r[2].astype("u1").tobytes() for r in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "n_shingles", "content", "path", "bits"])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"xxhash64(`{text_col}`) h", f"`{text_col}` text")
-    return rows.mapInArrow(sketched, "doc_id long, h long, n_shingles long, node binary, tokens binary, bits binary")
+    return rows.mapInArrow(sketched, "doc_id long, h long, n_shingles long, content binary, path binary, bits binary")
 
 
 def _branch(rows: DataFrame, level: int, second: float) -> DataFrame:
-    """node, tree, key of the next level; the path so far is ``key``."""
-    place = lambda j: F.element_at(F.array(*[F.lit(p[2 * level + j]) for p in _PLACES]), F.col("tree") + 1)
-    step = lambda j: F.xxhash64("key", F.lit(j), F.substring("tokens", place(j) * 4 + 1, F.lit(4)))
+    """node, tree, path, key of the next level, before (the members of the node so far); ``key`` is the way so far."""
+    place = lambda j: F.col("tree") * (2 * DEPTH) + 2 * level + j
+    step = lambda j: F.xxhash64("key", F.lit(j), F.substring("path", place(j) * 4 + 1, F.lit(4)))
     also = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1000)) < int(1000 * second)
     keys = F.when(also, F.array(step(0), step(1))).otherwise(F.array(step(0)))
-    return rows.select("node", "tree", "tokens", F.explode(keys).alias("key"))
-
-
-def _leaf_pairs(rows: DataFrame, cutoff: float, forest: bool) -> DataFrame:
-    """Pairs a < b of members of a key with an estimated similarity of at least the cutoff and unlike ``comp``, each from
-    the least of the ``groups`` that both are in; with ``forest`` only the likeliest that connect the same members.
-    Members that are ``met`` have been compared with each other elsewhere."""
-
-    def compare(nodes: list[bytes], bits: list[bytes], comps: list, group: list, groups: list, met: list) -> list[tuple[bytes, bytes]]:
-        m = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), TOKENS)
-        found = []
-        for i in range(len(nodes) - 1):
-            same = np.count_nonzero(m[i + 1 :] == m[i], axis=1)
-            for j in np.flatnonzero(same >= cutoff * TOKENS).tolist():
-                k = i + 1 + j
-                if met[i] and met[k]:
-                    continue
-                if forest or comps[i] != comps[k] and min(set(groups[i]).intersection(groups[k])) == group[i]:
-                    found.append((-int(same[j]), i, k))
-        if forest:
-            top = list(range(len(nodes)))
-
-            def root(x):
-                while top[x] != x:
-                    top[x] = x = top[top[x]]
-                return x
+    return rows.select("node", "tree", *(["path"] if level else []), "before", F.explode(keys).alias("key"))
 
-            kept = []
-            for _, i, j in sorted(found):
-                if (a := root(i)) != (b := root(j)):
-                    top[a] = b
-                    kept.append((0, i, j))
-            found = kept
-        return [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for _, i, j in found if nodes[i] != nodes[j]]
 
-    fields = ("node", "bits", "comp", "group", "groups", "met")
+def _tree_nodes(nodes: DataFrame, trees: int, second: float) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """(leaves, cores, the tables they are read from): key, node, n for each member of the trees' last nodes of two members
+    and more."""
+    live = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "path")
+    live = live.select("node", "tree", "path", F.xxhash64("tree").alias("key"), F.lit(None).cast("long").alias("before"))
+    leaves, cores, tables = [], [], []
+    for level in range(DEPTH):
+        rows = _branch(live, level, second)
+        several = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
+        rows = written(rows.join(several, "key"), f"level{level}")
+        erase(several)
+        tables.append(rows)
+        large = F.col("n") > LEAF
+        stuck = large & (F.lit(level == DEPTH - 1) | F.coalesce(F.col("n") >= CORE_SHARE * F.col("before"), F.lit(False)))
+        leaves.append(rows.filter(~large).select("key", "node", "n"))
+        cores.append(rows.filter(stuck).select("key", "node", "n"))
+        live = rows.filter(large & ~stuck)
+        if live.isEmpty():
+            return _union(leaves), _union(cores) if level or DEPTH == 1 else None, tables
+        live = live.withColumn("before", F.col("n")).drop("n")
+        if level == 0:
+            live = live.join(nodes.select("node", "path"), "node").select("node", "tree", "path", "key", "before")
+    return _union(leaves), _union(cores), tables
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def _equal(m: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How many tokens each of the rows has in common with ``row``."""
+    lanes = (m == row).view(np.uint64).sum(1)
+    return (lanes * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
+
+
+def _matrix(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), TOKENS)
+
+
+def spanning(m: np.ndarray, least: int, pivots: int = 0) -> list[tuple[int, int]]:
+    """A forest of the likeliest pairs with at least ``least`` equal tokens that connects what such pairs connect; the
+    first ``pivots`` rows count as connected from the start."""
+    if len(m) == 2 and not pivots:
+        return [(0, 1)] if int((m[0] == m[1]).sum()) >= least else []
+    left, at = m.copy(), np.arange(len(m))
+    count = len(m)
+    best, parent = np.full(len(m), -1), np.zeros(len(m), np.int64)
+
+    def take(k: int) -> int:
+        """Moves the row at ``k`` out of those that are left."""
+        nonlocal count
+        j, count = int(at[k]), count - 1
+        for x in (left, at, best, parent):
+            x[k] = x[count]
+        return j
+
+    def reach(j: int) -> None:
+        same = _equal(left[:count], m[j])
+        nearer = same > best[:count]
+        best[:count][nearer] = same[nearer]
+        parent[:count][nearer] = j
+
+    for j in range(pivots):
+        take(int(np.flatnonzero(at[:count] == j)[0]))
+    for j in range(pivots):
+        reach(j)
+    edges = []
+    while count:
+        k = int(best[:count].argmax())
+        if best[k] >= least:
+            edges.append((int(parent[k]), int(at[k])))
+        reach(take(k))
+    return edges
+
+
+def _each_key(batches, names: tuple[str, ...]):
+    """(key, its rows as lists by name) from batches that are sorted by key."""
+    key, own = None, {}
+    for batch in batches:
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", *names))):
+            if k != key or not own:
+                if own:
+                    yield key, own
+                key, own = k, {c: [] for c in names}
+            for c, v in zip(names, row):
+                own[c].append(v)
+    if own:
+        yield key, own
+
+
+def _pair_batches(pairs):
+    """Batches of the pairs (a, b), the least first."""
+    out = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([f(p) for p in out], pa.int64()) for f in (min, max)], ["a", "b"])
+
+    for pair in pairs:
+        out.append(pair)
+        if len(out) == 10_000:
+            yield batch()
+            out.clear()
+    yield batch()
+
+
+def _forest_pairs(rows: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs of a spanning forest of each key's members; rows: key, node, bits, pivot."""
+    least = math.ceil(cutoff * TOKENS)
 
     def pairs(batches):
-        key, own, out = None, tuple([] for _ in fields), []
-        for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", *fields))):
-                if k != key:
-                    out += compare(*own) if len(own[0]) > 1 else []
-                    key, own = k, tuple([] for _ in fields)
-                for x, v in zip(own, row):
-                    x.append(v)
-            if len(out) > 10_000:
-                yield _table(out)
-                out = []
-        out += compare(*own) if len(own[0]) > 1 else []
-        yield _table(out)
+        for _, own in _each_key(batches, ("node", "bits", "pivot")):
+            if len(own["node"]) > 1:
+                order = sorted(range(len(own["node"])), key=lambda i: not own["pivot"][i])
+                nodes = [own["node"][i] for i in order]
+                m = _matrix([own["bits"][i] for i in order])
+                yield from ((nodes[i], nodes[j]) for i, j in spanning(m, least, sum(own["pivot"])))
+
+    return rows.select("key", "node", "bits", "pivot").repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: _pair_batches(pairs(b)), "a long, b long")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
 
-    def _table(out):
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+def _open_links(rows: DataFrame, cutoff: float, words: int, percent: int) -> DataFrame:
+    """Links between different components, each looked for in the least of the ``groups`` that both ends are in; rows: key,
+    node, bits, text, comp, group, groups, side (0: compared with all of the key, 1: with those of side 2 only, 2: with those
+    of side 1), odd (whether it is outside of its core's largest component).
 
-    return rows.select("key", *fields).repartition("key").sortWithinPartitions("key", "node").mapInArrow(pairs, "a binary, b binary")
+    Candidates are compared on their full sets at once, so that only links leave the task; what a link connects is one
+    component from then on.
+    """
+    least = math.ceil(cutoff * TOKENS)
+    names = ("node", "bits", "text", "comp", "group", "groups", "side", "odd")
+
+    def links(batches):
+        for _, own in _each_key(batches, names):
+            comps = np.unique(np.array(own["comp"], np.int64), return_inverse=True)[1]
+            if comps.max() == 0:
+                continue
+            nodes, side, odd, sets = own["node"], np.array(own["side"]), own["odd"], {}
+            m, groups = _matrix(own["bits"]), [frozenset(g) for g in own["groups"]]
+
+            def full(i):
+                if i not in sets:
+                    sets[i] = shingles(own["text"][i], words)
+                return sets[i]
+
+            among = np.flatnonzero(comps != np.bincount(comps).argmax()) if side[0] == 0 else np.flatnonzero(side == 2)
+            seen = np.zeros(len(nodes), bool)
+            for i in among.tolist():
+                seen[i] = True
+                others = np.flatnonzero((comps != comps[i]) & (~seen if side[i] == 0 else side == 1))
+                same = _equal(m[others], m[i])
+                for k in others[np.argsort(-same, kind="stable")[: np.count_nonzero(same >= least)]].tolist():
+                    once = side[i] == 0 or not odd[k] or nodes[i] < nodes[k]  # a pair of odd ones meets twice
+                    if once and comps[i] != comps[k] and min(groups[i] & groups[k]) == own["group"][i] and linked(full(i), full(k), percent):
+                        comps[comps == comps[k]] = comps[i]
+                        yield nodes[i], nodes[k]
+
+    return rows.select("key", *names).repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: _pair_batches(links(b)), "a long, b long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -165,13 +302,12 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 x = last[1] if last[0] == a else shingles(ta.as_py(), words)
                 last = a, x
                 y = shingles(tb.as_py(), words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * both >= percent * (len(x) + len(y) - both))
+                kept.append(linked(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     full = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(confirmed, "a binary, b binary")
+    return full.select("a", "b", "ta", "tb").mapInArrow(confirmed, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,21 +317,95 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     mark = None
-    while True:
-        both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
+    for _ in range(ROUNDS):
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large, "large")  # as it is read twice
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        now = written(small.filter("u != v").distinct(), "edges")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("u", "m"))
+        before, now = now, written(small.distinct(), "edges")
+        erase(before, large)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         mark = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
+    raise RuntimeError(f"components have not settled in {ROUNDS} rounds")
+
+
+def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n_shingles, content of all rows; of each content: low, the least row (no id, doc_id, h) of its class)."""
+    threshold = percent / 100
+    cutoff, second, trees = threshold - SLACK, 1 / threshold - 1, trees_for(recall, threshold)
+    sketches = written(sketch(docs, words, trees, id_col, text_col), "sketches")
+    low = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
+    nodes = sketches.filter("content is not null").groupBy("content").agg(F.min(low).alias("low"), F.first("path").alias("path"), F.first("bits").alias("bits"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once, as it is written
+    rows = written(sketches.select("doc_id", "h", "n_shingles", "content"), "rows")
+    erase(sketches)
+    leaves, cores, tables = _tree_nodes(nodes, trees, second)
+    plain = nodes.select("node", "bits")
+    half = LEAF // 2
+
+    whole = leaves.select("key", "node", F.lit(False).alias("pivot"))
+    if cores is not None:  # blocks of half a leaf; the first one's members are the others' pivots
+        count = F.ceil(F.col("n") / half).cast("int")
+        block = F.pmod(F.xxhash64("node"), count).cast("int")
+        into = F.when(block == 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array(block))
+        dealt = cores.select("key", "node", (block == 0).alias("first"), F.explode(into).alias("block"))
+        whole = whole.union(dealt.select(F.xxhash64("key", "block"), "node", F.col("first") & (F.col("block") != 0)))
+    first = written(_forest_pairs(whole.join(plain, "node"), cutoff).distinct(), "forest")
+    needed = first.select(F.explode(F.array("a", "b")).alias("node"))
+    needed = written((needed.union(cores.select("node")) if cores is not None else needed).distinct(), "needed")
+    of = nodes.select("node", "low.doc_id", "low.h").join(needed, "node", "left_semi")
+    source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"xxhash64(`{text_col}`) h", f"`{text_col}` text")
+    texts = source.alias("s").join(of.alias("o"), F.expr("s.doc_id <=> o.doc_id and s.h = o.h")).select("node", "text")
+    texts = written(texts.dropDuplicates(["node"]), "texts")
+    links = written(_confirm(first, texts, words, percent), "links")
+    comps = components(links)
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    # What the forests have not connected: links between components. Alone, a node is its own component.
+    rest = _open_groups(leaves, cores, needed, comps).join(plain, "node").join(texts, "node")
+    rest = written(_open_links(rest, cutoff, words, percent), "rest")
+    if not rest.isEmpty():
+        comps = components(links.union(rest))
+    own = nodes.select("node", "content", "low").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = own.groupBy("comp").agg(F.min("low").alias("least"))
+    named = written(own.join(least, "comp").select("content", F.col("least").alias("low")), "classes")
+    erase(*tables, nodes, first, needed, texts, links, rest)
+    return rows, named
+
+
+def _open_groups(leaves: DataFrame, cores: DataFrame | None, needed: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of leaves with several components, and those of cores by blocks, for ``_open_links``."""
+    number = F.coalesce("comp", "node").alias("comp")
+    known = written(needed.join(comps, "node", "left").select("node", number), "known")
+    every = leaves.select("key", "node").join(known, "node")  # of a leaf, those with a candidate are in the forest
+    if cores is not None:
+        inside = written(cores.join(comps, "node", "left").select("key", "node", "n", number), "cores")
+        sizes = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
+        main = written(main.select("key", "main", (F.col("all") - F.col("most")).alias("odds")).filter("odds > 0"), "mains")
+        inside = inside.join(main, "key").withColumn("odd", F.col("comp") != F.col("main"))
+        groups = every.select("node", "key").union(inside.select("node", "key"))
+    else:
+        groups = every.select("node", "key")
+    mixed = every.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
+    groups = groups.groupBy("node").agg(F.collect_set("key").alias("groups"))
+    rows = every.join(mixed, "key", "left_semi").select("key", "node", "comp", F.col("key").alias("group"), F.lit(0).alias("side"), F.lit(False).alias("odd"))
+    if cores is not None:
+        half = LEAF // 2
+        blocks, odds = F.ceil(F.col("n") / half).cast("int"), F.ceil(F.col("odds") / half).cast("int")
+        upto = lambda n: F.sequence(F.lit(0), n - 1)
+        block, odd_block = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), odds).cast("int")
+        members = inside.select("key", "node", "comp", "odd", block.alias("block"), F.explode(upto(odds)).alias("against"), F.lit(1).alias("side"))
+        others = inside.filter("odd").select("key", "node", "comp", "odd", F.explode(upto(blocks)).alias("block"), odd_block.alias("against"), F.lit(2).alias("side"))
+        both = members.unionByName(others)
+        rows = rows.union(both.select(F.xxhash64("key", "block", "against"), "node", "comp", F.col("key").alias("group"), "side", "odd"))
+    return rows.join(groups, "node")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * |A & B| >= percent * |A | B| for their sets of ``words``-word shingles, found by
@@ -204,100 +414,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     words is one shingle; null and blank texts have none and are linked with nothing. Rows that repeat an id count as
     rows; a null id never names a component of others. Empty table, empty result; other columns are not looked at.
     """
-    cutoff, second = percent / 100 - SLACK, 100 / percent - 1
-    sketches = written(sketch(docs, words, id_col, text_col), "sketches")
-    nodes = sketches.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("low"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
-    nodes = written(nodes, "nodes")
-
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    live = nodes.select("node", trees.alias("tree"), "tokens").withColumn("key", F.xxhash64("tree"))
-    leaves = None
-    for level in range(DEPTH):
-        rows = _branch(live, level, second)
-        rows = rows.drop("tokens") if level == 0 else rows
-        several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = written(rows.join(several, "key"), f"level{level}")
-        leaf = rows.filter(F.col("n") <= LEAF).select("key", "node")
-        leaves = leaf if leaves is None else leaves.union(leaf)
-        live = rows.filter(F.col("n") > LEAF)
-        if live.isEmpty():
-            break
-        if level == 0:
-            live = live.join(nodes.select("node", "tokens"), "node")
-    hot = live.select("key", "node", "n")
-    # Large groups: blocks of half a leaf, and the first block's members with each of the others as pivots.
-    count = F.ceil(F.col("n") / (LEAF // 2)).cast("int")
-    block = F.pmod(F.xxhash64("node"), count).cast("int")
-    among = F.when(block == 0, F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1)))).otherwise(F.array(block))
-    dealt = hot.withColumn("pivot", block == 0).select(F.explode(among).alias("block"), "key", "node", "pivot")
-    dealt = dealt.select(F.xxhash64("key", "block").alias("key"), "node", F.col("key").alias("group"), F.col("pivot") & (F.col("block") != 1), F.lit(False))
-    members = leaves.select("key", "node", F.col("key").alias("group"), F.lit(False).alias("met"), F.lit(True).alias("leaf")).union(dealt)
-    groups = members.groupBy("node").agg(F.collect_set("group").alias("groups"))
-    members = written(members.join(groups, "node"), "members")
-
-    plain = nodes.select("node", "bits")
-    apart = members.join(plain, "node").withColumn("comp", F.lit(None).cast("binary"))
-    first = written(_leaf_pairs(apart, cutoff, True).distinct(), "forest")
-    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"xxhash64(`{text_col}`) h", f"`{text_col}` text")
-
-    def fetched(needed):
-        of = nodes.select("node", "low.doc_id", "low.h").join(needed, "node", "left_semi")
-        texts = source.alias("s").join(of.alias("o"), F.expr("s.doc_id <=> o.doc_id and s.h = o.h")).select("node", "text")
-        return written(texts.dropDuplicates(["node"]), "texts")
-
-    needed = ends(first)
-    texts = fetched(needed)
-    links = written(_confirm(first, texts, words, percent), "links")
-    comps = components(links)
-
-    # What the forests have not connected: all candidates between components. Alone, a node is its own component.
-    known = written(needed.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "known")
-    # A pair whose least common group is a large one comes from its stragglers: one of the two is outside of its main part.
-    again = _leaf_pairs(members.filter("leaf").join(known, "node").join(plain, "node"), cutoff, False)
-    # All members of large groups take part, those without a candidate in a forest too; the latter's texts are still to be fetched.
-    large = hot.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = again.union(_stragglers(large.join(plain, "node"), cutoff)) if not hot.isEmpty() else again
-    rest = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        if not hot.isEmpty():
-            texts = texts.union(fetched(ends(rest).join(needed, "node", "left_anti")))
-        comps = components(links.union(_confirm(rest, texts, words, percent)))
-
-    named = nodes.select("node", "low.doc_id").join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = comps.join(named, "comp").select("node", "component_id")
-    alone = nodes.select("node", F.col("low.doc_id").alias("least"))
-    out = sketches.select("doc_id", "n_shingles", "node").join(alone, "node", "left").join(named, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "least", "doc_id").alias("component_id"))
+    rows, named = _classes(docs, words, percent, id_col, text_col, recall)
+    out = rows.select("doc_id", "n_shingles", "content").join(named.select("content", F.col("low.doc_id").alias("least")), "content", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _stragglers(members: DataFrame, cutoff: float) -> DataFrame:
-    """Candidates of large groups between members outside of the group's largest component and all its members; a pair
-    that shares several groups comes from the one with the least key."""
-    groups = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    members = members.join(groups, "node")
-    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    odd = members.join(main, "key").filter("comp != main")
-    order = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF)))
-    blocks = odd.groupBy("key", order.alias("block")).agg(F.collect_list(F.struct("node", "comp", "bits", "keys")).alias("others"))
+def keep_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class, that with the least id, and all without words.
 
-    def compare(batches):
-        for batch in batches:
-            out = []
-            for key, node, comp, bits, keys, others in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "comp", "bits", "keys", "others"))):
-                own = set(keys)
-                m = np.frombuffer(b"".join(o["bits"] for o in others), np.uint8).reshape(-1, TOKENS)
-                same = np.count_nonzero(m == np.frombuffer(bits, np.uint8), axis=1)
-                found = (others[k] for k in np.flatnonzero(same >= cutoff * TOKENS))
-                out += [tuple(sorted((node, o["node"]))) for o in found if o["comp"] != comp and min(own.intersection(o["keys"])) == key]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    return members.join(blocks, "key").select("key", "node", "comp", "bits", "keys", "others").mapInArrow(compare, "a binary, b binary")
-
-
-def keep_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each component; ids must be unique and not null here."""
-    kept = near_duplicates(docs, id_col=id_col, **options).filter("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    A row with a null id stays only if its class has no other; of rows that repeat the class's least id the one with the
+    least hash of its text stays, of equal rows one. Empty table, empty result; all columns are carried along.
+    """
+    rows, named = _classes(docs, words, percent, id_col, text_col, recall)
+    rows = rows.filter("content is not null").groupBy("doc_id", "h", "content").agg(F.count(F.lit(1)).alias("copies")).join(named, "content")
+    same = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("h") == F.col("low.h"))
+    marks = rows.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), (~same).alias("__goes"), "copies").filter("__goes or copies > 1")
+    marks = written(marks.select("__id", "__h", "__goes"), "goes")
+    h = F.xxhash64(docs[text_col])
+    joined = docs.join(marks, docs[id_col].cast("long").eqNullSafe(marks["__id"]) & (h == marks["__h"]), "left")
+    single = joined.filter(F.col("__goes").isNull()).select(*[docs[c] for c in docs.columns])
+    if marks.filter("not __goes").isEmpty():
+        return single
+    twice = joined.filter(F.col("__goes") == F.lit(False))
+    first = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(1)))
+    return single.union(twice.withColumn("__first", first).filter("__first = 1").select(*[docs[c] for c in docs.columns]))
