@@ -6,65 +6,110 @@ chosen at document ends (free), sentence ends (a small penalty) and, inside sent
 the minimum by a monotone queue. A stream is cut block by block, the last window of a block going on into the next, so
 memory is bounded by a block; nothing is shuffled, and a partition has at most one short window.
 
-Ids are those of the byte-level BPE file: pre-tokens never span the places where texts are cut into words here
-(before a space that a letter follows), so words are encoded once and remembered.
+Ids are those of the tokenizers file. Where white space is single spaces and newlines only, a pre-token never goes on over
+one: a space begins the next, a newline is one by itself. So words are encoded once, many together, and remembered; a text with
+any other white space is encoded as a whole.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import re
-from array import array
+import sys
+from collections import deque
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from strandline.llm.shared import held
+
 WINDOW = 2048
 END_ID = 1
 SENTENCE_PENALTY, INNER_PENALTY = 8, 256
-BLOCK_TOKENS, BATCH_BYTES, WORDS_KEPT = 1 << 20, 16 << 20, 600_000
+BLOCK_TOKENS, BATCH_BYTES, WORDS_KEPT, SLICE, TOGETHER = 1 << 20, 16 << 20, 400_000, 200, 100
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: A sentence ends before this white space.
 SLOW_END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\S)(?=\n)")
+#: White space of any kind but single spaces and newlines, and the sign that marks sentence ends meanwhile.
+ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"] + ["\0"]
 
 
 class ByteBpe:
-    """Whole texts to little-endian 32-bit ids, by sentence. A vocabulary file as ranks, the ids those of its JSON form."""
-
-    def __init__(self, ranks_file: str, pattern: str):
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file, "rb"))}
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.encode = lambda text: array("I", encode(text)).tobytes()
-        self.first, self.spaced = _Words(self.encode, ""), _Words(self.encode, " ")
-
-    def sentences(self, text: str) -> list[bytes]:
-        """The ids of each sentence; joined, those of the text."""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
-            return list(map(self.encode, SLOW_END.split(text)))  # other white space than one at a time
-        parts = text.replace(". ", ".\0 ").replace("! ", "!\0 ").replace("? ", "?\0 ").replace("\n", "\0\n").split("\0")
-        first, spaced, out = self.first, self.spaced, []
-        for part in parts:
-            head, *words = part.split(" ")
-            out.append((first[head] if head else b"") + b"".join(map(spaced.__getitem__, words)))
-        return out
-
-
-class _Words(dict):
-    def __init__(self, encode, before: str):
-        self.encode, self.before = encode, before
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        ids = self.encode(self.before + word)
-        if len(word) < 100:
-            self[word] = ids
-        return ids
+    """Whole texts to little-endian 32-bit ids, as the tokenizers file says; special tokens' strings are text."""
+
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.encode_special_tokens = True
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        # Fixed value: how byte-level vocabularies write a space.
+        self.starts = np.array([n.startswith("\u0120") for n in names])
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        if len(self.newline) != 1:
+            raise ValueError("the vocabulary has no newline")
+        #: Words as they follow a space, with a newline in front those that begin a line, with \0 those that begin a text.
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words, many in one text: those after a space by where tokens begin with one, others by newlines."""
+        line, first = ([w for w in words if w[:1] == c] for c in "\n\0")
+        inner = [w for w in words if w[:1] not in ("\n", "\0")]
+        groups = [inner[k : k + TOGETHER] for k in range(0, len(inner), TOGETHER)]
+        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups])):
+            at = np.flatnonzero(self.starts[ids]).tolist()
+            self._keep(group, at, [*at[1:], len(ids)], ids.tobytes())
+        for own, before in ((line, 0), (first, 1)):  # of lines with the newline in front
+            groups = [own[k : k + TOGETHER] for k in range(0, len(own), TOGETHER)]
+            for group, ids in zip(groups, self._ids(["\n" + "\n".join(w[1:] for w in g) for g in groups])):
+                at = np.flatnonzero(ids == self.newline[0]).tolist()
+                self._keep(group, [a + before for a in at], [*at[1:], len(ids)], ids.tobytes())
+
+    def _keep(self, words: list[str], starts: list[int], ends: list[int], ids: bytes) -> None:
+        if len(starts) != len(words):
+            raise ValueError("the vocabulary doesn't part words at white space")
+        for w, a, b in zip(words, starts, ends):
+            self.known[w] = ids[4 * a : 4 * b]
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
+        """The ids of each text, and how many of them each of its sentences has."""
+        parted = [self._parts(t) for t in texts]
+        words = set(chain.from_iterable(p[0] for p in parted if p))
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        self._learn(list(words.difference(self.known)))
+        return [self._joined(*parts) if parts else self._whole(t) for t, parts in zip(texts, parted)]
+
+    def _parts(self, text: str) -> tuple[list[str], list[int]] | None:
+        """The words, and where in them sentences begin; None if white space is odd."""
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(map(text.__contains__, ODD)):
+            return None
+        marked = text.replace(". ", ".\0 ").replace("! ", "!\0 ").replace("? ", "?\0 ").replace("\n", "\0 \n")
+        counts = [p.count(" ") for p in marked.split("\0")]
+        counts[0] += 1
+        words = marked.replace("\0", "").split(" ")
+        words[0] = "\0" + words[0]
+        return words, [0, *accumulate(counts[:-1])]
+
+    def _joined(self, words: list[str], begins: list[int]) -> tuple[bytes, np.ndarray]:
+        found = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return b"".join(found), np.add.reduceat(sizes, begins) // 4
+
+    def _whole(self, text: str) -> tuple[bytes, np.ndarray]:
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ends = [m.start() for m in SLOW_END.finditer(text)]
+        at = np.searchsorted(np.array([a for a, _ in found.offsets]), ends).tolist() if ends and found.ids else []
+        cuts = [0, *sorted(set(at) - {0, len(found.ids)}), len(found.ids)]
+        return np.array(found.ids, "<u4").tobytes(), np.diff(cuts)
 
 
 def choose_cuts(points: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
@@ -107,13 +152,13 @@ class _Stream:
 
     def __init__(self, window: int, base: int):
         self.window, self.sequence = window, base
-        self.docs: list[list] = []
+        self.docs: deque[list] = deque()
         self.tokens = 0
 
-    def add(self, doc_id, sentences: list[bytes]) -> None:
-        sentences[-1] += END_ID.to_bytes(4, "little")
-        ids = b"".join(sentences)
-        self.docs.append([doc_id, ids, 0, np.array([len(s) // 4 for s in sentences])])
+    def add(self, doc_id, ids: bytes, sentences: np.ndarray) -> None:
+        ids += END_ID.to_bytes(4, "little")
+        sentences[-1] += 1
+        self.docs.append([doc_id, ids, 0, sentences])
         self.tokens += len(ids) // 4
 
     def cut(self, last: bool) -> list[tuple]:
@@ -134,7 +179,7 @@ class _Stream:
                 at += n
                 doc[2] += n
                 if doc[2] == len(ids) // 4:
-                    self.docs.pop(0)
+                    self.docs.popleft()
         self.sequence += len(cuts) - 1
         self.tokens -= upto
         if self.docs and self.docs[0][2]:  # the first document's sentences that are left
@@ -157,10 +202,7 @@ def _batches(rows: list[tuple]):
             size, from_ = 0, i + 1
 
 
-_READY: dict[tuple, ByteBpe] = {}
-
-
-def pack(docs: DataFrame, ranks_file: str, pattern: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset. The ids of a document with the end id lie in exactly one piece each, sequences hold at most
     ``window`` ids, offsets in a sequence have no gaps, and documents keep the order in which they are read.
@@ -171,14 +213,16 @@ def pack(docs: DataFrame, ranks_file: str, pattern: str, window: int = WINDOW, i
     """
 
     def packed(batches):
-        bpe = _READY.setdefault((ranks_file, pattern), None) or ByteBpe(ranks_file, pattern)
-        _READY[ranks_file, pattern] = bpe
+        bpe = held(("bpe", tokenizer_file), lambda: ByteBpe(tokenizer_file))
         stream = _Stream(window, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                stream.add(doc_id, bpe.sentences(text.as_py() or ""))
-                if stream.tokens >= BLOCK_TOKENS:
-                    yield from _batches(stream.cut(False))
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc_id, (ids, sentences) in zip(part.column(0).to_pylist(), bpe.encode(texts)):
+                    stream.add(doc_id, ids, sentences)
+                    if stream.tokens >= BLOCK_TOKENS:
+                        yield from _batches(stream.cut(False))
         yield from _batches(stream.cut(True))
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(packed, PIECES)
