@@ -38,9 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    packed = packing.pack(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    packed = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
