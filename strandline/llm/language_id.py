@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from strandline.llm.lattice import PieceTable, backward, forward, lattices
+from strandline.llm.lattice import PieceTable, backward, forward, lattices, log_backward, log_forward, long_grid
+from strandline.llm.shared import held
 
 #: The bound of the sample that the model is fitted on: labelled documents of a language, in expectation.
 TRAIN_DOCS = 500
-ROUNDS, SMOOTHING, LONGEST_RUN, WORDS_KEPT = 3, 0.05, 40, 1_000_000
+ROUNDS, SMOOTHING, WORDS_KEPT = 3, 0.05, 400_000
+#: Longer words are segmented one by one, in logarithms.
+LONG = 40
 UNDETERMINED = "und"
 
 
@@ -42,9 +45,8 @@ class Vocabulary:
         self.letters = regex.compile(r"\p{L}+")
 
     def words(self, chunk: str) -> list[str]:
-        """The letter runs of a text without white space, in lower case; a very long one in parts, each a word."""
-        runs = (r.lower() for r in self.letters.findall(chunk))
-        return ["▁" + r[i : i + LONGEST_RUN] for r in runs for i in range(0, len(r), LONGEST_RUN)]
+        """The letter runs of a text without white space, in lower case."""
+        return ["▁" + r.lower() for r in self.letters.findall(chunk)]
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -58,7 +60,8 @@ def vocabulary(model_file: str) -> Vocabulary:
 
 def fit(counts: Counter, vocab: Vocabulary) -> np.ndarray:
     """Piece probabilities by expectation maximisation from the counts of words of one language."""
-    words = list(counts)
+    words = [w for w in counts if len(w) <= LONG]
+    longer = [(counts[w], long_grid(w, vocab.table, vocab.unknown)) for w in counts if len(w) > LONG]
     weight = np.array([counts[w] for w in words], float)
     size = vocab.unknown + 1
     prob = np.append(np.full(size, 1 / size), 0.0)[:, None]
@@ -71,6 +74,14 @@ def fit(counts: Counter, vocab: Vocabulary) -> np.ndarray:
                 for m in range(1, min(grid.shape[2], end) + 1):
                     piece = grid[:, end - 1, m - 1]
                     expected += np.bincount(piece % (size + 1), alpha[:, end - m, 0] * prob[piece, 0] * beta[:, end, 0] * scale, size + 1)
+        with np.errstate(divide="ignore"):
+            logs = np.log(prob)
+        for n, grid in longer:
+            alpha, beta = log_forward(grid, logs)[:, 0], log_backward(grid, logs)[:, 0]
+            for m in range(1, grid.shape[1] + 1):
+                piece = grid[m - 1 :, m - 1]
+                share = n * np.exp(alpha[: len(alpha) - m] + logs[piece, 0] + beta[m:] - alpha[-1])
+                expected += np.bincount(piece % (size + 1), share, size + 1)
         expected = expected[:size] + SMOOTHING
         prob = np.append(expected / expected.sum(), 0.0)[:, None]
     return prob[:, 0]
@@ -100,20 +111,16 @@ def train(labelled: DataFrame, model_file: str, text_col: str = "text", lang_col
     return [r.lang for r in found], np.array([r.prob for r in found]).T
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(name: str, spread, model_file: str) -> Scorer:
     """A worker's scorer of a broadcast model; what it has learned serves the worker's next tasks."""
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(*spread.value, vocabulary(model_file))
-    return _SCORERS[name]
+    return held(("scorer", name), lambda: Scorer(*spread.value, vocabulary(model_file)))
 
 
 class Scorer:
     def __init__(self, langs: list[str], prob: np.ndarray, vocab: Vocabulary):
         self.langs, self.prob, self.vocab = langs, prob, vocab
+        with np.errstate(divide="ignore"):
+            self.log_prob = np.log(prob) if langs else prob
         self.forget()
 
     def forget(self) -> None:
@@ -131,9 +138,14 @@ class Scorer:
         room = self.size + len(words) + len(chunks)
         if room > len(self.logs):
             self.logs = np.concatenate([self.logs[: self.size], np.zeros((room, len(self.langs)))])
-        for k, grid in lattices(words, self.vocab.table, self.vocab.unknown):
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for k, grid in lattices([words[i] for i in short], self.vocab.table, self.vocab.unknown):
             for i in range(0, len(k), 4096):
-                self.logs[self.size + k[i : i + 4096]] = np.log(forward(grid[i : i + 4096], self.prob)[:, -1])
+                rows = [short[x] for x in k[i : i + 4096].tolist()]
+                self.logs[self.size + np.array(rows)] = np.log(forward(grid[i : i + 4096], self.prob)[:, -1])
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                self.logs[self.size + i] = log_forward(long_grid(w, self.vocab.table, self.vocab.unknown), self.log_prob)[-1]
         self.words.update(zip(words, range(self.size, self.size + len(words))))
         self.size += len(words)
         for c, ws in zip(chunks, own):
@@ -169,10 +181,10 @@ class Scorer:
         return pred, score
 
 
-def identify_rows(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (see ``identify``) in place of columns so named."""
+def identify_rows(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: str, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``pred_col`` and ``score_col`` (see ``identify``) in place of columns so named."""
     spread = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size for each language
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(pred_col, score_col)
     name = sha256(repr((model[0], model_file)).encode() + model[1].tobytes()).hexdigest()
 
     def predicted(batches):
@@ -181,9 +193,9 @@ def identify_rows(docs: DataFrame, model: tuple[list[str], np.ndarray], model_fi
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 pred, score = scorer.score(part.column(text_col).to_pylist())
-                yield part.append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(score, pa.float64()))
+                yield part.append_column(pred_col, pa.array(pred, pa.string())).append_column(score_col, pa.array(score, pa.float64()))
 
-    return rows.mapInArrow(predicted, StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return rows.mapInArrow(predicted, StructType([*rows.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())]))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

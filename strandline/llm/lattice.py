@@ -72,3 +72,38 @@ def backward(grid: np.ndarray, prob: np.ndarray) -> np.ndarray:
         for m in range(1, min(most, n - start) + 1):
             beta[:, start] += beta[:, start + m] * prob[grid[:, start + m - 1, m - 1]]
     return beta
+
+
+def long_grid(word: str, table: PieceTable, unknown: int) -> np.ndarray:
+    """The grid of one word of any length: (length, pieces' lengths)."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+    n, prefix, h = len(codes), np.zeros(len(codes) + 1, np.uint64), 0
+    for end, c in enumerate(codes.tolist()):
+        h = (h * BASE + c) & _MASK
+        prefix[end + 1] = h
+    grid = np.full((n, min(n, table.longest)), -1, np.int32)
+    for m in range(1, grid.shape[1] + 1):
+        grid[m - 1 :, m - 1] = table.find(m, prefix[m:] - prefix[: n + 1 - m] * table.power[m])
+    grid[:, 0][grid[:, 0] < 0] = unknown
+    return grid
+
+
+def log_forward(grid: np.ndarray, log_prob: np.ndarray) -> np.ndarray:
+    """As ``forward`` for one word, in logarithms: a product over many pieces is too small for a float."""
+    n, most = grid.shape
+    alpha = np.full((n + 1, log_prob.shape[1]), -np.inf)
+    alpha[0] = 0
+    for end in range(1, n + 1):
+        m = min(most, end)
+        alpha[end] = np.logaddexp.reduce(alpha[end - m : end][::-1] + log_prob[grid[end - 1, :m]])
+    return alpha
+
+
+def log_backward(grid: np.ndarray, log_prob: np.ndarray) -> np.ndarray:
+    n, most = grid.shape
+    beta = np.full((n + 1, log_prob.shape[1]), -np.inf)
+    beta[n] = 0
+    for start in range(n - 1, -1, -1):
+        m = np.arange(1, min(most, n - start) + 1)
+        beta[start] = np.logaddexp.reduce(beta[start + m] + log_prob[grid[start + m - 1, m - 1]])
+    return beta

@@ -4,8 +4,8 @@ import math
 import numpy as np
 import pytest
 
-from strandline.llm import language_id
-from strandline.llm.lattice import PieceTable, backward, forward, lattices
+from strandline.llm import language_id, queries
+from strandline.llm.lattice import PieceTable, backward, forward, lattices, log_backward, log_forward, long_grid
 from strandline.llm.queries import tokenizer_file
 
 
@@ -26,6 +26,46 @@ def test_forward_sums_all_segmentations():
         assert backward(grid, prob)[0, 0, 0] == pytest.approx(total)
 
 
+def test_long_words_sum_all_segmentations_too():
+    pieces = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}
+    prob = np.append(np.array([0.3, 0.2, 0.2, 0.2, 0.1]), [0.01, 0.0])[:, None]
+    with np.errstate(divide="ignore"):
+        logs = np.log(prob)
+    for word in ("a", "xab", "abab" * 9):
+        table = PieceTable(pieces)
+        (_, grid), = lattices([word], table, 5)
+        own = long_grid(word, table, 5)
+        assert np.array_equal(own, grid[0])
+        assert log_forward(own, logs)[-1, 0] == pytest.approx(np.log(forward(grid, prob)[0, -1, 0]))
+        assert log_backward(own, logs)[0, 0] == pytest.approx(np.log(backward(grid, prob)[0, 0, 0]))
+    assert np.isfinite(log_forward(long_grid("abx" * 3000, PieceTable(pieces), 5), logs)[-1, 0])
+
+
+def test_scores_do_not_change_at_a_length(monkeypatch):
+    """A word's score and the fitted model are the same on both ways."""
+    file = tokenizer_file("piece_bpe_32k.model")
+    vocab = language_id.vocabulary(file)
+    counts = {"▁" + w: k + 1 for k, w in enumerate(["donaudampfschifffahrt", "gesellschaft", "the", "other"])}
+    fits, scores = [], []
+    for long in (3, 40):
+        monkeypatch.setattr(language_id, "LONG", long)
+        prob = language_id.fit(counts, vocab)
+        fits.append(prob)
+        scores.append(language_id.Scorer(["x", "y"], np.stack([prob, np.append(np.full(len(prob) - 1, 1 / len(prob)), 0)], 1), vocab).score(["donaudampfschifffahrt", "the other"])[1])
+    assert fits[0] == pytest.approx(fits[1]) and scores[0] == pytest.approx(scores[1])
+
+
+def test_query_over_the_whole_table(spark, small):
+    import zlib
+
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    out = queries.op3_language_id(spark, small).collect()
+    assert sorted(r.doc_id for r in out) == sorted(rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    held = [r for r in out if r.held_out]
+    assert sum(r.lang_pred == rows[r.doc_id].lang for r in held) >= 0.95 * len(held)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs.filter(~language_id.held_out()), tokenizer_file("piece_bpe_32k.model"))
