@@ -2,11 +2,13 @@
 
 The reader walks the chain of image directories of either byte order, decodes PackBits, LZW or deflate strips and tiles,
 undoes horizontal differencing, and gives a page's samples. The writer stores a payload as rows of ``WIDTH`` samples in
-pages of at most ``PAGE_ROWS`` rows; how, follows from the payload's length alone, so equal payloads get equal files.
+pages of at most ``PAGE_ROWS`` rows. A checksum of the payload deals payloads of all sizes evenly over PackBits, LZW and
+deflate, so equal payloads get equal files and every decoder gets its share of the bytes.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from hashlib import sha256
@@ -14,11 +16,10 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 192, 512, 64, 64
-#: Up to so many bytes are stored with PackBits, up to so many with LZW, more with deflate; from TILED on in tiles.
-PACKBITS_BYTES, LZW_BYTES, TILED = 384, 1536, 12_288
+#: Images of so many bytes and more are stored in tiles.
+TILED = 12_288
 
 # TIFF tags, compressions, sizes of field types.
 WIDTH_TAG, HEIGHT_TAG, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
@@ -28,21 +29,27 @@ TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 CLEAR, END = 256, 257
 
 
+RUNS = re.compile(rb"(.)\1+", re.S)
+
+
 def packbits_encode(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        start = at
-        while at < n and at - start < 128 and (at + 1 >= n or data[at] != data[at + 1]):
-            at += 1
-        out.append(at - start - 1)
-        out += data[start:at]
+    out, at = bytearray(), 0
+
+    def literal(upto: int) -> None:
+        for k in range(at, upto, 128):
+            part = data[k : min(k + 128, upto)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in RUNS.finditer(data):
+        literal(m.start())
+        at = m.end()
+        left = at - m.start()
+        while left:
+            run = min(left, 128)
+            out.extend((257 - run & 255, data[m.start()]) if run > 1 else (0, data[m.start()]))
+            left -= run
+    literal(len(data))
     return bytes(out)
 
 
@@ -61,74 +68,78 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _widths(since_clear: np.ndarray) -> np.ndarray:
+    """The bits of a code by how many came since the table was cleared: one more as soon as an entry needs it."""
+    entry = since_clear + 258
+    return 9 + (entry >= 512).astype(np.int64) + (entry >= 1024) + (entry >= 2048)
+
+
 def lzw_encode(data: bytes) -> bytes:
-    codes = {bytes((k,)): k for k in range(256)}
-    acc, out, bits = [], 0, 0
-
-    def emit(code: int, size: int):
-        nonlocal out, bits
-        out = out << size | code
-        bits += size
-        while bits >= 8:
-            acc.append(out >> bits - 8 & 255)
-            bits -= 8
-        out &= (1 << bits) - 1
-
-    width, following = 9, 258
-    emit(CLEAR, width)
-    held = b""
-    for k in range(len(data)):
-        longer = held + data[k : k + 1]
-        if longer in codes:
+    codes, since, table, following = [CLEAR], [0], {}, 258
+    held, count = -1, 0
+    for byte in data:
+        if held < 0:
+            held = byte
+            continue
+        key = held << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
             held = longer
             continue
-        emit(codes[held], width)
-        codes[longer] = following
+        codes.append(held)
+        since.append(count)
+        table[key] = following
         following += 1
+        count += 1
+        held = byte
         if following == 4094:
-            emit(CLEAR, width)
-            codes, width, following = {bytes((c,)): c for c in range(256)}, 9, 258
-        elif following > (1 << width) - 1:
-            width += 1
-        held = data[k : k + 1]
-    if held:
-        emit(codes[held], width)
-        if following + 1 > (1 << width) - 1 and width < 12:
-            width += 1
-    emit(END, width)
-    if bits:
-        acc.append(out << 8 - bits & 255)
-    return bytes(acc)
+            codes.append(CLEAR)
+            since.append(count)
+            table, following, count = {}, 258, 0
+    if held >= 0:
+        codes.append(held)
+        since.append(count)
+        count += 1
+    codes.append(END)
+    since.append(count)
+    width = _widths(np.array(since))
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - width[:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes) -> bytes:
+    raw = np.frombuffer(data + b"\0" * 4, np.uint8).astype(np.int64)
     start = [bytes((k,)) for k in range(256)] + [b"", b""]
-    table, width, last, out = list(start), 9, b"", []
-    acc = bits = 0
-    for byte in data:
-        acc = (acc & (1 << bits) - 1) << 8 | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits & (1 << width) - 1
-        if code == END:
-            break
-        if code == CLEAR:
-            table, width, last = list(start), 9, b""
-            continue
-        if last:
-            if code > len(table):
+    table, last, out, since, at = list(start), b"", [], 0, 0
+    while True:
+        width = _widths(np.arange(since, since + 4096))
+        places = at + np.cumsum(width) - width
+        inside = places + width <= 8 * len(data)
+        width, places = width[inside], places[inside]
+        if not len(places):
+            return b"".join(out)
+        k = places >> 3
+        found = (raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) >> 24 - (places & 7) - width & (1 << width) - 1
+        stops = np.flatnonzero((found == CLEAR) | (found == END))
+        upto = int(stops[0]) if len(stops) else len(found)
+        for code in found[:upto].tolist():
+            if code < len(table):
+                text = table[code]
+            elif last and code == len(table):
+                text = last + last[:1]
+            else:
                 raise ValueError("an LZW code before its entry")
-            text = table[code] if code < len(table) else last + last[:1]
-            table.append(last + text[:1])
-        else:
-            text = table[code]
-        out.append(text)
-        last = text
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
-    return b"".join(out)
+            if last and len(table) < 4096:
+                table.append(last + text[:1])
+            out.append(text)
+            last = text
+        since += upto
+        at = int(places[upto - 1] + width[upto - 1]) if upto else at
+        if len(stops):
+            if found[upto] == END:
+                return b"".join(out)
+            at = int(places[upto] + width[upto])
+            table, last, since = list(start), b"", 0
 
 
 def _coded(raw: bytes, codec: int) -> bytes:
@@ -145,8 +156,7 @@ def _decoded(raw: bytes, codec: int) -> bytes:
 
 def write(payload: bytes) -> bytes:
     """A TIFF with the payload, whose length is a positive multiple of WIDTH."""
-    n = len(payload)
-    codec = PACKBITS if n <= PACKBITS_BYTES else LZW if n <= LZW_BYTES else DEFLATE
+    codec = (PACKBITS, LZW, DEFLATE)[zlib.crc32(payload) % 3]
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for top in range(0, len(rows), PAGE_ROWS):
@@ -209,6 +219,8 @@ def _page(media: bytes, tags: dict) -> dict:
     width, height, depth, codec, predictor = one(WIDTH_TAG, 0), one(HEIGHT_TAG, 0), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
     if any(b != 8 for b in tags.get(BITS, (1,))) or one(PLANAR, 1) != 1:
         raise ValueError("only 8-bit samples, pixel by pixel")
+    if predictor not in (1, 2):
+        raise ValueError(f"predictor {predictor} is not known")
     image = np.zeros((height, width, depth), np.uint8)
     tiled = TILE_OFFSETS in tags
     wide, tall = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
@@ -230,6 +242,16 @@ def payload_of(text: str | None) -> bytes:
     return raw + b" " * (-len(raw) % WIDTH or (0 if raw else WIDTH))
 
 
+#: What a damaged or foreign file raises.
+DAMAGE = (ValueError, KeyError, IndexError, struct.error, zlib.error, ZeroDivisionError)
+
+
+def _about(page: dict) -> tuple[float, float]:
+    """The mean of a page's samples and the mean difference of neighbours in a row."""
+    x = np.frombuffer(page["samples"], np.uint8).reshape(page["height"], -1)
+    return float(x.mean()) if x.size else 0.0, float(np.abs(np.diff(x.astype(np.int16), axis=1)).mean()) if x.shape[1] > 1 and len(x) else 0.0
+
+
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (of the text), media (its TIFF) for each row; null text is empty, which is a row of spaces."""
 
@@ -245,12 +267,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.mapInArrow(stored, "doc_id long, n_bytes long, media binary")
 
 
-PAGE = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, pages int, page int, width int, height int, codec string, predictor int, layout string, mean double, contrast double, samples binary"
+PAGE = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, pages int, page int, width int, height int, codec string, predictor int, layout string, mean double, contrast double, samples binary, error string"
 
 
 def read_pages(stored: DataFrame) -> DataFrame:
     """A row for each page of each ``media``: where it stands, its sizes, how it was stored, two features of its samples
-    (their mean and the mean difference of neighbours in a row) and the samples. Null media has no page."""
+    (their mean and the mean difference of neighbours in a row) and the samples.
+
+    Null media has no page. A file that is damaged, or of a kind that isn't known, is one row with what is wrong as its ``error``
+    and no page. Repeated rows come out as often.
+    """
     names = [f.split()[0] for f in PAGE.split(", ")]
 
     def pages(batches):
@@ -258,29 +284,35 @@ def read_pages(stored: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 200):
                 rows = []
                 for doc_id, size, media in zip(*(batch.slice(i, 200).column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-                    found = read(media) if media is not None else []
-                    digest = sha256(media).hexdigest() if found else None
-                    for k, p in enumerate(found):
-                        x = np.frombuffer(p["samples"], np.uint8).reshape(p["height"], -1)
-                        contrast = float(np.abs(np.diff(x.astype(np.int16), axis=1)).mean()) if x.shape[1] > 1 else 0.0
-                        rows.append((doc_id, size, len(media), digest, len(found), k, p["width"], p["height"], p["codec"], p["predictor"], p["layout"], float(x.mean()), contrast, p["samples"]))
-                kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int32()] * 4 + [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.binary()]
+                    if media is None:
+                        continue
+                    same = doc_id, size, len(media), sha256(media).hexdigest()
+                    try:
+                        found = [(p, *_about(p)) for p in read(media)]
+                    except DAMAGE as wrong:
+                        rows.append((*same, *[None] * 10, str(wrong) or type(wrong).__name__))
+                        continue
+                    for k, (p, mean, contrast) in enumerate(found):
+                        rows.append((*same, len(found), k, p["width"], p["height"], p["codec"], p["predictor"], p["layout"], mean, contrast, p["samples"], None))
+                kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int32()] * 4 + [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names)
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(pages, PAGE)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media_bytes, media_sha256, payload (read back), feature for each row of ``docs``.
+    """doc_id, n_bytes, media_bytes, media_sha256, payload (all pages read back), feature for each row of ``docs``, repeated rows
+    as often. A file's pages are read by one task, so nothing is shuffled."""
 
-    Pages of a file with several meet by (doc_id, media_sha256), which a file bounds; rows that repeat both come out
-    once there. Files of one page, for which the text's length is enough to know, are not shuffled.
-    """
-    about = F.format_string("%dx%d:%s:%d:%s:%.3f:%.3f", "width", "height", "codec", "predictor", "layout", F.round("mean", 3), F.round("contrast", 3))
-    keys = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
-    long = F.coalesce(F.octet_length(text_col), F.lit(0)) > WIDTH * PAGE_ROWS
-    single = read_pages(store(docs.filter(~long), id_col, text_col)).select(*keys, F.col("samples").alias("payload"), about.alias("feature"))
-    several = read_pages(store(docs.filter(long), id_col, text_col)).withColumn("about", about).dropDuplicates(["doc_id", "media_sha256", "page"])
-    several = several.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("page", "samples", "about"))).alias("p"))
-    whole = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["samples"]))
-    return single.unionByName(several.select(*keys, whole.alias("payload"), F.array_join("p.about", "|").alias("feature")))
+    def whole(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                rows = []
+                for doc_id, size, media in zip(*(batch.slice(i, 200).column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
+                    pages = read(media)
+                    about = ("{width}x{height}:{codec}:{predictor}:{layout}:".format(**p) + "%.3f:%.3f" % _about(p) for p in pages)
+                    rows.append((doc_id, size, len(media), sha256(media).hexdigest(), b"".join(p["samples"] for p in pages), "|".join(about)))
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["doc_id", "n_bytes", "media_bytes", "media_sha256", "payload", "feature"])
+
+    return store(docs, id_col, text_col).mapInArrow(whole, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload binary, feature string")
