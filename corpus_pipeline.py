@@ -17,27 +17,41 @@ MIN_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is determined, with that as their ``lang``."""
+    """Keeps the documents whose language is determined, with that as their ``lang``; other columns stay as they are.
+
+    Null, empty and letterless texts go. Repeated rows, null ids and null labels are rows like others; without any label
+    nothing is learned, and all documents go. An empty table stays one.
+    """
     vocabulary = tokenizer_file("piece_bpe_32k.model")
     model = language_id.train(docs, vocabulary)
-    found = language_id.identify_rows(docs, model, vocabulary)
-    kept = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
-    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else c for c in docs.columns])
+    found = language_id.identify_rows(docs, model, vocabulary, pred_col="__lang", score_col="__score")
+    kept = found.filter((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= MIN_SCORE))
+    return kept.select(*[F.col("__lang").alias(c) if c == "lang" else c for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that occurred before, alike but for two edits, short ones if they are the same; a document of which
-    nothing but white space is left goes."""
+    nothing but white space is left goes.
+
+    Null and empty texts have no lines and stay. Rows that repeat an id are one document, whose later lines repeat its earlier
+    ones; rows without an id come last. Other columns stay as they are, but ``n_chars`` is counted anew. An empty table stays one.
+    """
     kept = line_dedup.drop_repeated_lines(docs, exact_short=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by 0.8 of their five-word shingles."""
+    """Keeps one document of each group linked by 0.8 of their five-word shingles, that with the least id.
+
+    Documents without words are linked with nothing and stay, as often as they occur. Of equal rows one stays; a null id comes
+    after all others. All columns stay as they are. An empty table stays one.
+    """
     return near_dedup.keep_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into windows of 2048 ids; null and empty texts are their end id, a row is a document whatever its
+    id, and an empty table has no windows."""
     packed = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
