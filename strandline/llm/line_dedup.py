@@ -3,12 +3,13 @@
 Distinct lines come first, each with the place of its first occurrence. A line is split into ``max_edits`` + 1 even
 segments: a line within ``max_edits`` edits has one of them unchanged, at nearly the same place. So the segments are
 indexed by (length of the line, number of the segment, characters), and each line probes, for the lengths a little
-below its own, only the substrings whose place can agree. Candidates whose letter counts differ by more than the edits
-could make them are left out while they are found, the others are verified by Spark's edit distance with a
-threshold, which computes only the band around the diagonal (in code points; Spark has no bit-parallel form).
+below its own, only the substrings whose place can agree. Semi-joins leave the few lines that share a key with another
+one. These are joined; candidates whose letter counts differ by more than the edits could make them are left out while they
+are found, the others are verified by a banded bit-parallel edit distance in code points: for each number of edits a word of
+bits holds which of the diagonals around the main one are reached.
 
-Shorter lines than the edits are meant for can take part by exact comparison only: they are grouped by their hashes like all
-others, and left out of the segments.
+Shorter lines than the edits are meant for can take part by exact comparison only: they are grouped like all others, and
+left out of the segments.
 
 Lines with over a quarter of a partition's share of all occurrences are few by pigeonhole: their decisions are
 broadcast, so that no task gets all occurrences of a frequent line.
@@ -19,23 +20,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import shuffle_partitions, written
+from strandline.llm.shared import erase, shuffle_partitions, written
 
 MAX_EDITS, MIN_CHARS, HOT_SHARE = 2, 20, 4
 #: Candidates whose counts of these are too far apart are no candidates.
-LETTERS = " aeioundrstlhcmg"
+LETTERS = " aeioundrstlhcm"
 LINE = ["h1", "h2"]
 #: A line without such a character is empty.
 INK = r"[^\s\x0B]"
 
 
-def _segment(length: Column, number: int, max_edits: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column, max_edits: int) -> tuple[Column, Column]:
     """Start (from 1) and length of a line's segment ``number`` (from 1): the last ones are a character longer."""
     parts = max_edits + 1
     short = F.floor(length / parts).cast("int")
     longer = F.pmod(length, F.lit(parts))
-    extra = F.greatest(F.lit(number - 1) - (parts - longer), F.lit(0))
-    return short * (number - 1) + extra + 1, short + (F.lit(number) > parts - longer).cast("int")
+    extra = F.greatest(number - 1 - (parts - longer), F.lit(0))
+    return short * (number - 1) + extra + 1, short + (number > parts - longer).cast("int")
 
 
 def _counts() -> Column:
@@ -57,26 +58,63 @@ def _apart(x: Column, y: Column) -> Column:
     return total
 
 
-def _index(max_edits: int) -> Column:
-    keys = []
-    for i in range(1, max_edits + 2):
-        start, size = _segment(F.col("n"), i, max_edits)
-        keys.append(F.xxhash64("n", F.lit(i), F.substring("line", start, size)))
-    return F.array(*keys)
+def _lookups(max_edits: int) -> list[tuple[int, int, int]]:
+    """(less, number, shift): a line probes, for lines shorter by ``less`` characters, the substring ``shift`` from the place
+    of their segment ``number``, as far as the edits before and after the segment allow. Of two lines of one length either
+    finds the other, so that shifts to one side are enough."""
+    return [
+        (less, i, shift)
+        for less in range(max_edits + 1)
+        for i in range(1, max_edits + 2)
+        for shift in range(max(1 - i, less - (max_edits + 1 - i)), min(i - 1, less + max_edits + 1 - i) + 1)
+        if less or shift >= 0
+    ]
+
+
+def _keys(lines: DataFrame, lookups: list[tuple[int, int, int]], max_edits: int, **kept: str) -> DataFrame:
+    """The columns ``kept`` (new name: name) and key, the hash of a line's substring, for each of ``lookups``. Rows are multiplied first, so that one small
+    expression serves all lookups; lines of one-byte characters are cut as bytes, which need no counting."""
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("less"), F.lit(b).alias("i"), F.lit(c).alias("shift")) for a, b, c in lookups])).alias("at")
+    plain = F.when(F.octet_length("line") == F.col("n"), F.col("line").cast("binary")).alias("plain")
+    rows = lines.select(*[F.col(c).alias(k) for k, c in kept.items()], "line", "n", plain, each)
+    start, size = _segment(F.col("n") - F.col("at.less"), F.col("at.i"), max_edits)
+    rows = rows.withColumns({"start": start + F.col("at.shift"), "size": size}).filter("start >= 1 and start + size - 1 <= n")
+    text = F.when(F.col("plain").isNull(), F.substring("line", F.col("start"), F.col("size")).cast("binary")).otherwise(F.substring("plain", F.col("start"), F.col("size")))
+    return rows.select(*kept, F.xxhash64(F.col("n") - F.col("at.less"), F.col("at.i"), text).alias("key"))
+
+
+def within(a: str, b: str, max_edits: int) -> Column:
+    """Whether the lines in columns ``a`` and ``b``, of lengths that differ by ``max_edits`` or less, are within so many edits.
+
+    Bit ``j - i + max_edits`` of word ``d`` is set if the first i characters of ``a`` become the first j of ``b`` by d edits or
+    less. A character of ``a`` moves all diagonals at once: equal ones stay, with an edit more also others, or neighbours.
+    """
+    width, every = 2 * max_edits + 1, (1 << (2 * max_edits + 1)) - 1
+
+    def step(left: Column, right: Column, reached: Column, i: Column) -> Column:
+        own, match = F.get(left, i), F.lit(0)
+        for k in range(width):
+            match = match.bitwiseOR(F.when(F.get(right, i + (k - max_edits)) == own, F.lit(1 << k)).otherwise(F.lit(0)))
+        return F.when(reached[f"d{max_edits}"] == 0, reached).otherwise(F.struct(*_advance(reached, match, max_edits, every)))
+
+    def alike(left: Column, right: Column) -> Column:
+        start = F.struct(*[F.lit(((1 << d + 1) - 1) << max_edits & every).alias(f"d{d}") for d in range(max_edits + 1)])
+        last = F.aggregate(F.sequence(F.lit(0), F.size(left) - 1), start, lambda reached, i: step(left, right, reached, i))
+        return F.call_function("shiftright", last[f"d{max_edits}"], F.size(right) - F.size(left) + max_edits).bitwiseAND(F.lit(1)) == 1
+
+    # of an array of one pair, so that lines are split into characters once and not in each step
+    return F.exists(F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))), lambda pair: alike(pair["a"], pair["b"]))
 
 
-def _probes(max_edits: int) -> Column:
-    """The keys that a line looks up: for lines shorter by ``less`` characters, substrings around the segment's place."""
-    keys = []
-    for less in range(max_edits + 1):
-        other = F.col("n") - less
-        for i in range(1, max_edits + 2):
-            start, size = _segment(other, i, max_edits)
-            for shift in range(max(1 - i, less - (max_edits + 1 - i)), min(i - 1, less + max_edits + 1 - i) + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + size - 1 <= F.col("n"))
-                keys.append(F.when(inside, F.xxhash64(other.cast("int").alias("n"), F.lit(i), F.substring("line", at, size))))
-    return F.array_compact(F.array(*keys))
+def _advance(reached: Column, match: Column, max_edits: int, every: int) -> list[Column]:
+    words = []
+    for d in range(max_edits + 1):
+        now = reached[f"d{d}"].bitwiseAND(match)
+        if d:
+            fewer = reached[f"d{d - 1}"]
+            now = now.bitwiseOR(fewer).bitwiseOR(F.shiftright(fewer, 1)).bitwiseOR(F.shiftleft(words[-1], 1).bitwiseAND(F.lit(every)))
+        words.append(now.alias(f"d{d}"))
+    return words
 
 
 def _place() -> Column:
@@ -101,22 +139,29 @@ def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     if min_chars <= max_edits:
         raise ValueError("lines must be longer than the edits between them")
     every = occurrences(docs, id_col, text_col, min_chars, exact_short)
-    lines = every.groupBy(*LINE).agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("count"), F.first("line").alias("line"), F.first("n").alias("n"))
-    lines = written(lines.withColumns({"at": F.struct("first", "h1", "h2"), "counts": _counts()}), "distinct-lines")
+    lines = every.groupBy(*LINE, "line", "n").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("count"))
+    lines = written(lines.withColumn("at", F.struct("first", "h1", "h2")), "distinct-lines")
 
+    # Lines that share a key with another one.
     long = lines.filter(F.col("n") >= min_chars) if exact_short else lines
-    index = long.select(F.col("h1").alias("a"), F.col("counts").alias("ca"), F.explode(_index(max_edits)).alias("key"))
-    probe = long.select(F.col("h1").alias("b"), F.col("counts").alias("cb"), F.explode(F.array_distinct(_probes(max_edits))).alias("key"))
+    segments, lookups = [(0, i, 0) for i in range(1, max_edits + 2)], _lookups(max_edits)
+    index, probe = _keys(long, segments, max_edits, a="h1"), _keys(long, lookups, max_edits, b="h1")
+    probing = probe.alias("p").join(index.hint("merge").alias("i"), F.expr("p.key = i.key and p.b != i.a"), "left_semi")
+    probing = written(probing, "probing")
+    found = index.join(probing.select("key").distinct(), "key", "left_semi").select(F.col("a").alias("h1"))
+    ends = found.union(probing.select("b")).distinct()
+    named = lines.join(ends.hint("merge"), "h1", "left_semi").select("h1", "line", "n", "at", _counts().alias("counts"))
+    named = written(named, "candidate-lines")
+
+    index, probe = _keys(named, segments, max_edits, a="h1", ca="counts"), _keys(named, lookups, max_edits, b="h1", cb="counts")
     alike = (F.col("a") != F.col("b")) & (_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits)
     pairs = index.join(probe.hint("merge"), "key").filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    named = written(lines.join(ends.hint("merge"), "h1", "left_semi").select("h1", "line", "at"), "candidate-lines")
     left = pairs.join(named.select(F.col("h1").alias("a"), F.col("line").alias("la"), F.col("at").alias("pa")), "a")
     both = left.join(named.select(F.col("h1").alias("b"), F.col("line").alias("lb"), F.col("at").alias("pb")), "b")
-    linked = both.filter(F.levenshtein("la", "lb", max_edits) >= 0)
+    linked = both.filter(within("la", "lb", max_edits))
     linked = linked.select(F.explode(F.array(F.struct(F.col("pa").alias("own"), (F.col("pb") < F.col("pa")).alias("later")), F.struct(F.col("pb").alias("own"), (F.col("pa") < F.col("pb")).alias("later")))).alias("e"))
-    linked = linked.groupBy(F.col("e.own.h1").alias("h1"), F.col("e.own.h2").alias("h2")).agg(F.bool_or("e.later").alias("later"), F.count(F.lit(1)).alias("links"))
+    linked = written(linked.groupBy(F.col("e.own.h1").alias("h1"), F.col("e.own.h2").alias("h2")).agg(F.bool_or("e.later").alias("later"), F.count(F.lit(1)).alias("links")), "linked")
+    erase(probing, named)
     return lines.select(*LINE, "first", "count").join(linked, LINE, "left").select(*LINE, "first", "count", F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
@@ -129,7 +174,8 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     Null and empty texts have none. Rows with equal ids count as one document; rows without an id come after all others
     and count as one place. An empty table gives an empty result; other columns are not looked at.
     """
-    decided = written(line_decisions(docs, max_edits, min_chars, id_col, text_col, exact_short), "lines")
+    decided = line_decisions(docs, max_edits, min_chars, id_col, text_col, exact_short)
+    decided = written(decided.filter("later or count > 1"), "lines")  # others stay wherever they are
     every = occurrences(docs, id_col, text_col, min_chars, exact_short).select("doc_id", "no", *LINE)
     rows = decided.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     share = max(1, rows // (HOT_SHARE * shuffle_partitions(docs.sparkSession)))

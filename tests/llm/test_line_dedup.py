@@ -4,7 +4,7 @@ import corpus_pipeline
 import duckdb
 import pytest
 from strandline.llm import queries
-from strandline.llm.line_dedup import drop_repeated_lines, repeated_lines
+from strandline.llm.line_dedup import drop_repeated_lines, repeated_lines, within
 
 
 def distance(a, b):
@@ -50,6 +50,22 @@ def test_against_brute_force(spark):
         assert found(repeated_lines(df, edits, 8)) == brute(rows, edits, 8)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_bit_parallel_distance(spark, edits):
+    draw, pairs = random.Random(edits), []
+    for _ in range(400):
+        a = "".join(draw.choices("abé😀", k=draw.randint(4, 40)))
+        b = list(a)
+        for _ in range(draw.randint(0, edits + 2)):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randint(0, 1)] = draw.choice(["", "a", "zz"])
+        b = "".join(b)
+        if b and abs(len(a) - len(b)) <= edits:
+            pairs.append((a, b, distance(a, b) <= edits))
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", within("a", "b", edits).alias("got"))
+    assert len(pairs) > 100 and df.filter("want is distinct from got").count() == 0
+
+
 def test_frequent_line_and_edges(spark):
     line, long = "one line that is everywhere", "very long " * 20_000
     rows = [(k, f"{line}\nown line of the document {k * k * 7919}") for k in range(300)] + [(500, None), (501, ""), (502, long), (503, long), (504, "\n\nshort\nshort")]
