@@ -132,42 +132,44 @@ def resolve(edges: DataFrame) -> DataFrame:
 def heading_paths(elements: DataFrame) -> DataFrame:
     """parent_pos, level and heading_path (texts from the root) of each element, by a fold over a document's headings.
 
-    A title (level 1 given) clears the stack. A numbered heading (1, 1.2, ...) pops what isn't a prefix of its number,
-    its level follows from the dots. Another pops unnumbered ones, gets one level more than the top or 2, and stays on the
-    stack only if that is empty. The fold sees headings only; the others join by the number of headings before them.
+    A title (level 1 given) starts anew. A numbered heading (1, 1.2, ...) stands below the nearest open one whose number
+    is the beginning of its own, its level follows from the dots. Another closes unnumbered ones, the title too, has one
+    level more than what is open or 2, and is open only if nothing else is. The fold is an aggregate over a document's
+    headings; the others join by the number of headings before them.
     """
     seen = elements.withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0)))
     heads = seen.filter("kind = 'heading'").select("doc_id", "section", "pos", "text", *(["level"] if "level" in elements.columns else []))
 
-    def fold(pdf):
-        import re
-
-        stack, rows = [], []
-        for r in pdf.sort_values("pos").itertuples():
-            found = re.match(r"\s*(\d+(?:\.\d+)*)\.?\s+\S", r.text or "")
-            given, number = getattr(r, "level", None), found[1] if found else None
-            if given == 1:
-                stack, level = [], 1
-            elif number:
-                while stack and not (stack[-1][1] and number.startswith(stack[-1][1] + ".")):
-                    stack.pop()
-                level = number.count(".") + 2
-            else:
-                while stack and stack[-1][1] is None and stack[-1][2] != 1:
-                    stack.pop()
-                level = stack[-1][2] + 1 if stack else 2
-            above = [s[3] for s in stack]
-            parent = stack[-1][0] if stack else None
-            if number or given == 1 or not stack:
-                stack.append((r.pos, number, level, r.text))
-            rows.append((r.doc_id, r.section, parent, level, above, stack[-1][0], [s[3] for s in stack]))
-        return type(pdf)(rows, columns=["doc_id", "section", "parent_pos", "level", "above", "top", "path"])
-
-    kind = dict(elements.dtypes)["doc_id"]
-    folded = heads.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, section long, parent_pos int, level int, above array<string>, top int, path array<string>")
+    given = F.col("level") if "level" in heads.columns else F.lit(None).cast("int")
+    number = F.nullif(F.regexp_extract("text", r"^\s*(\d+(?:\.\d+)*)\.?\s+\S", 1), F.lit(""))
+    head = F.struct(F.col("pos").cast("int").alias("pos"), F.coalesce(given == 1, F.lit(False)).alias("title"), number.alias("number"), F.col("text"), "section")
+    lists = heads.groupBy("doc_id").agg(F.sort_array(F.collect_list(head)).alias("heads"))
+    open_kind = "array<struct<pos: int, number: string, level: int, text: string>>"
+    none = F.array().cast(open_kind)
+
+    def up_to_last(stack, wanted):
+        """The open headings up to the last that is ``wanted``."""
+        places = F.transform(stack, lambda x, k: F.when(wanted(x), k + 1).otherwise(0))
+        return F.slice(stack, F.lit(1), F.coalesce(F.array_max(places), F.lit(0)))
+
+    def step(state, x):
+        stack, is_number = state["stack"], x["number"].isNotNull()
+        below = up_to_last(stack, lambda s: s["number"].isNotNull() & x["number"].startswith(F.concat(s["number"], F.lit("."))))
+        rest = F.when(x["title"], none).when(is_number, below).otherwise(up_to_last(stack, lambda s: s["number"].isNotNull()))
+        top = F.try_element_at(rest, F.lit(-1))
+        dots = F.length(x["number"]) - F.length(F.replace(x["number"], F.lit("."))) + 2
+        level = F.when(x["title"], 1).when(is_number, dots).otherwise(F.coalesce(top["level"] + 1, F.lit(2))).cast("int")
+        own = F.array(F.struct(x["pos"].alias("pos"), F.when(~x["title"], x["number"]).alias("number"), level.alias("level"), x["text"].alias("text")))
+        after = F.when(x["title"] | is_number | (F.size(rest) == 0), F.concat(rest, own)).otherwise(rest)
+        row = F.struct(x["section"].alias("section"), top["pos"].alias("parent_pos"), level.alias("level"), F.transform(rest, lambda s: s["text"]).alias("above"), F.try_element_at(after, F.lit(-1))["pos"].alias("top"), F.transform(after, lambda s: s["text"]).alias("path"))
+        return F.struct(after.cast(open_kind).alias("stack"), F.concat(state["rows"], F.array(row)).cast(row_kind).alias("rows"))
+
+    row_kind = "array<struct<section: bigint, parent_pos: int, level: int, above: array<string>, top: int, path: array<string>>>"
+    start = F.struct(none.alias("stack"), F.array().cast(row_kind).alias("rows"))
+    folded = lists.select("doc_id", F.explode(F.aggregate("heads", start, step, lambda state: state["rows"])).alias("r")).select("doc_id", "r.*")
     rows = seen.drop("level", "parent_pos").join(folded, ["doc_id", "section"], "left")
-    is_head, none = F.col("kind") == "heading", F.array().cast("array<string>")
-    path = F.coalesce(F.when(is_head, F.col("above")).otherwise(F.col("path")), none)
+    is_head = F.col("kind") == "heading"
+    path = F.coalesce(F.when(is_head, F.col("above")).otherwise(F.col("path")), F.array().cast("array<string>"))
     parent = F.when(is_head, F.col("parent_pos")).otherwise(F.col("top"))
     return rows.withColumns({"heading_path": path, "parent_pos": parent, "level": F.when(is_head, F.col("level"))}).drop("above", "top", "path")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import cleaning
 from strandline.functions.text import norm
 from strandline.operators import boundary, graph, profile, quality, retrieval, tables, turns, usage, video
-from strandline.plans import chunking
+from strandline.plans import chunking, driver
 from strandline.sources import elements as sources
 
 #: The tables' text is clean; these endings give the rules something to do. The expression is the same in both dialects.
@@ -368,8 +368,40 @@ def event_units(spark, d):
     return units.select("doc_id", "unit_id", F.md5("content").alias("digest"), "unit_type", "start_s", "end_s", "members", "fusion", "agreement")
 
 
+def _chunked(elements, clean=False):
+    units = driver.chunk(elements, clean=clean)
+    return units.select("doc_id", F.col("unit_id").cast("long").alias("unit_id"), F.md5("content").alias("digest"), "unit_type", "strategy", "route", F.col("n_tokens").cast("long").alias("n_tokens"), "overflow", F.size("members").cast("long").alias("elements"), F.col("next_id").cast("long").alias("next_id"))
+
+
+def chunk_documents(spark, d):
+    """Documents by the whole way from elements to units; their text is clean."""
+    return _chunked(_lines(spark, d))
+
+
+def chunk_conversations(spark, d):
+    return _chunked(_seconds(_speech(spark, d)))
+
+
+def chunk_pages(spark, d):
+    """Hosts by the whole way, cleaned: sections where there are headings enough, else paragraphs packed."""
+    units = driver.chunk(_hosts(spark, d))
+    return units.select("doc_id", F.col("unit_id").cast("long").alias("unit_id"), F.md5("content").alias("digest"), "unit_type", "strategy", "reason", F.array_join("heading_path", " > ").alias("path"), F.array_join("flags", ", ").alias("flags"), "n_tokens", "overflow", F.size("references").cast("long").alias("references"), "parent_id", "completeness")
+
+
+def heading_path_numbered(spark, d):
+    """Lines of documents as headings with a title, numbers and none: every fifth line is one."""
+    rows = _lines(spark, d)
+    k = F.col("pos") / 5
+    number = F.when(F.col("pos") % 20 == 5, F.concat(F.ceil(k).cast("string"), F.lit(" "))).when(F.col("pos") % 20 == 10, F.concat(F.ceil(k - 1).cast("string"), F.lit(".1 "))).otherwise(F.lit("x"))
+    head = F.col("pos") % 5 == 0
+    rows = rows.withColumns({"kind": F.when(head, "heading").otherwise("paragraph"), "level": F.when(F.col("pos") == 0, 1), "text": F.when(head, F.concat(number, F.lit("h"), F.col("pos").cast("string"))).otherwise(F.col("text"))})
+    found = graph.heading_paths(rows)
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_join("heading_path", " > ").alias("path"), F.col("parent_pos").cast("long").alias("parent_pos"), F.col("level").cast("long").alias("level"))
+
+
 def queries() -> dict:
     own = [
+        chunk_documents, chunk_conversations, chunk_pages, heading_path_numbered,
         token_counts, normalize_probe, clean_documents, cleaning_report, clean_documents_nfkc, doc_profile, route_documents, anaphora_rate,
         escalation_flags, fixed_chunks_512_64, section_ids, heading_path, surrounding_text, reading_order_edges, qa_edges, edge_conflicts,
         relationship_loss, references_resolve, explaining_edges, speaker_turns, micro_turn_merge, long_turn_split, conversational_type,

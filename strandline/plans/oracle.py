@@ -171,6 +171,34 @@ def oracle_sql() -> dict[str, str]:
         "speaker_turns": f"""WITH {speech(False)}, r AS (SELECT *, lag(speaker) OVER w AS before, pos = 0 AS first FROM sp WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
             g AS (SELECT *, (sum(CASE WHEN first OR speaker IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS turn_no FROM r)
             SELECT doc_id, turn_no AS turn, md5(string_agg(text, ' ' ORDER BY pos)) AS digest, min(t0_ms) / 1000 AS start_s, max(t1_ms) / 1000 AS end_s, arg_min(speaker, pos) AS speaker, count(*) AS segments, sum(n)::BIGINT AS n_tokens FROM g GROUP BY doc_id, turn_no""",
+        "chunk_documents": f"""WITH RECURSIVE {LINES},
+            q AS (SELECT *, (sum(n) OVER w)::BIGINT - n AS before, (sum(n) OVER (PARTITION BY doc_id))::BIGINT AS total,
+              coalesce(lag(rtrim(text) LIKE '%?' OR regexp_matches(text, {QUESTION})) OVER w, false) AS asked FROM el WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+            cuts AS (SELECT doc_id, 0::BIGINT AS s, 0::BIGINT AS base, any_value(total) AS total FROM q GROUP BY doc_id
+              UNION ALL SELECT c.doc_id, arg_min(e.pos, abs(e.before - c.base - 500) * 1000000 + e.pos), arg_min(e.before, abs(e.before - c.base - 500) * 1000000 + e.pos), c.total
+              FROM cuts c JOIN q e ON e.doc_id = c.doc_id AND e.pos > c.s AND NOT e.asked WHERE c.total - c.base > 700 GROUP BY c.doc_id, c.s, c.base, c.total),
+            u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS unit_id, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS nxt FROM cuts)
+            SELECT u.doc_id, unit_id, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (text <> ''), '')) AS digest, 'narrative' AS unit_type, 'paragraph_fallback' AS strategy,
+              'paragraph_fallback' AS route, sum(n)::BIGINT AS n_tokens, any_value(u.total - base > 700 AND nxt IS NULL) AS overflow, count(*) AS elements, CASE WHEN any_value(nxt) IS NOT NULL THEN unit_id + 1 END AS next_id
+            FROM u JOIN q ON q.doc_id = u.doc_id AND q.pos >= s AND (nxt IS NULL OR q.pos < nxt) GROUP BY u.doc_id, unit_id""",
+        "chunk_conversations": rf"""WITH {speech(False)}, r AS (SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM sp),
+            t AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS turn FROM r),
+            f AS (SELECT *, pos = min(pos) OVER w OR t1_ms - min(t0_ms) OVER w <= 120000 AS together FROM t WINDOW w AS (PARTITION BY doc_id, turn)),
+            g AS (SELECT *, CASE WHEN together THEN -1 ELSE pos END AS part FROM f),
+            u AS (SELECT doc_id, turn, part, md5(string_agg(text, ' ' ORDER BY pos)) AS digest, sum(n)::BIGINT AS n_tokens, count(*) AS elements, min(pos) AS begins,
+              bool_or(regexp_matches(text, '(?i)\b(action item|to-?do|will follow up|assign(ed)? to|take the lead on|action point)\b')) AS acts,
+              bool_or(regexp_matches(text, '(?i)\b(we (agreed|decided|concluded)|decision (is|was)|let''s (go with|move forward with|adopt)|consensus is|approved)\b')) AS decides FROM g GROUP BY doc_id, turn, part),
+            k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY begins) - 1 AS unit_id FROM u)
+            SELECT doc_id, unit_id, digest, CASE WHEN acts THEN 'action_item' WHEN decides THEN 'decision' ELSE 'speaker_turn' END AS unit_type, 'temporal' AS strategy, 'temporal' AS route, n_tokens,
+              false AS overflow, elements, lead(unit_id) OVER (PARTITION BY doc_id ORDER BY unit_id) AS next_id FROM k""",
+        "heading_path_numbered": f"""WITH {LINES}, h AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN CASE pos % 20 WHEN 5 THEN concat(ceil(pos / 5)::INT, ' h', pos) WHEN 10 THEN concat(ceil(pos / 5 - 1)::INT, '.1 h', pos) ELSE concat('xh', pos) END END AS head FROM el),
+            -- of each twenty lines: a number, one below it, and two unnumbered below that, the second of the next twenty
+            p AS (SELECT *, (pos - 5) // 20 AS block, (pos - 5) % 20 AS off FROM h),
+            d AS (SELECT doc_id, pos, head IS NOT NULL AS is_head, CASE WHEN pos >= 5 THEN block * 20 + 5 END AS one, CASE WHEN pos >= 5 AND off >= 5 THEN block * 20 + 10 END AS two, pos >= 5 AND off >= 5 AS below FROM p),
+            n AS (SELECT d.*, a.head AS h1, b.head AS h2, z.head AS h0 FROM d LEFT JOIN h a ON a.doc_id = d.doc_id AND a.pos = one LEFT JOIN h b ON b.doc_id = d.doc_id AND b.pos = two LEFT JOIN h z ON z.doc_id = d.doc_id AND z.pos = 0)
+            SELECT doc_id, pos, CASE WHEN pos < 5 THEN CASE WHEN is_head THEN '' ELSE h0 END WHEN pos = one THEN '' WHEN pos = two OR NOT below THEN h1 ELSE concat(h1, ' > ', h2) END AS path,
+              CASE WHEN pos < 5 THEN CASE WHEN is_head THEN NULL ELSE 0 END WHEN pos = one THEN NULL WHEN pos = two OR NOT below THEN one ELSE two END::BIGINT AS parent_pos,
+              CASE WHEN NOT is_head THEN NULL WHEN pos = 0 THEN 1 WHEN pos = one THEN 2 WHEN pos = two THEN 3 ELSE 4 END::BIGINT AS level FROM n""",
         "conversational_type": rf"""WITH {speech(True)}, x AS (SELECT *, nxt IS NULL AS final FROM sp),
             g AS (SELECT doc_id, bool_or(regexp_matches(text, '(?i)\b(action item|to-?do|will follow up|assign(ed)? to|take the lead on|action point)\b')) AS acts,
               bool_or(regexp_matches(text, '(?i)\b(we (agreed|decided|concluded)|decision (is|was)|let''s (go with|move forward with|adopt)|consensus is|approved)\b')) AS decides,

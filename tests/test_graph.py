@@ -56,6 +56,15 @@ def test_heading_paths(spark):
     assert got[7] == (["2 Next"], 3, 4)
 
 
+def test_title_and_unnumbered_headings(spark):
+    rows = [("The Title", 1), ("p", 0), ("Abstract", None), ("p", 0), ("1 Intro", None), ("p", 0), ("Aside", None), ("p", 0), ("Other", 1), ("p", 0)]
+    df = spark.createDataFrame([("d", k, "paragraph" if t == "p" else "heading", t, n or None) for k, (t, n) in enumerate(rows)], "doc_id string, pos int, kind string, text string, level int")
+    got = {r.pos: (r.heading_path, r.level, r.parent_pos) for r in graph.heading_paths(df).collect()}
+    assert got[1] == (["The Title"], None, 0) and got[2] == ([], 2, None) and got[3] == (["Abstract"], None, 2)
+    assert got[4] == ([], 2, None) and got[5] == (["1 Intro"], None, 4) and got[6] == (["1 Intro"], 3, 4) and got[7] == (["1 Intro"], None, 4)
+    assert got[8] == ([], 1, None) and got[9] == (["Other"], None, 8)
+
+
 def test_overlap_and_loss(spark):
     df = spark.createDataFrame([("d", 0, 0.0, 10.0), ("d", 2, 200.0, 300.0)], "doc_id string, pos int, t0 double, t1 double")
     other = spark.createDataFrame([("d", 1, 5.0, 250.0), ("d", 3, 300.0, 400.0)], df.schema)

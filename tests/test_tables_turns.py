@@ -103,3 +103,36 @@ def test_preservation_and_links(spark):
     members = spark.createDataFrame([("d", 0, 0), ("d", 1, 0), ("d", 2, 1), ("d", 3, 2)], "doc_id string, pos int, unit int")
     links = spark.createDataFrame([("d", 0, 1)], "doc_id string, unit int, target int")
     assert quality.preservation(edges, members, links).first().preservation == 0.75
+
+
+def test_row_groups_of_long_sheets_go_on(spark, monkeypatch):
+    """Groups are those of one fold, wherever stretches end; a row over the budget stands alone."""
+    import random
+
+    from strandline.functions.text import count_tokens, row_md
+
+    monkeypatch.setattr(tables, "STRETCH", 70)
+    draw, target = random.Random(3), 60
+    rows = [(s, k, ["w " * (draw.choice([1, 3, 9, 80]) if draw.random() < 0.97 else 100), "x"]) for s in ("a", "b", "c") for k in range({"a": 500, "b": 69, "c": 141}[s])]
+    df = spark.createDataFrame(rows, "sheet string, row_no int, cells array<string>")
+    costs = {(r.sheet, r.row_no): r.c for r in df.select("sheet", "row_no", count_tokens(row_md(F.col("cells"))).alias("c")).collect()}
+    first = spark.range(1).select(count_tokens(row_md(F.array(F.lit("a"), F.lit("b"))))).first()[0]
+    want, acc, group, last = {}, None, 0, None
+    for s, k, _ in rows:
+        if s != last:
+            acc, group, last = None, 0, s
+        elif acc + costs[s, k] > target:
+            acc, group = None, group + 1
+        acc = (first if acc is None else acc) + costs[s, k]
+        want[s, k] = group
+    assert {(r.sheet, r.row_no): r.group for r in tables.row_groups(df, ["a", "b"], target).collect()} == want
+
+
+def test_cross_document_links_by_parts_of_words(spark):
+    from strandline.operators import quality
+
+    units = [("a", 0, "See Sales_Q3. It is new.", "text"), ("a", 1, "the annual report says", "section"), ("b", 0, "unrelated", "text"), ("c", 5, "reports on annual reports", "section"), ("c", 6, "end", "text"), ("d", 0, "abc", "text")]
+    df = spark.createDataFrame(units, "doc_id string, unit_id int, content string, element_kind string")
+    names = spark.createDataFrame([("a", "first.md"), ("b", "sales_q3.csv"), ("c", "Annual Report.pdf"), ("d", "abc.txt")], "doc_id string, name string")
+    got = {(r.doc_id, r.unit_id, r.target_doc, r.target_id) for r in quality.cross_document_links(df, names).collect()}
+    assert got == {("a", 0, "b", 0), ("a", 1, "c", 5)}
