@@ -3,6 +3,9 @@
 A page becomes a flat sequence of text blocks, broken at block-level tags. A block has its word count and link density
 and those of its two neighbours, and marks of what encloses it. A decision tree, trained here on a small labelled table
 of blocks, says which blocks are main text.
+
+Names in class, id and role are a weak mark: what they name counts as boilerplate only while it has less than half of the
+page's words, or mostly links; a name around the page's prose says nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 # Kinds of HTML elements.
@@ -40,6 +43,12 @@ LABELLED = [
     (3, 0.0, 0, 0.0, 60, 0.0, 0, 1, 1, 1), (12, 0.5, 60, 0.0, 60, 0.0, 0, 1, 1, 1), (2, 1.0, 30, 0.0, 50, 0.0, 0, 1, 1, 1),
     (4, 1.0, 4, 1.0, 4, 1.0, 0, 1, 1, 1), (300, 0.0, 5, 1.0, 9, 0.4, 0, 1, 0, 1), (2, 0.0, 1, 1.0, 12, 0.1, 0, 1, 1, 1),
     (7, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0, 1), (1, 0.0, 8, 0.0, 8, 0.1, 0, 1, 0, 1), (15, 0.0, 15, 0.0, 15, 0.0, 0, 1, 0, 1),
+    (6, 0.0, 5, 0.0, 3, 0.0, 0, 1, 1, 1), (12, 0.0, 8, 0.0, 2, 0.0, 0, 1, 1, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1),
+    (3, 0.0, 2, 0.0, 1, 0.0, 0, 1, 1, 1), (40, 0.0, 3, 0.0, 2, 0.0, 0, 1, 1, 1), (4, 0.0, 6, 0.0, 0, 0.0, 0, 1, 1, 1),
+    (2, 0.0, 3, 1.0, 4, 1.0, 0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1, 1), (9, 0.0, 2, 1.0, 2, 0.0, 0, 1, 1, 1),
+    (30, 0.0, 1, 1.0, 8, 1.0, 0, 1, 1, 1), (5, 1.0, 3, 0.0, 1, 1.0, 0, 1, 1, 1), (8, 0.9, 1, 0.0, 2, 1.0, 0, 1, 0, 1),
+    (3, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (20, 0.0, 4, 0.0, 3, 0.0, 0, 1, 0, 1), (6, 0.0, 2, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (60, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (5, 0.0, 6, 0.0, 9, 0.0, 0, 1, 0, 1), (2, 0.0, 5, 0.0, 1, 0.0, 0, 1, 0, 1),
     # marked as boilerplate, in an article or out of it, whatever its length
     (2, 1.0, 0, 0.0, 2, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0), (9, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0, 0),
     (45, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1, 0), (80, 0.0, 70, 0.0, 20, 0.0, 1, 1, 1, 0), (30, 0.0, 80, 0.0, 30, 0.0, 1, 1, 1, 0),
@@ -49,6 +58,13 @@ LABELLED = [
     (50, 0.0, 5, 0.0, 40, 0.1, 0, 0, 1, 1), (35, 0.1, 50, 0.0, 45, 0.0, 0, 0, 1, 1), (120, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 1),
     (18, 0.0, 70, 0.0, 60, 0.0, 0, 0, 1, 1), (6, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1, 1), (8, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 1),
     (22, 0.2, 30, 0.0, 4, 1.0, 0, 0, 1, 1), (16, 0.0, 4, 1.0, 40, 0.0, 0, 0, 1, 1), (28, 0.3, 50, 0.0, 28, 0.3, 0, 0, 0, 1),
+    (8, 0.0, 9, 0.0, 7, 0.0, 0, 0, 1, 1), (12, 0.0, 8, 0.0, 10, 0.0, 0, 0, 1, 1), (6, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1, 1),
+    (9, 0.0, 12, 0.0, 0, 0.0, 0, 0, 1, 1), (14, 0.0, 6, 0.0, 11, 0.0, 0, 0, 1, 1), (5, 0.0, 11, 0.0, 13, 0.0, 0, 0, 1, 1),
+    (4, 0.0, 9, 0.0, 3, 1.0, 0, 0, 1, 1), (7, 0.0, 4, 1.0, 10, 0.0, 0, 0, 1, 1), (3, 0.0, 6, 0.0, 6, 0.0, 0, 0, 1, 1),
+    (80, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1), (60, 0.0, 2, 0.0, 3, 0.0, 0, 0, 1, 1), (45, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1),
+    (7, 0.0, 7, 0.0, 0, 0.0, 0, 0, 1, 1), (6, 0.0, 5, 0.0, 4, 0.0, 0, 0, 1, 1), (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 1, 1),
+    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0), (6, 0.0, 4, 1.0, 5, 0.9, 0, 0, 1, 0), (7, 0.0, 3, 1.0, 4, 1.0, 0, 0, 1, 0),
+    (9, 0.0, 6, 0.9, 4, 1.0, 0, 0, 1, 0), (10, 0.4, 5, 1.0, 6, 0.9, 0, 0, 1, 0), (9, 0.3, 12, 0.0, 14, 0.0, 0, 0, 1, 1),
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0), (3, 1.0, 3, 1.0, 40, 0.0, 0, 0, 0, 0), (6, 0.8, 5, 0.9, 5, 0.9, 0, 0, 1, 0),
     (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0, 0), (30, 0.9, 4, 1.0, 5, 1.0, 0, 0, 0, 0),
     (8, 0.1, 5, 0.5, 0, 0.0, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 0), (14, 0.7, 70, 0.0, 12, 0.8, 0, 0, 0, 0),
@@ -56,6 +72,16 @@ LABELLED = [
 ]
 
 
+#: Words and link density of blocks, for what holds at any size: marked boilerplate is none, other blocks of an article are main.
+SIZES = [(0, 0.0), (1, 0.0), (2, 1.0), (4, 0.0), (7, 0.05), (9, 0.4), (20, 0.0), (60, 0.1), (200, 0.0)]
+
+
+def table() -> list[tuple]:
+    """The labelled blocks, and the marked ones of all SIZES between neighbours of all."""
+    marked = [(*own, *before, *after, boiler, 1, prose, 1 - boiler) for own in SIZES[1:] for before in SIZES for after in SIZES for boiler in (0, 1) for prose in (0, 1)]
+    return LABELLED + marked
+
+
 def train(rows: list[tuple], depth: int = 6):
     """A binary tree (feature, threshold, at or below, above) or a label, split where Gini impurity falls most."""
     ones = sum(r[-1] for r in rows)
@@ -82,7 +108,7 @@ def train(rows: list[tuple], depth: int = 6):
 
 @cache
 def tree():
-    return train(LABELLED)
+    return train(table())
 
 
 def classify(node, features: tuple) -> bool:
@@ -94,8 +120,9 @@ def classify(node, features: tuple) -> bool:
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """(text, words, link density, boiler, main, prose) of each text block, in page order."""
     out, text, linked = [], [], 0
-    stack: list[tuple[str, int, int, int, bool]] = []  # tag, boiler, main, skipped, is prose
+    stack: list[tuple[str, int, int, int, bool, int]] = []  # tag, boiler, main, skipped, is prose, number of a named element
     boiler = main = skipped = links = 0
+    named: list[list[int]] = []  # of elements with a name of boilerplate: words, linked words
 
     def close_block():
         nonlocal text, linked
@@ -103,13 +130,17 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             words = " ".join("".join(text).split())
             if words:
                 n = words.count(" ") + 1
-                out.append((words, n, min(1.0, linked / n), int(boiler > 0), int(main > 0), int(bool(stack) and stack[-1][4])))
+                inside = [e[5] for e in stack if e[5] >= 0]
+                for k in inside:
+                    named[k][0] += n
+                    named[k][1] += min(n, linked)
+                out.append((words, n, min(1.0, linked / n), boiler > 0, int(main > 0), int(bool(stack) and stack[-1][4]), inside))
         text, linked = [], 0
 
     def leave(k: int):
         nonlocal boiler, main, skipped
         close_block()
-        for t, b, m, s, _ in stack[k:]:
+        for _, b, m, s, *_ in stack[k:]:
             boiler, main, skipped = boiler - b, main - m, skipped - s
         del stack[k:]
 
@@ -121,9 +152,9 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if links > 0:
                 linked += len(raw.split())
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if m is None:
             add(page[at:])
             break
@@ -170,12 +201,18 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         names = " ".join(values.get(k, "") for k in ("class", "id", "role"))
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
         is_main = tag in MAIN or values.get("role") == "main" or values.get("itemprop", "").lower() == "articlebody" or bool(names and MAIN_HINT.search(names))
-        is_boiler = tag in BOILER or tag == "header" and not main or not is_main and tag not in ("html", "body") and bool(names and BOILER_HINT.search(names)) or hidden
-        entry = (tag, int(is_boiler), int(is_main), int(tag in SKIPPED), tag in ("p", "li", "blockquote", "pre", "td", "dd", "dt") or tag in CLOSED_BY_BLOCK)
+        is_boiler = tag in BOILER or tag == "header" and not main or hidden
+        number = -1
+        if not is_boiler and not is_main and tag not in ("html", "body") and names and BOILER_HINT.search(names):
+            number = len(named)
+            named.append([0, 0])
+        entry = (tag, int(is_boiler), int(is_main), int(tag in SKIPPED), tag in ("p", "li", "blockquote", "pre", "td", "dd", "dt") or tag in CLOSED_BY_BLOCK, number)
         stack.append(entry)
         boiler, main, skipped = boiler + entry[1], main + entry[2], skipped + entry[3]
     close_block()
-    return out
+    half = sum(b[1] for b in out if not b[3]) / 2
+    weak = [words < half or 2 * linked > words for words, linked in named]
+    return [(*b[:3], int(b[3] or any(weak[k] for k in b[6])), *b[4:6]) for b in out]
 
 
 def main_text(page: str) -> str:

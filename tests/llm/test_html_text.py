@@ -1,11 +1,12 @@
 import html
 import re
 
-from strandline.llm.html_text import blocks, classify, extract, main_text, train, tree, LABELLED
+from strandline.llm import queries
+from strandline.llm.html_text import blocks, classify, extract, main_text, table, train, tree
 
 
 def test_tree_fits_its_table():
-    assert all(classify(tree(), r[:-1]) == bool(r[-1]) for r in LABELLED)
+    assert all(classify(tree(), r[:-1]) == bool(r[-1]) for r in table())
     assert train([(1, 0), (2, 0)], 3) == 0
 
 
@@ -49,3 +50,34 @@ def test_query_edges(spark):
     assert {r.page_id: r.n_chars for r in out if r.url is None or r.page_id == 1} == {1: 0, 2: 0}
     assert max(r.n_chars for r in out) == 20_000 * 10 - 1
     assert extract(df.filter("false")).count() == 0
+
+
+PROSE = "A sentence with quite a few words in it that nobody links anywhere. " * 3
+
+
+def test_names_around_the_prose_say_nothing():
+    for page in (f'<div class="post-12 tag-news"><p>{PROSE}</p><p>{PROSE}</p></div>', f'<div class="has-header-image"><article><p>{PROSE}</p></article></div>', f'<div id="social-policy"><p>{PROSE}</p></div>'):
+        assert main_text(f"<nav><a href=1>One</a></nav>{page}<footer>end</footer>").count("A sentence") == page.count("A sentence")
+    short = [f"The paragraph number {k} has few words." for k in range(8)]
+    assert main_text("<ul><li><a href=1>One</a><li><a href=2>Two</a></ul>" + "".join(f"<p>{p}</p>" for p in short)) == " ".join(short)
+
+
+def test_attributes_as_html_has_them():
+    assert main_text("<article><p data-x=it's>Hello world</p><p>Don't go</p></article>") == "Hello world Don't go"
+    assert main_text('<article><p title="a > b" class=x>Kept</p></article>') == "Kept"
+
+
+def test_long_odd_pages_take_linear_time():
+    import time
+
+    for page in ("<a href=\"x" * 40_000, "<a " * 100_000, "<p class='" * 40_000 + ">", "<div>" * 3_000 + "x"):
+        began = time.process_time()
+        blocks(page)
+        assert time.process_time() - began < 5
+
+
+def test_query_over_the_whole_table(spark, small):
+    rows = {r.page_id: r for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    out = queries.op10_html_text(spark, small).collect()
+    assert sorted(r.page_id for r in out) == sorted(rows)
+    assert all(r.text == main_text(rows[r.page_id].html) and r.n_chars == len(r.text) and r.url == rows[r.page_id].url for r in out)
