@@ -7,17 +7,19 @@ the minimum by a monotone queue. A stream is cut block by block, the last window
 memory is bounded by a block; nothing is shuffled, and a partition has at most one short window.
 
 Ids are those of the tokenizers file. Where white space is single spaces and newlines only, a pre-token never goes on over
-one: a space begins the next, a newline is one by itself. So words are encoded once, many together, and remembered; a text with
-any other white space is encoded as a whole.
+one: a space begins the next, a newline is one by itself. So words are encoded once and remembered; a text with any other
+white space is encoded as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
+from array import array
 from collections import deque
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,68 +31,79 @@ from strandline.llm.shared import held
 WINDOW = 2048
 END_ID = 1
 SENTENCE_PENALTY, INNER_PENALTY = 8, 256
-BLOCK_TOKENS, BATCH_BYTES, WORDS_KEPT, SLICE, TOGETHER = 1 << 20, 16 << 20, 400_000, 200, 100
+BLOCK_TOKENS, BATCH_BYTES, WORDS_KEPT, SLICE = 1 << 20, 16 << 20, 800_000, 200
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: A sentence ends before this white space.
 SLOW_END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\S)(?=\n)")
-#: White space of any kind but single spaces and newlines, and the sign that marks sentence ends meanwhile.
-ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"] + ["\0"]
+#: White space of any kind but single spaces and newlines inside a text, and the sign that marks sentence ends meanwhile.
+ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"] + ["  ", " \n", "\n ", "\n\n", "\0"]
+
+
+def _signs() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable ones as they are, others from U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in kept]
+    return {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+# Fixed value: how byte-level vocabularies of this kind cut texts before merging.
+PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class _Words(dict):
+    """The ids of words as they follow a space, of those with a newline in front that begin a line, with \\0 that begin a text."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        own = word if word[:1] == "\n" else word[1:] if word[:1] == "\0" else " " + word
+        ids = array("I", self.encode(own)).tobytes()
+        if len(word) < 100:
+            self[word] = ids
+        return ids
 
 
 class ByteBpe:
-    """Whole texts to little-endian 32-bit ids, as the tokenizers file says; special tokens' strings are text."""
+    """Whole texts to little-endian 32-bit ids, as the tokenizers file says; special tokens' strings are text.
+
+    The file's merges, which it numbers in their order, are also given to an engine that is quicker with single words;
+    a file of another order has all texts encoded as a whole.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        # Fixed value: how byte-level vocabularies write a space.
-        self.starts = np.array([n.startswith("\u0120") for n in names])
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        if len(self.newline) != 1:
-            raise ValueError("the vocabulary has no newline")
-        #: Words as they follow a space, with a newline in front those that begin a line, with \0 those that begin a text.
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words, many in one text: those after a space by where tokens begin with one, others by newlines."""
-        line, first = ([w for w in words if w[:1] == c] for c in "\n\0")
-        inner = [w for w in words if w[:1] not in ("\n", "\0")]
-        groups = [inner[k : k + TOGETHER] for k in range(0, len(inner), TOGETHER)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups])):
-            at = np.flatnonzero(self.starts[ids]).tolist()
-            self._keep(group, at, [*at[1:], len(ids)], ids.tobytes())
-        for own, before in ((line, 0), (first, 1)):  # of lines with the newline in front
-            groups = [own[k : k + TOGETHER] for k in range(0, len(own), TOGETHER)]
-            for group, ids in zip(groups, self._ids(["\n" + "\n".join(w[1:] for w in g) for g in groups])):
-                at = np.flatnonzero(ids == self.newline[0]).tolist()
-                self._keep(group, [a + before for a in at], [*at[1:], len(ids)], ids.tobytes())
-
-    def _keep(self, words: list[str], starts: list[int], ends: list[int], ids: bytes) -> None:
-        if len(starts) != len(words):
-            raise ValueError("the vocabulary doesn't part words at white space")
-        for w, a, b in zip(words, starts, ends):
-            self.known[w] = ids[4 * a : 4 * b]
+        model = json.load(open(tokenizer_file, encoding="utf-8"))["model"]
+        sign = _signs()
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        merged = [a + b for a, b in pairs]
+        ordered = [model["vocab"][t] for t in merged]
+        self.known = None
+        if ordered == list(range(256, 256 + len(merged))) and sorted(model["vocab"][t] for t in sign) == list(range(256)):
+            ranks = {bytes(sign[c] for c in t): k for t, k in ((t, model["vocab"][t]) for t in [*sign, *merged])}
+            engine = tiktoken.Encoding("words", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+            self.known = _Words(engine.encode_ordinary)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """The ids of each text, and how many of them each of its sentences has."""
-        parted = [self._parts(t) for t in texts]
-        words = set(chain.from_iterable(p[0] for p in parted if p))
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        self._learn(list(words.difference(self.known)))
-        return [self._joined(*parts) if parts else self._whole(t) for t, parts in zip(texts, parted)]
+        return [self._joined(*parts) if (parts := self._parts(t)) else self._whole(t) for t in texts]
+
+    def _joined(self, words: list[str], begins: list[int]) -> tuple[bytes, np.ndarray]:
+        found = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return b"".join(found), np.add.reduceat(sizes, begins) // 4
 
     def _parts(self, text: str) -> tuple[list[str], list[int]] | None:
         """The words, and where in them sentences begin; None if white space is odd."""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(map(text.__contains__, ODD)):
+        if self.known is None or not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, ODD)):
             return None
         marked = text.replace(". ", ".\0 ").replace("! ", "!\0 ").replace("? ", "?\0 ").replace("\n", "\0 \n")
         counts = [p.count(" ") for p in marked.split("\0")]
@@ -99,11 +112,6 @@ class ByteBpe:
         words[0] = "\0" + words[0]
         return words, [0, *accumulate(counts[:-1])]
 
-    def _joined(self, words: list[str], begins: list[int]) -> tuple[bytes, np.ndarray]:
-        found = list(map(self.known.__getitem__, words))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return b"".join(found), np.add.reduceat(sizes, begins) // 4
-
     def _whole(self, text: str) -> tuple[bytes, np.ndarray]:
         found = self.tokenizer.encode(text, add_special_tokens=False)
         ends = [m.start() for m in SLOW_END.finditer(text)]
@@ -114,18 +122,22 @@ class ByteBpe:
 
 def choose_cuts(points: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
     """Of the ascending ``points`` (0 first, at most ``window`` apart) those that cut, 0 and the last among them."""
-    keys, queue, head, back = [0], [0], 0, [0] * len(points)
+    keys, queue, head, back = [0], [0], 0, [0]
+    first = 0  # the point at the queue's head
     for j in range(1, len(points)):
         least = points[j] - window
-        while points[queue[head]] < least:
+        while first < least:
             head += 1
-        back[j] = queue[head]
+            first = points[queue[head]]
+        back.append(queue[head])
         key = keys[head] + window + penalties[j]
-        while len(keys) > head and keys[-1] >= key:
+        while keys[-1] >= key and len(keys) > head:
             keys.pop()
             queue.pop()
         keys.append(key)
         queue.append(j)
+        if len(keys) == head + 1:
+            first = points[j]
     at, cuts = len(points) - 1, []
     while at:
         cuts.append(points[at])
