@@ -52,10 +52,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return joined.select("doc_id", kept_id.alias("keep_id"), F.coalesce("whole_size", "run_size").alias("group_size"), _first(kept_id).alias("kept"), "text_sha256")
 
 
-def keep_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text; ids must be unique and not null here."""
-    kept = exact_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs[options.get("id_col", "doc_id")] == kept["__kept"], "left_semi")
+def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each text: that with the id that is kept, of rows that repeat it one. A null id
+    stays only where its text has no other. All columns are carried along; an empty table gives an empty result."""
+    normalise = options.get("normalise")
+    decided = exact_duplicates(docs, id_col, text_col, **options)
+    pairs = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.bool_or("kept").alias("__stays"), F.count(F.lit(1)).alias("__copies"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    joined = docs.join(pairs, docs[id_col].eqNullSafe(F.col("__id")) & (F.sha2(normalise(text) if normalise else text, 256) == F.col("__sha"))).filter("__stays")
+    first = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1)))
+    own = [docs[c] for c in docs.columns]
+    return joined.filter("__copies = 1").select(*own).union(joined.filter("__copies > 1").withColumn("__first", first).filter("__first = 1").select(*own))
 
 
 def _first(keep_id: Column) -> Column:

@@ -99,6 +99,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+        "op7_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+            g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+            SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+              CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to, true AS intact FROM g""",
         "op9_line_dedup": """
             WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
             o AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS no FROM l),

@@ -21,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import fresh_path, written
+from strandline.llm.shared import fresh_path, shuffle_partitions, written
 
-SPLIT_BYTES, READ_BYTES, FILE_BYTES, PROBE_BYTES = 8 << 20, 1 << 20, 64 << 20, 512
+SPLIT_BYTES, READ_BYTES, FILE_BYTES, TASK_BYTES, PROBE_BYTES = 8 << 20, 1 << 20, 64 << 20, 256 << 20, 512
 MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -162,24 +162,30 @@ def parse_record(raw: bytes) -> tuple:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    block = block[: int(fields.get("content-length", 0))]
+    length = fields.get("content-length", "0")
+    if not length.isdecimal():
+        return fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), None, None, None, False
+    whole = len(block) >= int(length)
+    block = block[: int(length)]
     kind, label = fields.get("warc-type"), fields.get("warc-payload-digest", "")
     digest = base64.b32decode(label[5:]).hex() if label.startswith("sha1:") and len(label) == 37 else label[5:].lower() or None
     payload = size = None
     intact = True
     if "application/http" in fields.get("content-type", ""):
         http, _, payload = block.partition(b"\r\n\r\n")
-        size = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+        said = next((x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+        size = int(said) if said.isdigit() else len(payload)
         if kind == "revisit":
             payload = None
         else:
             intact = len(payload) == size and hashlib.sha1(payload).hexdigest() == (digest or hashlib.sha1(payload).hexdigest())
             size = len(payload)
-    return kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), size, digest, payload, intact
+    return kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), size, digest, payload, intact and whole
 
 
 def records_from(source, start: int, end: int):
-    """(start, member) of each record whose member starts in [start, end)."""
+    """(start, member) of each record whose member starts in [start, end); a member that is damaged or ends early gives
+    (start, None), and the search goes on behind its beginning."""
     data, at = _Bytes(source, start), start
     while at < end:  # until a member begins here, then from one to the next
         data.upto(at + READ_BYTES)
@@ -201,7 +207,12 @@ def records_from(source, start: int, end: int):
             data.upto(at + len(MAGIC))
             if data.held[at - data.base : at - data.base + len(MAGIC)] != MAGIC:
                 break
-            raw, after = _inflate(data, at)
+            try:
+                raw, after = _inflate(data, at)
+            except (EOFError, zlib.error):
+                yield at, None
+                at += 1
+                break
             yield at, raw
             at = after
             data.forget(at)
@@ -212,7 +223,8 @@ def records_from(source, start: int, end: int):
 def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """A row for each record of the ``files`` (file, bytes): where it is and what it holds. ``payload_bytes`` and
     ``payload_digest`` of a revisit are those of the full payload, which it doesn't hold; ``intact`` is whether a
-    payload has the length and digest that its record names. No files, no rows."""
+    record is whole and its payload has the length and digest that it names. Of a member that is damaged or cut off there is
+    only the place, not intact; one whose length is no number has its header's fields. No files, no rows."""
 
     def read(batches):
         for batch in batches:
@@ -221,8 +233,8 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
                 rows, held = [], 0
                 with system.open_input_file(path) as source:
                     for at, raw in records_from(source, start, end):
-                        rows.append((file, at, *parse_record(raw)))
-                        held += len(raw)
+                        rows.append((file, at, *(parse_record(raw) if raw is not None else (*[None] * 7, False))))
+                        held += len(raw or b"")
                         if held > SPLIT_BYTES:
                             yield _table(rows)
                             rows, held = [], 0
@@ -234,8 +246,9 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
 
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     ranges = files.filter("bytes > 0").select("file", cuts.alias("start"), "bytes").select("file", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
-    spread = ranges.repartition(max(1, ranges.count()), "file", "start") if not ranges.isEmpty() else ranges
-    return spread.mapInArrow(read, RECORD)
+    found = ranges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(found.n, max(shuffle_partitions(spark), found.bytes // TASK_BYTES)))
+    return ranges.repartition(tasks, "file", "start").mapInArrow(read, RECORD)
 
 
 def archive_folder(spark: SparkSession) -> str:

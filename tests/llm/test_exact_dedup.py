@@ -42,6 +42,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert sum(r.kept for r in out) == 2  # one of the rows with id 1, and the only "b"
 
 
+def test_kept_documents_with_nulls_and_repeats(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (None, "a", ""), (None, "b", "z"), (None, "b", "w"), (3, None, None), (2, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.doc_id or 0, r.text or "") for r in keep_documents(df).collect()) == [(0, "b"), (1, "a"), (3, "")]
+    assert keep_documents(df.filter("false")).count() == 0 and keep_documents(df).columns == df.columns
+
+
+def test_query_equals_its_sql(spark, small):
+    import duckdb
+
+    from strandline.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{small}/documents.parquet'")
+    got = queries.op4_exact_dedup(spark, small)
+    order = sorted(got.columns)
+    want = con.sql(queries.oracle_sql()["op4_exact_dedup"])
+    at = [want.columns.index(c) for c in order]
+    assert sorted(repr(tuple(r[c] for c in order)) for r in got.collect()) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
 def test_empty_table_and_normalisation(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert exact_duplicates(none).count() == 0

@@ -3,7 +3,7 @@ import io
 import random
 import zlib
 
-from strandline.llm import warc
+from strandline.llm import queries, warc
 
 
 def test_every_record_once_whatever_the_ranges():
@@ -42,3 +42,31 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     files = warc.write_archives(warc.plan_records(none), warc.archive_folder(spark))
     assert warc.read_archives(spark, files).count() == 0
+
+
+def test_damaged_archives(spark, tmp_path):
+    """A member cut off, one with a flipped byte, one with a bad length: the others are read."""
+    members = [warc._member(warc._record(k, "u", f"<p>{k}" * 400, "response", None)) for k in range(6)]
+    bad = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: many\r\n\r\nx\r\n\r\n"
+    broken = bytearray(members[2])
+    broken[len(broken) // 2] ^= 255
+    data = members[0] + members[1] + bytes(broken) + members[3] + warc._member(bad) + members[4] + members[5][:-9]
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data))], "file string, bytes long")
+    for size in (1 << 20, 90):
+        out = warc.read_archives(spark, files, split_bytes=size).collect()
+        assert sorted(r.record_id for r in out if r.intact) == [f"<urn:x-page:{k}>" for k in (0, 1, 3, 4)]
+        assert [r.record_type for r in out if not r.intact and r.record_type] == ["metadata"]
+        assert sum(not r.intact and r.record_type is None for r in out) == 2
+
+
+def test_query_equals_its_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{small}/pages.parquet'")
+    got = queries.op7_warc(spark, small)
+    order = sorted(got.columns)
+    want = con.sql(queries.oracle_sql()["op7_warc"])
+    at = [want.columns.index(c) for c in order]
+    assert sorted(repr(tuple(r[c] for c in order)) for r in got.collect()) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
