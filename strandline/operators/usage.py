@@ -59,6 +59,48 @@ def batches(flagged: DataFrame, size: int = BATCH) -> DataFrame:
     return rows.groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("units"), F.array_join(F.transform(parts, lambda p: p["chunk"]), "\n").alias("prompt"))
 
 
+def prompts(flagged: DataFrame, documents: DataFrame, size: int = BATCH) -> DataFrame:
+    """doc_id, batch, units, prompt: the document (doc_id, text; its first DOCUMENT_CHARS characters) once for each batch of
+    its flagged units (doc_id, unit_id, content, heading_path), which stand after it with their sections."""
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_id")) - 1
+    where = F.when(F.size("heading_path") > 0, F.array_join("heading_path", " › ")).otherwise("(no section)")
+    chunk = F.concat(F.lit('<chunk id="'), F.col("unit_id").cast("string"), F.lit('" section="'), F.replace(fence(where), F.lit('"'), F.lit("'")), F.lit('">\n'), fence(F.substring("content", 1, CHUNK_CHARS)), F.lit("\n</chunk>"))
+    rows = flagged.withColumns({"batch": F.floor(number / size), "chunk": chunk})
+    rows = rows.groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("units"), F.sort_array(F.collect_list(F.struct("unit_id", "chunk"))).alias("parts"))
+    head = documents.select("doc_id", fence(F.substring(F.coalesce("text", F.lit("")), 1, DOCUMENT_CHARS)).alias("document"))
+    ask = F.format_string("<document>\n%s\n</document>\n\nSay where each of these %d chunks stands in the document.\n", F.coalesce("document", F.lit("")), F.col("units"))
+    return rows.join(head, "doc_id", "left").select("doc_id", "batch", "units", F.concat(ask, F.lit("\n"), F.array_join("parts.chunk", "\n")).alias("prompt"))
+
+
+REPLY = "results array<struct<id: string, summary: string, entities: array<string>>>"
+ENTITIES = 8
+
+
+def apply_replies(units: DataFrame, replies: DataFrame) -> DataFrame:
+    """``units`` (doc_id, unit_id, ...) with summary, tier (0 without a summary, 1 by a local model, 2 by a paid one), entities,
+    llm_calls and cost_usd, the unit's share of its batch's cost.
+
+    ``replies``: doc_id, batch, units (of the batch), reply (JSON), model, cost. Of several summaries of a unit the first one by
+    batch and place counts; replies that are no JSON, empty summaries and ids of no unit count for nothing.
+    """
+    local = F.col("model").rlike(LOCAL)
+    rows = replies.select("doc_id", "batch", local.alias("local"), (F.col("cost") / F.greatest("units", F.lit(1))).alias("share"), F.posexplode(F.from_json("reply", REPLY)["results"]).alias("place", "r"))
+    rows = rows.withColumn("summary", F.trim("r.summary")).filter("summary != ''")
+    first = F.min_by(F.struct("summary", "local", "share", F.coalesce("r.entities", F.array().cast("array<string>")).alias("entities")), F.struct("batch", "place"))
+    found = rows.groupBy("doc_id", F.col("r.id").alias("__id")).agg(first.alias("s"))
+    joined = units.join(found.withColumnRenamed("doc_id", "__doc"), F.expr("doc_id = __doc and cast(unit_id as string) = __id"), "left")
+    has = F.col("s").isNotNull()
+    made = {"summary": F.col("s.summary"), "tier": F.when(has, F.when(F.col("s.local"), 1).otherwise(2)).otherwise(0), "entities": F.coalesce(F.slice(F.array_compact("s.entities"), 1, ENTITIES), F.array().cast("array<string>")), "llm_calls": has.cast("int"), "cost_usd": F.coalesce("s.share", F.lit(0.0))}
+    return joined.withColumns(made).drop("__doc", "__id", "s")
+
+
+def merge_entities(units: DataFrame, found: DataFrame) -> DataFrame:
+    """``units`` with ``entities`` (as they were, then new ones of ``found``: doc_id, unit_id, entities; each once)."""
+    new = found.groupBy("doc_id", "unit_id").agg(F.array_distinct(F.flatten(F.collect_list("entities"))).alias("__new"))
+    rows = units.join(new, ["doc_id", "unit_id"], "left")
+    return rows.withColumn("entities", F.array_union("entities", F.coalesce("__new", F.array().cast("array<string>")))).drop("__new")
+
+
 def enrich(flagged: DataFrame, complete=None, size: int = BATCH) -> DataFrame:
     """doc_id, batch, reply for each batch; ``complete``: list of prompts to list of replies, by default none are made."""
     kinds = dict(flagged.dtypes)

@@ -295,6 +295,32 @@ def enrichment_batches(spark, d):
     return rows.select("doc_id", "batch", "units", F.md5("prompt").alias("digest"))
 
 
+def enrichment_prompts(spark, d):
+    """The sections of hosts in batches, each after its host's text."""
+    units = _section_units(spark, d).withColumn("heading_path", F.when(F.col("unit_type") == "section", F.array(F.split_part("content", F.lit("\n"), F.lit(1)))).otherwise(F.array().cast("array<string>")))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("unit_id", "content"))), lambda x: x["content"]), "\n\n")
+    rows = usage.prompts(units.filter("unit_type = 'section'"), units.groupBy("doc_id").agg(texts.alias("text")))
+    return rows.select("doc_id", F.col("batch").cast("long").alias("batch"), "units", F.md5("prompt").alias("digest"))
+
+
+def enrichment_applied(spark, d):
+    """Replies to the batches of hosts' sections, made up here: some empty, some by a local model, one no JSON."""
+    units = _section_units(spark, d).filter("unit_type = 'section'").select("doc_id", "unit_id")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_id")) - 1
+    result = F.struct(F.col("unit_id").cast("string").alias("id"), F.when(F.col("unit_id") % 4 != 0, F.concat(F.lit(" about "), F.col("unit_id").cast("string"))).alias("summary"), F.transform(F.sequence(F.lit(1), F.col("unit_id") % 11 + 1), lambda k: F.concat(F.lit("e"), k.cast("string"))).alias("entities"))
+    rows = units.withColumn("batch", F.floor(number / 6)).groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("units"), F.sort_array(F.collect_list(result)).alias("results"))
+    reply = F.when(F.col("batch") % 5 == 4, "no JSON").otherwise(F.to_json(F.struct("results")))
+    replies = rows.select("doc_id", "batch", "units", reply.alias("reply"), F.when(F.col("batch") % 2 == 0, "ollama/small").otherwise("gemini-2.5-flash").alias("model"), (F.col("units") * F.col("batch") * 0.25).alias("cost"))
+    return usage.apply_replies(units, replies).select("doc_id", "unit_id", F.coalesce("summary", F.lit("")).alias("summary"), F.col("tier").cast("long").alias("tier"), F.array_join("entities", ",").alias("entities"), "cost_usd")
+
+
+def column_examples_customer(spark, d):
+    table = _read(spark, d, "customer")
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), sources.as_text(n, t).alias("value")) for n, t in table.dtypes]))
+    cells = table.select(F.col("c_custkey").alias("place"), cells.alias("c")).select("place", "c.name", "c.value")
+    return tables.with_examples(tables.profile_columns(cells), cells).select("name", "dtype", F.array_join("examples", "|").alias("examples"))
+
+
 def export_chroma(spark, d):
     return chunking.export_chroma(_section_units(spark, d)).withColumn("document", F.md5("document"))
 
@@ -401,7 +427,7 @@ def heading_path_numbered(spark, d):
 
 def queries() -> dict:
     own = [
-        chunk_documents, chunk_conversations, chunk_pages, heading_path_numbered,
+        chunk_documents, chunk_conversations, chunk_pages, heading_path_numbered, enrichment_prompts, enrichment_applied, column_examples_customer,
         token_counts, normalize_probe, clean_documents, cleaning_report, clean_documents_nfkc, doc_profile, route_documents, anaphora_rate,
         escalation_flags, fixed_chunks_512_64, section_ids, heading_path, surrounding_text, reading_order_edges, qa_edges, edge_conflicts,
         relationship_loss, references_resolve, explaining_edges, speaker_turns, micro_turn_merge, long_turn_split, conversational_type,

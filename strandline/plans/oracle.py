@@ -94,6 +94,18 @@ def _columns(name: str, columns: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS name, coalesce({as_text[k].format(c)}, '') AS value FROM {name}" for c, k in columns.items())
 
 
+def _fence(text: str) -> str:
+    """Marks of a prompt broken by an invisible sign."""
+    for mark in ("</document>", "</chunk>", "<chunk"):
+        text = f"replace({text}, '{mark}', concat('<', chr(8203), '{mark[1:]}'))"
+    return text
+
+
+def _placed(name: str, place: str) -> str:
+    """The cells of a table as text, with the place of their row."""
+    return _columns(name, TABLES[name]).replace("SELECT ", f"SELECT {place} AS place, ")
+
+
 TABLES = {
     "lineitem": {"l_orderkey": "text", "l_partkey": "text", "l_suppkey": "text", "l_linenumber": "text", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time"},
     "orders": {"o_orderkey": "text", "o_custkey": "text", "o_orderstatus": "text", "o_totalprice": "double", "o_orderdate": "time", "o_orderpriority": "text"},
@@ -199,6 +211,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, pos, CASE WHEN pos < 5 THEN CASE WHEN is_head THEN '' ELSE h0 END WHEN pos = one THEN '' WHEN pos = two OR NOT below THEN h1 ELSE concat(h1, ' > ', h2) END AS path,
               CASE WHEN pos < 5 THEN CASE WHEN is_head THEN NULL ELSE 0 END WHEN pos = one THEN NULL WHEN pos = two OR NOT below THEN one ELSE two END::BIGINT AS parent_pos,
               CASE WHEN NOT is_head THEN NULL WHEN pos = 0 THEN 1 WHEN pos = one THEN 2 WHEN pos = two THEN 3 ELSE 4 END::BIGINT AS level FROM n""",
+        "enrichment_prompts": f"""WITH {HOSTS}, b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY unit_id) - 1) // 6 AS batch FROM units WHERE unit_type = 'section'),
+            k AS (SELECT doc_id, batch, count(*) AS units, string_agg(concat('<chunk id="', unit_id, '" section="', replace({_fence("split_part(content, chr(10), 1)")}, '"', chr(39)), '">', chr(10), {_fence("substring(content, 1, 2400)")}, chr(10), '</chunk>'), chr(10) ORDER BY unit_id) AS chunks FROM b GROUP BY doc_id, batch),
+            d AS (SELECT doc_id, {_fence("substring(string_agg(content, chr(10) || chr(10) ORDER BY unit_id), 1, 24000)")} AS document FROM units GROUP BY doc_id)
+            SELECT doc_id, batch, units, md5(concat('<document>', chr(10), document, chr(10), '</document>', chr(10), chr(10), 'Say where each of these ', units, ' chunks stands in the document.', chr(10), chr(10), chunks)) AS digest FROM k JOIN d USING (doc_id)""",
+        "enrichment_applied": f"""WITH {HOSTS}, b AS (SELECT doc_id, unit_id, (row_number() OVER (PARTITION BY doc_id ORDER BY unit_id) - 1) // 6 AS batch FROM units WHERE unit_type = 'section'),
+            k AS (SELECT *, unit_id % 4 <> 0 AND batch % 5 <> 4 AS said FROM b)
+            SELECT doc_id, unit_id, CASE WHEN said THEN concat('about ', unit_id) ELSE '' END AS summary, CASE WHEN NOT said THEN 0 WHEN batch % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS tier,
+              CASE WHEN said THEN array_to_string(list_transform(range(1, least(unit_id % 11 + 1, 8) + 1), lambda x: concat('e', x)), ',') ELSE '' END AS entities, CASE WHEN said THEN batch * 0.25 ELSE 0 END::DOUBLE AS cost_usd FROM k""",
+        "column_examples_customer": f"""WITH {_profile('customer')}, placed AS ({_placed("customer", "c_custkey")}),
+            given AS (SELECT name, trim(value) AS value, place FROM placed WHERE lower(trim(value)) NOT IN ('', '-', 'n/a', 'na', 'null', 'none', 'nan')),
+            uniq AS (SELECT name, value, min(place) AS place FROM given GROUP BY name, value),
+            ex AS (SELECT pr.name, pr.dtype, uniq.value, uniq.place FROM pr JOIN uniq USING (name) WHERE dtype IN ('categorical', 'boolean') QUALIFY row_number() OVER (PARTITION BY name ORDER BY place) <= 8
+              UNION ALL SELECT pr.name, pr.dtype, given.value, given.place FROM pr JOIN given USING (name) WHERE dtype NOT IN ('categorical', 'boolean', 'empty') QUALIFY row_number() OVER (PARTITION BY name ORDER BY place) <= 2)
+            SELECT pr.name, pr.dtype, coalesce(string_agg(ex.value, '|' ORDER BY ex.place), '') AS examples FROM pr LEFT JOIN ex USING (name) GROUP BY pr.name, pr.dtype""",
         "conversational_type": rf"""WITH {speech(True)}, x AS (SELECT *, nxt IS NULL AS final FROM sp),
             g AS (SELECT doc_id, bool_or(regexp_matches(text, '(?i)\b(action item|to-?do|will follow up|assign(ed)? to|take the lead on|action point)\b')) AS acts,
               bool_or(regexp_matches(text, '(?i)\b(we (agreed|decided|concluded)|decision (is|was)|let''s (go with|move forward with|adopt)|consensus is|approved)\b')) AS decides,
