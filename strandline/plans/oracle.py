@@ -45,6 +45,12 @@ qa AS (SELECT doc_id, pos AS src, nxt AS dst, 'answered_by' AS type, 0.9::DOUBLE
 edges AS (SELECT *, 0.9::DOUBLE AS importance FROM qa UNION ALL
   SELECT doc_id, pos, nxt, 'next', 1.0::DOUBLE, 0.05::DOUBLE FROM sp WHERE nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM qa WHERE qa.doc_id = sp.doc_id AND qa.src = sp.pos AND qa.dst = sp.nxt))"""
 
+#: Cuts between turns: only speakers change, and questions hold on to their answers.
+CANDIDATES = """cand0 AS (SELECT sp.doc_id, sp.pos, sum(sp.n) OVER w - sp.n AS before, CASE WHEN sp.speaker <> lag(sp.speaker) OVER w THEN 1.0 ELSE 0.0 END::DOUBLE AS speaker_change, q.pos IS NOT NULL AS asked
+  FROM sp LEFT JOIN q ON q.doc_id = sp.doc_id AND q.nxt = sp.pos WINDOW w AS (PARTITION BY sp.doc_id ORDER BY sp.pos)),
+cand AS (SELECT doc_id, pos, speaker_change, CASE WHEN asked THEN 0.1 ELSE 0.5 END::DOUBLE AS graph_separation, CASE WHEN asked THEN 1.8 ELSE 0.0 END::DOUBLE AS loss,
+  speaker_change + 0.8 * CASE WHEN asked THEN 0.1 ELSE 0.5 END::DOUBLE - 1.5 * CASE WHEN asked THEN 1.8 ELSE 0.0 END::DOUBLE - 0.6 * abs(before - 500) / 500::DOUBLE AS score FROM cand0 WHERE pos > 0)"""
+
 ANAPHORA = r"'(?im)\bas (shown|described|noted|mentioned|discussed) (above|earlier|previously|below)\b|\bthis (table|figure|section|chart|diagram|approach|result)\b|\bthe (former|latter)\b|^(This|These|It|They)\b'"
 SENTENCES = r"""s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', concat('\1', chr(31)), 'g'), chr(31)), lambda x: trim(x) <> '') AS own FROM documents),
 r AS (SELECT doc_id, len(own) AS n, len(list_filter(own, lambda x: regexp_matches(x, """ + ANAPHORA + """))) AS hits FROM s)"""
@@ -225,6 +231,39 @@ def oracle_sql() -> dict[str, str]:
             ex AS (SELECT pr.name, pr.dtype, uniq.value, uniq.place FROM pr JOIN uniq USING (name) WHERE dtype IN ('categorical', 'boolean') QUALIFY row_number() OVER (PARTITION BY name ORDER BY place) <= 8
               UNION ALL SELECT pr.name, pr.dtype, given.value, given.place FROM pr JOIN given USING (name) WHERE dtype NOT IN ('categorical', 'boolean', 'empty') QUALIFY row_number() OVER (PARTITION BY name ORDER BY place) <= 2)
             SELECT pr.name, pr.dtype, coalesce(string_agg(ex.value, '|' ORDER BY ex.place), '') AS examples FROM pr LEFT JOIN ex USING (name) GROUP BY pr.name, pr.dtype""",
+        "paragraph_pack_units": f"""WITH RECURSIVE {LINES}, q AS (SELECT *, (sum(n) OVER w)::BIGINT - n AS before, (sum(n) OVER (PARTITION BY doc_id))::BIGINT AS total FROM el WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+            cuts AS (SELECT doc_id, 0::BIGINT AS s, 0::BIGINT AS base, any_value(total) AS total FROM q GROUP BY doc_id
+              UNION ALL SELECT c.doc_id, arg_min(e.pos, abs(e.before - c.base - 500) * 1000000 + e.pos), arg_min(e.before, abs(e.before - c.base - 500) * 1000000 + e.pos), c.total
+              FROM cuts c JOIN q e ON e.doc_id = c.doc_id AND e.pos > c.s WHERE c.total - c.base > 700 GROUP BY c.doc_id, c.s, c.base, c.total),
+            u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS unit_id, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS nxt FROM cuts)
+            SELECT u.doc_id, unit_id::INT AS unit_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (text <> ''), '') AS content, count(*)::INT AS elements, min(pos)::INT AS first_pos, sum(n)::BIGINT AS n_tokens,
+              any_value(u.total - base > 700 AND nxt IS NULL) AS overflow, 'narrative' AS unit_type, 'paragraph_fallback' AS strategy
+            FROM u JOIN q ON q.doc_id = u.doc_id AND q.pos >= s AND (nxt IS NULL OR q.pos < nxt) GROUP BY u.doc_id, unit_id""",
+        "structural_units": f"""WITH RECURSIVE {HOSTS}, q AS (SELECT *, (sum(n) OVER w)::BIGINT - n AS before, (sum(n) OVER a)::BIGINT AS total, first_value(kind) OVER w = 'heading' AS headed, pos = max(pos) OVER a AS last, lag(kind) OVER w AS prev
+              FROM el WINDOW w AS (PARTITION BY doc_id, section ORDER BY pos), a AS (PARTITION BY doc_id, section)),
+            legal AS (SELECT * FROM q WHERE prev IS NOT NULL AND prev <> 'heading' AND (last OR NOT headed)), -- a heading is the parent of all that follow: at most one may be cut off
+            cuts AS (SELECT doc_id, section, min(pos) AS s, 0::BIGINT AS base, any_value(total) AS total FROM q GROUP BY doc_id, section
+              UNION ALL SELECT c.doc_id, c.section, arg_min(e.pos, abs(e.before - c.base - 500) * 1000000 + e.pos), arg_min(e.before, abs(e.before - c.base - 500) * 1000000 + e.pos), c.total
+              FROM cuts c JOIN legal e ON e.doc_id = c.doc_id AND e.section = c.section AND e.pos > c.s WHERE c.total - c.base > 700 GROUP BY c.doc_id, c.section, c.s, c.base, c.total),
+            u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS unit_id, lead(s) OVER (PARTITION BY doc_id, section ORDER BY s) AS nxt FROM cuts)
+            SELECT u.doc_id, unit_id::INT AS unit_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS content, count(*)::INT AS elements, min(pos)::INT AS first_pos, sum(n)::BIGINT AS n_tokens,
+              any_value(u.total - base > 700 AND nxt IS NULL) AS overflow, CASE WHEN arg_min(kind, pos) = 'heading' THEN 'section' ELSE 'narrative' END AS unit_type, 'structural' AS strategy
+            FROM u JOIN q ON q.doc_id = u.doc_id AND q.section = u.section AND q.pos >= s AND (nxt IS NULL OR q.pos < nxt) GROUP BY u.doc_id, unit_id""",
+        "micro_turn_merge": f"""WITH {speech(False)}, r AS (SELECT * EXCLUDE (speaker), CASE WHEN pos % 3 <> 0 THEN speaker END AS speaker FROM sp),
+            b AS (SELECT *, CASE WHEN pos > 0 AND speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM r),
+            t AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM b),
+            g AS (SELECT doc_id, run, max(t1_ms) - min(t0_ms) AS ms, any_value(speaker) AS speaker, count(*) AS segments, min(pos) AS first_pos FROM t GROUP BY doc_id, run),
+            j AS (SELECT *, ms < 20000 AND run > 0 AND (speaker IS NULL OR speaker IS NOT DISTINCT FROM lag(speaker) OVER (PARTITION BY doc_id ORDER BY run)) AS joins FROM g),
+            k AS (SELECT *, (sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY run) - 1)::BIGINT AS turn FROM j)
+            SELECT doc_id, turn, sum(segments)::BIGINT AS segments, min(first_pos) AS first_pos FROM k GROUP BY doc_id, turn""",
+        "long_turn_split": f"""WITH {speech(False)}, f AS (SELECT *, pos = 0 OR t1_ms <= 40000 AND max(t1_ms) OVER w > 40000 OR max(t1_ms) OVER w <= 40000 AS together FROM sp WINDOW w AS (PARTITION BY doc_id))
+            SELECT doc_id, 0::BIGINT AS turn, pos, (sum(CASE WHEN together THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos))::INT AS part FROM f""",
+        "enrichment_batches": f"""WITH {HOSTS}, b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY unit_id) - 1) // 6 AS batch FROM units WHERE unit_type = 'section')
+            SELECT doc_id, batch, count(*) AS units, md5(string_agg(concat('<chunk id="', unit_id, '">', chr(10), {_fence("substring(content, 1, 2400)")}, chr(10), '</chunk>'), chr(10) ORDER BY unit_id)) AS digest FROM b GROUP BY doc_id, batch""",
+        "boundary_candidates": f"""WITH {QA}, {CANDIDATES} SELECT doc_id, pos, speaker_change, 0::DOUBLE AS temporal_gap, graph_separation, loss, false AS vetoed, round(score, 6) AS score FROM cand""",
+        "event_windows": f"""WITH {QA}, {CANDIDATES}, w AS (SELECT sp.doc_id, sp.pos, sp.n, coalesce(sum(CASE WHEN 0.5 + 0.15 * score >= 0.55 THEN 1 ELSE 0 END) OVER (PARTITION BY sp.doc_id ORDER BY sp.pos), 0)::BIGINT AS window_no
+              FROM sp LEFT JOIN cand ON cand.doc_id = sp.doc_id AND cand.pos = sp.pos)
+            SELECT doc_id, window_no AS "window", count(*) AS elements, sum(n)::BIGINT AS n_tokens FROM w GROUP BY doc_id, window_no""",
         "conversational_type": rf"""WITH {speech(True)}, x AS (SELECT *, nxt IS NULL AS final FROM sp),
             g AS (SELECT doc_id, bool_or(regexp_matches(text, '(?i)\b(action item|to-?do|will follow up|assign(ed)? to|take the lead on|action point)\b')) AS acts,
               bool_or(regexp_matches(text, '(?i)\b(we (agreed|decided|concluded)|decision (is|was)|let''s (go with|move forward with|adopt)|consensus is|approved)\b')) AS decides,
