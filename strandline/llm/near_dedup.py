@@ -345,15 +345,15 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     erase(sketches)
     leaves, cores, tables = _tree_nodes(nodes, trees, second)
     plain = nodes.select("node", "bits")
-    half = LEAF // 2
 
     whole = leaves.select("key", "node", F.lit(False).alias("pivot"))
-    if cores is not None:  # blocks of half a leaf; the first one's members are the others' pivots
-        count = F.ceil(F.col("n") / half).cast("int")
+    if cores is not None:  # blocks of a leaf, a quarter of which are the same pivots; these have a block of their own too
+        pivots = LEAF // 4
+        count = F.ceil(F.col("n") / (LEAF - pivots)).cast("int")
+        pivot = F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("n") / pivots)) == 0
         block = F.pmod(F.xxhash64("node"), count).cast("int")
-        into = F.when(block == 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array(block))
-        dealt = cores.select("key", "node", (block == 0).alias("first"), F.explode(into).alias("block"))
-        whole = whole.union(dealt.select(F.xxhash64("key", "block"), "node", F.col("first") & (F.col("block") != 0)))
+        dealt = cores.select("key", "node", pivot.alias("pivot"), F.explode(F.when(pivot, F.sequence(F.lit(-1), count - 1)).otherwise(F.array(block))).alias("block"))
+        whole = whole.union(dealt.select(F.xxhash64("key", "block"), "node", F.col("pivot") & (F.col("block") >= 0)))
     first = written(_forest_pairs(whole.join(plain, "node"), cutoff).distinct(), "forest")
     needed = first.select(F.explode(F.array("a", "b")).alias("node"))
     needed = written((needed.union(cores.select("node")) if cores is not None else needed).distinct(), "needed")
