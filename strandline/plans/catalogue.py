@@ -224,6 +224,12 @@ def semantic_drift_groups(spark, d):
     return found.groupBy("doc_id", "grp").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
 
 
+def semantic_shifts(spark, d):
+    """Vectors as the speech of documents of 25 segments."""
+    rows = _read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("doc_id"), F.col("vec_id").alias("pos"), F.lit("speech_segment").alias("kind"), F.lit("said").alias("text"), "embedding")
+    return video.semantic_shifts(rows).withColumn("semantic_shift", F.round("semantic_shift", 2))
+
+
 def topk_search(spark, d):
     rows = _read(spark, d, "embeddings")
     query = rows.filter("vec_id = 0").first()
@@ -432,7 +438,7 @@ def queries() -> dict:
         escalation_flags, fixed_chunks_512_64, section_ids, heading_path, surrounding_text, reading_order_edges, qa_edges, edge_conflicts,
         relationship_loss, references_resolve, explaining_edges, speaker_turns, micro_turn_merge, long_turn_split, conversational_type,
         *map(_column_profile, ("lineitem", "orders", "part", "customer")), row_groups_customer, schema_card_orders, overlap_edges,
-        fusion_confidence, semantic_drift_groups, topk_search, topk_search_every_20th, retrieval_eval, retrieval_eval_benchmark, completeness, unit_measures, cross_doc_links, usage_ledger,
+        fusion_confidence, semantic_drift_groups, semantic_shifts, topk_search, topk_search_every_20th, retrieval_eval, retrieval_eval_benchmark, completeness, unit_measures, cross_doc_links, usage_ledger,
         enrichment_batches, export_chroma, export_langchain, unit_hierarchy, paragraph_pack_units, structural_units, boundary_candidates,
         event_windows, heading_scorecard, tabular_units_customer, event_units,
     ]

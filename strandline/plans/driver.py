@@ -11,7 +11,7 @@ from strandline.functions.text import count_tokens
 from strandline.operators import graph, profile, quality, turns
 from strandline.operators.boundary import MAX_TOKENS, TARGET_TOKENS, candidates, cut_regions, score
 from strandline.operators.profile import anaphora_rate, escalation_flags
-from strandline.operators.video import event_windows
+from strandline.operators.video import event_windows, semantic_shifts
 from strandline.plans import chunking
 from strandline.stored import stored
 
@@ -129,9 +129,11 @@ def chunk(elements: DataFrame, clean: bool = True) -> DataFrame:
     order), content, unit_type, strategy, reason, heading_path, flags, speaker, start_s, end_s, n_tokens, overflow, route,
     members (positions of its elements), references (units it refers to), previous_id, next_id, parent_id, completeness.
 
-    Every element is in a unit; one of a table that is split counts for all its parts. An empty table gives an empty result.
+    Elements with an ``embedding`` have their semantic shifts among the signals of a cut. Every element is in a unit; one of a table that is split counts for all its parts. An empty table gives an empty result.
     """
     rows = with_optional(elements)
+    if "embedding" in rows.columns:
+        rows = rows.drop("semantic_shift").join(semantic_shifts(rows), ["doc_id", "pos"], "left").drop("embedding")
     rows = graph.heading_paths(clean_elements(rows) if clean else rows)
     rows = stored(rows.drop("section"))
     edges = stored(all_edges(rows))

@@ -286,6 +286,9 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT doc_id, count(*) AS n, round(avg(sim) - stddev_pop(sim), 6) AS least FROM s GROUP BY doc_id),
             g AS (SELECT s.doc_id, vec_id, coalesce(sum(CASE WHEN n >= 4 AND sim < least THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id ORDER BY vec_id), 0)::BIGINT AS grp FROM s JOIN t ON t.doc_id = s.doc_id)
             SELECT doc_id, grp, count(*) AS n, min(vec_id) AS first_id FROM g GROUP BY ALL""",
+        "semantic_shifts": """WITH e AS (SELECT vec_id // 25 AS doc_id, vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT doc_id, vec_id, round(list_dot_product(v, lag(v) OVER (PARTITION BY doc_id ORDER BY vec_id)), 6) AS sim FROM e),
+            t AS (SELECT doc_id, avg(sim) AS mean, stddev_pop(sim) AS std FROM s GROUP BY doc_id)
+            SELECT s.doc_id, vec_id AS pos, round(round(least(1.0, (mean - std - sim) / greatest(std, 0.05)), 4), 2) AS semantic_shift FROM s JOIN t ON t.doc_id = s.doc_id WHERE sim < mean - std""",
         "topk_search": "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 5",
         "topk_search_every_20th": """SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
             FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5""",

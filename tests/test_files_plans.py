@@ -73,3 +73,14 @@ def test_settings(spark):
         with pytest.raises(ValueError, match=key):
             settings(spark)
         spark.conf.unset(f"strandline.{key}")
+
+
+def test_table_probes(spark):
+    grid = [["name of it", "amount"], ["the first of the rows", "12"], ["x", "1"], ["the second of the rows", "13"]]
+    rows = [("d", 0, "caption", "Table 1: Sums", None, None), ("d", 1, "table", "", grid, grid[0]), ("d", 2, "table", "", [["only head"]], ["only head"])]
+    elements = spark.createDataFrame(rows, "doc_id string, pos int, kind string, text string, grid array<array<string>>, header_row array<string>")
+    captions = spark.createDataFrame([("d", 0, 1, "captions")], "doc_id string, src int, dst int, type string")
+    probes = quality.table_probes(elements, captions)
+    assert {(r.probe_id, r.metric, r.bearing, r.wanted) for r in probes.collect()} == {(1, "caption", "the first of the rows 12", "table 1 sums"), (1, "header", "the first of the rows 12", "name of it amount"), (1, "header", "the second of the rows 13", "name of it amount")}
+    chunks = spark.createDataFrame([("d", "table 1 sums name of it amount the first of the rows 12", None), ("d", "the second of the rows 13", None)], "doc_id string, chunk string, context string")
+    assert {r.metric: r.hits for r in quality.containment(probes, chunks).collect()} == {"caption": 1, "header": 0}
