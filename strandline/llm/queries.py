@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import html_text, language_id, line_dedup, near_dedup, packing, pieces, tiff, warc
+from strandline.llm import ball_tree, html_text, language_id, line_dedup, near_dedup, packing, pieces, tiff, warc
 from strandline.llm.exact_dedup import exact_duplicates
 from strandline.llm.sharding import reshard
 from strandline.llm.shared import documents, pages
@@ -89,12 +89,39 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages(spark, sf_dir))
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors in 16 clusters after three rounds."""
+    return ball_tree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _clusters_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """The rounds as chained subqueries over (vector, component)."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+            d{k} AS (SELECT v.vec_id, c.c, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{k} c USING (i) GROUP BY v.vec_id, c.c),
+            a{k} AS (SELECT vec_id, d, c FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if k < rounds:
+            steps.append(f"""
+            s{k} AS (SELECT a.c, v.i, sum(v.x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{k} a JOIN v USING (vec_id) GROUP BY a.c, v.i),
+            c{k + 1} AS (SELECT c.c, c.i, coalesce((s.s - ((s.s % s.n) + s.n) % s.n) // s.n, c.x)::BIGINT AS x FROM c{k} c LEFT JOIN s{k} s ON s.c = c.c AND s.i = c.i)""")
+    return f"""
+        WITH k AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS (SELECT vec_id, i, floor(64 * embedding[i]::DOUBLE)::BIGINT AS x FROM k, range(1, 65) t(i)),
+        f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM k QUALIFY c < {clusters}),
+        c0 AS (SELECT f.c, v.i, v.x FROM f JOIN v USING (vec_id)), {",".join(steps)},
+        h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS sha FROM c{rounds} GROUP BY c)
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha AS centroid_sha256
+        FROM a{rounds} JOIN h USING (c)"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_language_id, op4_exact_dedup, op5_minhash_near_dedup, op6_tiff, op7_warc, op8_packing, op9_line_dedup, op9_line_dedup_short_lines, op10_html_text)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_language_id, op4_exact_dedup, op5_minhash_near_dedup, op6_tiff, op7_warc, op8_packing, op9_line_dedup, op9_line_dedup_short_lines, op10_html_text, op11_ball_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_ball_tree": _clusters_sql(),
         "op4_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
