@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ball_tree, html_text, language_id, line_dedup, near_dedup, packing, pieces, spelling, tiff, warc
+from strandline.llm import ball_tree, html_text, language_id, line_dedup, near_dedup, packing, pieces, spelling, substring_dedup, tiff, warc
 from strandline.llm.exact_dedup import exact_duplicates
 from strandline.llm.sharding import reshard
 from strandline.llm.shared import documents, pages
@@ -119,8 +119,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(documents(spark, sf_dir))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents that repeated passages of 20 words take."""
+    return substring_dedup.repeated_passages(documents(spark, sf_dir), window=20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_language_id, op4_exact_dedup, op5_minhash_near_dedup, op6_tiff, op7_warc, op8_packing, op9_line_dedup, op9_line_dedup_short_lines, op10_html_text, op11_ball_tree, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_language_id, op4_exact_dedup, op5_minhash_near_dedup, op6_tiff, op7_warc, op8_packing, op9_line_dedup, op9_line_dedup_short_lines, op10_html_text, op11_ball_tree, op12_spelling_variants, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

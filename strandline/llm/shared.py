@@ -67,6 +67,18 @@ def erase(*tables: DataFrame) -> None:
             place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that ``df`` has none of, in any case of letters."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
