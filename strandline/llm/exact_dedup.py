@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import shuffle_partitions
+from strandline.llm.shared import free_names, shuffle_partitions
 
 PREFIX_CHARS = 16
 #: A text is salted if it has more than a share of 1 / (HOT_SHARE * partitions) of all rows.
@@ -56,13 +56,14 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay, one for each text: that with the id that is kept, of rows that repeat it one. A null id
     stays only where its text has no other. All columns are carried along; an empty table gives an empty result."""
     normalise = options.get("normalise")
+    id_, sha, stays, copies, first = free_names(docs, "id", "sha", "stays", "copies", "first")
     decided = exact_duplicates(docs, id_col, text_col, **options)
-    pairs = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.bool_or("kept").alias("__stays"), F.count(F.lit(1)).alias("__copies"))
-    text = F.coalesce(docs[text_col], F.lit(""))
-    joined = docs.join(pairs, docs[id_col].eqNullSafe(F.col("__id")) & (F.sha2(normalise(text) if normalise else text, 256) == F.col("__sha"))).filter("__stays")
-    first = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1)))
-    own = [docs[c] for c in docs.columns]
-    return joined.filter("__copies = 1").select(*own).union(joined.filter("__copies > 1").withColumn("__first", first).filter("__first = 1").select(*own))
+    pairs = decided.groupBy(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).agg(F.bool_or("kept").alias(stays), F.count(F.lit(1)).alias(copies))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    joined = docs.join(pairs, F.col(id_col).eqNullSafe(F.col(id_)) & (F.sha2(normalise(text) if normalise else text, 256) == F.col(sha))).filter(F.col(stays))
+    nth = F.row_number().over(Window.partitionBy(id_, sha).orderBy(F.lit(1)))
+    single = joined.filter(F.col(copies) == 1).select(*docs.columns)
+    return single.union(joined.filter(F.col(copies) > 1).withColumn(first, nth).filter(F.col(first) == 1).select(*docs.columns))
 
 
 def _first(keep_id: Column) -> Column:

@@ -4,8 +4,11 @@ A page becomes a flat sequence of text blocks, broken at block-level tags. A blo
 and those of its two neighbours, and marks of what encloses it. A decision tree, trained here on a small labelled table
 of blocks, says which blocks are main text.
 
-Names in class, id and role are a weak mark: what they name counts as boilerplate only while it has less than half of the
-page's words, or mostly links; a name around the page's prose says nothing.
+Names in class, id and role are of two kinds. Those of comments, notices, adverts, menus, forms and the like make what they
+name boilerplate whatever its size, but for a wrapper: an element that has all of the page's main elements inside (or its
+only first-level heading, where there is no main element) says with its name what else it has. Words such as header, tag or
+print, which also name ordinary parts, are a weak mark: what they name is boilerplate only while it has less than half of
+the page's words, or mostly links.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ MAIN = set("article main".split())
 CLOSED_BY_BLOCK = set("p h1 h2 h3 h4 h5 h6".split())
 
 # Words in class, id and role that name what is not main text, and what is.
-BOILER_HINT = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|noticebar|alerts?|popup\w*|modal|overlay|newsletter\w*|subscribe|subscription|signup|login|comment(?:s|list|box|thread|area|section|form|wrap)?|respond|discussion|replies|disqus|side-?bar\w*|widget\w*|nav\w*|menu|menubar|breadcrumbs?|pagination|pager|footer\w*|site-?header|page-?header|masthead|topbar|header|related|recommend\w*|share|sharing|social|tags?|toolbar|search|skip\w*|print|copyright|legal|disclaimer|complementary|contentinfo|navigation)(?:[^a-z]|$)", re.I)
+COMMENTS = r"comment(?:s|list|box|thread|area|section|form|wrap|er|text|body)?|commentary-list|respond|discussion|replies|reply|disqus"
+BOILER_HINT = re.compile(rf"(?:^|[^a-z])(?:{COMMENTS}|ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notices?|noticebar|popup\w*|newsletter\w*|subscribe|subscription|signup|login|side-?bar\w*|widget\w*|nav\w*|menu|menubar|breadcrumbs?|pagination|pager|footer\w*|site-?header|page-?header|masthead|topbar|related|recommend\w*|complementary|contentinfo|navigation)(?:[^a-z]|$)", re.I)
+WEAK_HINT = re.compile(r"(?:^|[^a-z])(?:banner\w*|alerts?|modal|overlay|header|share|sharing|social|tags?|toolbar|search|skip\w*|print|copyright|legal|disclaimer)(?:[^a-z]|$)", re.I)
+COMMENT_TOKEN = re.compile(rf"(?:^|\s)(?:{COMMENTS})(?:\s|$)", re.I)
 MAIN_HINT = re.compile(r"(?:^|[^a-z])(?:article\w*|entry-?content|post-?(?:content|body)|story\w*|main-?(?:content|text)?|content-?body|body-?text)(?:[^a-z]|$)", re.I)
 
 FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "boiler", "main", "prose")
@@ -121,8 +127,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """(text, words, link density, boiler, main, prose) of each text block, in page order."""
     out, text, linked = [], [], 0
     stack: list[tuple[str, int, int, int, bool, int]] = []  # tag, boiler, main, skipped, is prose, number of a named element
-    boiler = main = skipped = links = 0
-    named: list[list[int]] = []  # of elements with a name of boilerplate: words, linked words
+    boiler = main = skipped = links = heads = hearts = 0
+    named: list[list[int]] = []  # of elements with a name of boilerplate: words, linked words, first-level headings, main elements, strong
 
     def close_block():
         nonlocal text, linked
@@ -201,18 +207,35 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         names = " ".join(values.get(k, "") for k in ("class", "id", "role"))
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
         is_main = tag in MAIN or values.get("role") == "main" or values.get("itemprop", "").lower() == "articlebody" or bool(names and MAIN_HINT.search(names))
+        is_comment = bool(names and COMMENT_TOKEN.search(names)) and tag not in ("html", "body", "main")
         is_boiler = tag in BOILER or tag == "header" and not main or hidden
         number = -1
-        if not is_boiler and not is_main and tag not in ("html", "body") and names and BOILER_HINT.search(names):
+        inside = [named[e[5]] for e in stack if e[5] >= 0]
+        among = any(e[4] for e in inside)  # a bare article among comments is a comment
+        if is_main and not is_comment and not (tag == "article" and among):
+            hearts += 1
+            for e in inside:
+                e[3] += 1
+        if tag == "h1":
+            heads += 1
+            for e in inside:
+                e[2] += 1
+        if not is_boiler and (is_comment or not is_main) and tag not in ("html", "body") and names and (BOILER_HINT.search(names) or WEAK_HINT.search(names)):
             number = len(named)
-            named.append([0, 0])
+            named.append([0, 0, 0, 0, bool(is_comment or BOILER_HINT.search(names))])
         entry = (tag, int(is_boiler), int(is_main), int(tag in SKIPPED), tag in ("p", "li", "blockquote", "pre", "td", "dd", "dt") or tag in CLOSED_BY_BLOCK, number)
         stack.append(entry)
         boiler, main, skipped = boiler + entry[1], main + entry[2], skipped + entry[3]
     close_block()
     half = sum(b[1] for b in out if not b[3]) / 2
-    weak = [words < half or 2 * linked > words for words, linked in named]
-    return [(*b[:3], int(b[3] or any(weak[k] for k in b[6])), *b[4:6]) for b in out]
+
+    def marks(words: int, linked: int, own_heads: int, own_hearts: int, strong: bool) -> bool:
+        if strong:
+            return own_hearts < hearts or hearts == 0 and (own_heads < heads or heads != 1)
+        return words < half or 2 * linked > words
+
+    marked = [marks(*e) for e in named]
+    return [(*b[:3], int(b[3] or any(marked[k] for k in b[6])), *b[4:6]) for b in out]
 
 
 def main_text(page: str) -> str:

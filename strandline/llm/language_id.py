@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from strandline.llm.lattice import PieceTable, backward, forward, lattices, log_backward, log_forward, long_grid
+from strandline.llm.lattice import PieceTable, lattices, log_backward, log_forward, log_forward_words, log_ways, long_grid
 from strandline.llm.shared import held
 
 #: The bound of the sample that the model is fitted on: labelled documents of a language, in expectation.
 TRAIN_DOCS = 500
 ROUNDS, SMOOTHING, WORDS_KEPT = 3, 0.05, 400_000
-#: Longer words are segmented one by one, in logarithms.
+#: Longer words are segmented one by one; the sums are the same.
 LONG = 40
 UNDETERMINED = "und"
 
@@ -67,15 +67,15 @@ def fit(counts: Counter, vocab: Vocabulary) -> np.ndarray:
     prob = np.append(np.full(size, 1 / size), 0.0)[:, None]
     for _ in range(ROUNDS):
         expected = np.zeros(size + 1)
+        with np.errstate(divide="ignore"):
+            logs = np.log(prob)
         for own, grid in lattices(words, vocab.table, vocab.unknown):
-            alpha, beta = forward(grid, prob), backward(grid, prob)
-            scale = weight[own] / alpha[:, -1, 0]
+            alpha, beta = log_ways(grid, logs[:, 0])
             for end in range(1, grid.shape[1] + 1):
                 for m in range(1, min(grid.shape[2], end) + 1):
                     piece = grid[:, end - 1, m - 1]
-                    expected += np.bincount(piece % (size + 1), alpha[:, end - m, 0] * prob[piece, 0] * beta[:, end, 0] * scale, size + 1)
-        with np.errstate(divide="ignore"):
-            logs = np.log(prob)
+                    share = weight[own] * np.exp(alpha[:, end - m] + logs[piece, 0] + beta[:, end] - alpha[:, -1])
+                    expected += np.bincount(piece % (size + 1), share, size + 1)
         for n, grid in longer:
             alpha, beta = log_forward(grid, logs)[:, 0], log_backward(grid, logs)[:, 0]
             for m in range(1, grid.shape[1] + 1):
@@ -142,7 +142,7 @@ class Scorer:
         for k, grid in lattices([words[i] for i in short], self.vocab.table, self.vocab.unknown):
             for i in range(0, len(k), 4096):
                 rows = [short[x] for x in k[i : i + 4096].tolist()]
-                self.logs[self.size + np.array(rows)] = np.log(forward(grid[i : i + 4096], self.prob)[:, -1])
+                self.logs[self.size + np.array(rows)] = log_forward_words(grid[i : i + 4096], self.prob)
         for i, w in enumerate(words):
             if len(w) > LONG:
                 self.logs[self.size + i] = log_forward(long_grid(w, self.vocab.table, self.vocab.unknown), self.log_prob)[-1]

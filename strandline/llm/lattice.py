@@ -52,26 +52,40 @@ def lattices(words: list[str], table: PieceTable, unknown: int):
         yield np.array(own), grid
 
 
-def forward(grid: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """alpha[w, end, lang]: the sum over all segmentations of the first ``end`` characters of the product of their
-    pieces' probabilities; ``prob``: (pieces and a row of zeros for -1) x languages."""
+#: So many characters go on between two rescalings: too few for a float to run out, with pieces of 16.
+RESCALED = 4
+
+
+def log_forward_words(grid: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """The logarithms (words x languages) of the sums, over all segmentations of each word, of the product of its pieces'
+    probabilities; ``prob``: (pieces and a row of zeros for -1) x languages. Sums are rescaled on the way, so that none of them
+    is too small for a float."""
     count, n, most = grid.shape
-    alpha = np.zeros((count, n + 1, prob.shape[1]))
+    alpha, scale = np.zeros((count, n + 1, prob.shape[1])), np.zeros((count, prob.shape[1]))
     alpha[:, 0] = 1
     for end in range(1, n + 1):
         for m in range(1, min(most, end) + 1):
             alpha[:, end] += alpha[:, end - m] * prob[grid[:, end - 1, m - 1]]
-    return alpha
+        if end % RESCALED == 0:
+            now = alpha[:, end].copy()
+            alpha[:, max(0, end - most + 1) : end + 1] /= now[:, None]
+            scale += np.log(now)
+    return np.log(alpha[:, n]) + scale
 
 
-def backward(grid: np.ndarray, prob: np.ndarray) -> np.ndarray:
+def log_ways(grid: np.ndarray, log_prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha[w, end], beta[w, start]): the logarithms of the sums over all segmentations of the words' first ``end`` characters,
+    and of those from ``start``; ``log_prob``: of pieces, and minus infinity for -1."""
     count, n, most = grid.shape
-    beta = np.zeros((count, n + 1, prob.shape[1]))
-    beta[:, n] = 1
+    alpha, beta = np.full((count, n + 1), -np.inf), np.full((count, n + 1), -np.inf)
+    alpha[:, 0] = beta[:, n] = 0
+    for end in range(1, n + 1):
+        for m in range(1, min(most, end) + 1):
+            alpha[:, end] = np.logaddexp(alpha[:, end], alpha[:, end - m] + log_prob[grid[:, end - 1, m - 1]])
     for start in range(n - 1, -1, -1):
         for m in range(1, min(most, n - start) + 1):
-            beta[:, start] += beta[:, start + m] * prob[grid[:, start + m - 1, m - 1]]
-    return beta
+            beta[:, start] = np.logaddexp(beta[:, start], beta[:, start + m] + log_prob[grid[:, start + m - 1, m - 1]])
+    return alpha, beta
 
 
 def long_grid(word: str, table: PieceTable, unknown: int) -> np.ndarray:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import erase, shuffle_partitions, written
+from strandline.llm.shared import erase, free_names, shuffle_partitions, written
 
 MAX_EDITS, MIN_CHARS, HOT_SHARE = 2, 20, 4
 #: Candidates whose counts of these are too far apart are no candidates.
@@ -188,10 +188,25 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the texts that are left without their repeated lines (other columns as they are), and all the
-    documents that nothing is dropped from; one that is left with nothing but white space goes."""
-    gone = repeated_lines(docs, min_chars=min_chars, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    rows = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, k: ~F.array_contains("__dropped", k))
-    rows = rows.filter(F.col("__dropped").isNull() | F.coalesce(F.exists(left, lambda line: line.rlike(INK)), F.lit(True)))
-    text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return rows.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    documents that nothing is dropped from; one that is left with nothing but white space goes.
+
+    Rows that share an id follow each other by the hash of their texts, and each loses its own lines only; of rows that share
+    both, in any order, the later ones repeat all lines of the first. Ids that are no integers are ordered as they are.
+    """
+    place, gone, of, before = free_names(docs, "place", "dropped", "of", "before")
+    shared = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") and shared.isEmpty():
+        return _without(docs, repeated_lines(docs, min_chars=min_chars, id_col=id_col, text_col=text_col, **options), id_col, gone, of, text_col, docs.columns)
+    order = [F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col(before)]  # the last deals out equal rows
+    dealt = docs.withColumn(before, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(dealt.drop(before).withColumn(place, F.monotonically_increasing_id()), "placed-rows")
+    return _without(rows, repeated_lines(rows, min_chars=min_chars, id_col=place, text_col=text_col, **options), place, gone, of, text_col, docs.columns)
+
+
+def _without(rows: DataFrame, found: DataFrame, id_col: str, gone: str, of: str, text_col: str, columns: list[str]) -> DataFrame:
+    """``rows`` without the lines that ``found`` has for them."""
+    rows = rows.join(found.select(F.col("doc_id").alias(of), F.col("dropped").alias(gone)), F.col(id_col).eqNullSafe(F.col(of)), "left")
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, k: ~F.array_contains(gone, k))
+    rows = rows.filter(F.col(gone).isNull() | F.coalesce(F.exists(left, lambda line: line.rlike(INK)), F.lit(True)))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns])

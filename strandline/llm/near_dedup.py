@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import erase, held, written
+from strandline.llm.shared import erase, free_names, held, written
 
 #: Eight lanes of a 64-bit word count equal tokens; with under 256 tokens their sum fits a byte.
 TOKENS, DEPTH, LEAF = 248, 6, 512
@@ -429,13 +429,13 @@ def keep_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     rows, named = _classes(docs, words, percent, id_col, text_col, recall)
     rows = rows.filter("content is not null").groupBy("doc_id", "h", "content").agg(F.count(F.lit(1)).alias("copies")).join(named, "content")
     same = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("h") == F.col("low.h"))
-    marks = rows.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), (~same).alias("__goes"), "copies").filter("__goes or copies > 1")
-    marks = written(marks.select("__id", "__h", "__goes"), "goes")
-    h = F.xxhash64(docs[text_col])
-    joined = docs.join(marks, docs[id_col].cast("long").eqNullSafe(marks["__id"]) & (h == marks["__h"]), "left")
-    single = joined.filter(F.col("__goes").isNull()).select(*[docs[c] for c in docs.columns])
-    if marks.filter("not __goes").isEmpty():
+    id_, h, goes, nth = free_names(docs, "id", "h", "goes", "first")
+    marks = rows.select(F.col("doc_id").alias(id_), F.col("h").alias(h), (~same).alias(goes), "copies").filter(F.col(goes) | (F.col("copies") > 1))
+    marks = written(marks.select(id_, h, goes), "goes")
+    joined = docs.join(marks, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(h)), "left")
+    single = joined.filter(F.col(goes).isNull()).select(*docs.columns)
+    if marks.filter(~F.col(goes)).isEmpty():
         return single
-    twice = joined.filter(F.col("__goes") == F.lit(False))
-    first = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(1)))
-    return single.union(twice.withColumn("__first", first).filter("__first = 1").select(*[docs[c] for c in docs.columns]))
+    first = F.row_number().over(Window.partitionBy(id_, h).orderBy(F.lit(1)))
+    twice = joined.filter(~F.col(goes)).withColumn(nth, first).filter(F.col(nth) == 1)
+    return single.union(twice.select(*docs.columns))

@@ -80,7 +80,7 @@ def op9_line_dedup_short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _repeated_lines(docs: DataFrame, **options) -> DataFrame:
     gone = line_dedup.repeated_lines(docs, max_edits=2, min_chars=20, **options)
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    rows = docs.select("doc_id", lines.alias("n_lines")).join(gone, "doc_id", "left")
+    rows = docs.select("doc_id", lines.alias("n_lines")).join(gone.withColumnRenamed("doc_id", "of"), F.expr("doc_id <=> of"), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.array_join(dropped.cast("array<string>"), ",").alias("dropped"))
 

@@ -73,3 +73,13 @@ def test_empty_table_and_normalisation(spark):
 def test_content_sort_needs_one_shuffle(spark, small):
     plan = exact_duplicates(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "Python" not in plan
+
+
+def test_clashing_names_of_helpers(spark):
+    from pyspark.sql import functions as F
+    from strandline.llm.exact_dedup import keep_documents
+
+    names = ("__id", "__sha", "__stays", "__copies", "__first", "h", "body", "kept")
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (2, "x"), (None, "y")], "doc_id long, text string").select("*", *[F.lit(c).alias(c) for c in names])
+    out = keep_documents(df)
+    assert out.columns == df.columns and sorted((r.doc_id or 0) for r in out.collect()) == [0, 2] and all(r[c] == c for r in out.collect() for c in names)

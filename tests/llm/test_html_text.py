@@ -81,3 +81,40 @@ def test_query_over_the_whole_table(spark, small):
     out = queries.op10_html_text(spark, small).collect()
     assert sorted(r.page_id for r in out) == sorted(rows)
     assert all(r.text == main_text(rows[r.page_id].html) and r.n_chars == len(r.text) and r.url == rows[r.page_id].url for r in out)
+
+
+LONG = "A reader wrote a rather long comment here about the article, it goes on and on. " * 20
+SHORT = "<p>Five words of an article.</p>"
+
+
+def test_comments_and_notices_go_whatever_their_size():
+    wanted = "Title Five words of an article."
+    for name in ('class="comments"', 'id="comments"', 'class="comment-list"', 'class="reader-comments"', 'class="cookie-notice"', 'id="gdpr-consent"', 'class="newsletter-box"'):
+        part = f"<section {name}><h2>Said</h2><p>{LONG}</p><p>{LONG}</p></section>"
+        assert main_text(f"<nav><a href=1>One</a></nav><article><h1>Title</h1>{SHORT}</article>{part}<footer>end</footer>") == wanted
+        assert main_text(f"<article><h1>Title</h1>{SHORT}{part}</article><footer>end</footer>") == wanted
+        assert main_text(f"<main><article><h1>Title</h1>{part}{SHORT}</article></main>") == wanted
+        assert main_text(f"<main>{part}<article><h1>Title</h1>{SHORT}</article></main>") == wanted
+    replies = "".join(f'<article class="comment"><p>{LONG}</p></article>' for _ in range(3))
+    plain = "".join(f"<article><p>{LONG}</p></article>" for _ in range(3))
+    for inside in (replies, plain):
+        assert main_text(f'<article><h1>Title</h1>{SHORT}</article><section id="comments">{inside}</section>') == wanted
+    assert main_text(f"<article><h1>Title</h1>{SHORT}</article>{replies}") == wanted
+
+
+def test_wrappers_named_after_what_else_they_have():
+    wanted = f"Title {PROSE}".strip()
+    for name in ("with-sidebar", "has-comments", "page has-nav", "layout-ads"):
+        assert main_text(f'<div class="{name}"><article><h1>Title</h1><p>{PROSE}</p></article><div class="comments"><p>{LONG}</p></div></div>') == wanted
+        assert main_text(f'<div class="{name}"><h1>Title</h1><p>{PROSE}</p><div class="comments"><p>{LONG}</p></div></div>') == wanted
+
+
+def test_pages_of_the_tables_with_comments_put_in(spark):
+    """An independent reading of all articles, with comments or notices of any size put into and behind them."""
+    parts = ['<div class="comments"><p>{}</p></div>', '<section id="comments"><ul><li>{}</li></ul></section>', '<div class="cookie-consent">{}</div>', '<aside>{}</aside>']
+    for k, r in enumerate(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()):
+        article = re.search(r"(?s)<article>(.*)</article>", r.html)[1]
+        pieces = re.split(r"</?(?:p|h1|li|ul|div)\b[^>]*>|<br>", article)
+        want = " ".join(q for q in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in pieces) if q)
+        part = parts[k % 4].format("words of a reader " * (1 + k * 37 % 900))
+        assert main_text(r.html.replace("</article>", part + "</article>" if k % 3 else "</article>" + part)) == want

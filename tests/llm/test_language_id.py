@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from strandline.llm import language_id, queries
-from strandline.llm.lattice import PieceTable, backward, forward, lattices, log_backward, log_forward, long_grid
+from strandline.llm.lattice import PieceTable, lattices, log_backward, log_forward, log_forward_words, log_ways, long_grid
 from strandline.llm.queries import tokenizer_file
 
 
@@ -22,8 +22,10 @@ def test_forward_sums_all_segmentations():
                     at = k
             total += math.prod(prob[pieces[p], 0] if p in pieces else (0.01 if len(p) == 1 else 0.0) for p in parts)
         (_, grid), = lattices([word], PieceTable(pieces), 5)
-        assert forward(grid, prob)[0, -1, 0] == pytest.approx(total)
-        assert backward(grid, prob)[0, 0, 0] == pytest.approx(total)
+        assert np.exp(log_forward_words(grid, prob)[0, 0]) == pytest.approx(total)
+        with np.errstate(divide="ignore"):
+            alpha, beta = log_ways(grid, np.log(prob[:, 0]))
+        assert np.exp(alpha[0, -1]) == pytest.approx(total) and np.exp(beta[0, 0]) == pytest.approx(total)
 
 
 def test_long_words_sum_all_segmentations_too():
@@ -36,8 +38,8 @@ def test_long_words_sum_all_segmentations_too():
         (_, grid), = lattices([word], table, 5)
         own = long_grid(word, table, 5)
         assert np.array_equal(own, grid[0])
-        assert log_forward(own, logs)[-1, 0] == pytest.approx(np.log(forward(grid, prob)[0, -1, 0]))
-        assert log_backward(own, logs)[0, 0] == pytest.approx(np.log(backward(grid, prob)[0, 0, 0]))
+        want = log_forward_words(grid, prob)[0, 0]
+        assert log_forward(own, logs)[-1, 0] == pytest.approx(want) and log_backward(own, logs)[0, 0] == pytest.approx(want)
     assert np.isfinite(log_forward(long_grid("abx" * 3000, PieceTable(pieces), 5), logs)[-1, 0])
 
 
@@ -55,6 +57,22 @@ def test_scores_do_not_change_at_a_length(monkeypatch):
     assert fits[0] == pytest.approx(fits[1]) and scores[0] == pytest.approx(scores[1])
 
 
+def test_unlikely_letters_do_not_underflow(monkeypatch):
+    """39 letters outside of the vocabulary at 1e-9 each, beside a language in which they are likelier."""
+    vocab = language_id.vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    prob = np.full((vocab.unknown + 2, 2), 1e-9)
+    prob[vocab.unknown, 1] = 1e-8
+    prob[-1] = 0
+    word = "\u16a0" * 39
+    for long in (3, 40):
+        monkeypatch.setattr(language_id, "LONG", long)
+        scorer = language_id.Scorer(["x", "y"], prob, vocab)
+        assert scorer.score([word]) == (["y"], [pytest.approx(1.0)])
+        assert scorer.logs[scorer.words["▁" + word]] == pytest.approx([40 * np.log(1e-9), np.log(1e-9) + 39 * np.log(1e-8)])
+    counts = {"▁" + word: 10**9, "▁the": 1}
+    assert np.isfinite(language_id.fit(counts, vocab)).all()
+
+
 def test_query_over_the_whole_table(spark, small):
     import zlib
 

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from strandline.llm import queries
 from strandline.llm.line_dedup import drop_repeated_lines, repeated_lines, within
 
@@ -113,3 +114,29 @@ def test_short_lines_outlive_a_dropped_line(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in drop_repeated_lines(df).collect()} == {0: line, 1: "mine\n \nown", 3: "mine"}
     assert {r.doc_id: r.text for r in drop_repeated_lines(df, exact_short=True).collect()} == {0: line, 1: "mine\n \nown"}
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    rows = [(1, "first line of the first row of all\nthe line that both rows have in common"), (1, "the line that both rows have in common\nsecond row says a thing found nowhere else at all"), (2, "x"), (2, "x"), (None, "the line that both rows have in common\nmine, though there is no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.text for r in drop_repeated_lines(df, exact_short=True).collect()]
+    assert sum("second row says" in t for t in kept) == sum("first line of" in t for t in kept) == 1
+    assert sum("that both rows" in t for t in kept) == 1 and kept.count("x") == 1 and "mine, though there is no id" in kept
+    words = spark.createDataFrame([("b", "the line that both rows have in common"), ("a", "the line that both rows have in common\nand another of its own here")], "doc_id string, text string")
+    assert {r.doc_id: r.text.count("\n") for r in drop_repeated_lines(words).collect()} == {"a": 1}
+
+
+def test_null_ids_in_the_query(spark, tmp_path):
+    line = "a line of some length here"
+    spark.createDataFrame([(1, line), (None, line)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.n_dropped, r.dropped) for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()} == {(1, 0, ""), (None, 1, "0")}
+
+
+def test_clashing_names(spark):
+    names = ("__dropped", "__place", "__of", "__before", "dropped", "h1", "h2", "no", "line", "n", "count")
+    df = spark.createDataFrame([(1, "a line of some length here"), (2, "a line of some length here\nown line of this document")], "doc_id long, text string")
+    df = df.select("*", *[F.lit(c).alias(c) for c in names])
+    for docs in (df, df.union(df)):
+        out = drop_repeated_lines(docs)
+        assert out.columns == df.columns and all(r[c] == c for r in out.collect() for c in names)
+        assert sorted(r.text for r in out.collect()) == ["a line of some length here", "own line of this document"]

@@ -198,3 +198,13 @@ def test_components_of_a_path(spark):
 def test_shingles():
     assert len(shingles("a b c d", 3)) == 2 and len(shingles("a", 3)) == 1 and len(shingles(None, 3)) == 0
     assert np.array_equal(shingles("A b", 5), shingles("a\u000bB", 5)) and not np.array_equal(shingles("É", 1), shingles("é", 1))
+
+
+def test_clashing_names_of_helpers(spark):
+    from pyspark.sql import functions as F
+
+    names = ("__id", "__h", "__goes", "__first", "content", "low", "copies", "node")
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, None), (4, "other words"), (4, "other words")], "doc_id long, text string").select("*", *[F.lit(c).alias(c) for c in names])
+    out = near_dedup.keep_documents(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 4] and all(r[c] == c for r in out.collect() for c in names)

@@ -56,3 +56,10 @@ def test_run_equals_its_stages_by_brute_force(spark, small):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
         assert r.doc_tokens == want[r.doc_id]
     assert got == want
+
+
+def test_clashing_names_of_the_language_stage(spark):
+    docs = spark.createDataFrame([(1, "the and of the house is here", "en", "a", 0.5), (2, "der und das haus ist hier", "de", "b", 0.1)], "doc_id long, text string, lang string, __lang string, __score double")
+    out = corpus_pipeline.identify_language(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r["__lang"], r["__score"]) for r in out.collect()} <= {(1, "a", 0.5), (2, "b", 0.1)}
