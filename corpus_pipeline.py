@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import language_id, line_dedup, near_dedup, packing
 from strandline.llm.queries import tokenizer_file
-from strandline.llm.shared import documents, written
+from strandline.llm.shared import documents, free_names, written
 
 #: A document stays if its language is determined with at least this probability.
 MIN_SCORE = 0.5
@@ -24,17 +24,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     vocabulary = tokenizer_file("piece_bpe_32k.model")
     model = language_id.train(docs, vocabulary)
-    found = language_id.identify_rows(docs, model, vocabulary, pred_col="__lang", score_col="__score")
-    kept = found.filter((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= MIN_SCORE))
-    return kept.select(*[F.col("__lang").alias(c) if c == "lang" else c for c in docs.columns])
+    lang, score = free_names(docs, "lang", "score")
+    found = language_id.identify_rows(docs, model, vocabulary, pred_col=lang, score_col=score)
+    kept = found.filter((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= MIN_SCORE))
+    return kept.select(*[F.col(lang).alias(c) if c == "lang" else c for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that occurred before, alike but for two edits, short ones if they are the same; a document of which
     nothing but white space is left goes.
 
-    Null and empty texts have no lines and stay. Rows that repeat an id are one document, whose later lines repeat its earlier
-    ones; rows without an id come last. Other columns stay as they are, but ``n_chars`` is counted anew. An empty table stays one.
+    Null and empty texts have no lines and stay. Rows that repeat an id follow each other by the hash of their texts; rows
+    without an id come last. Other columns stay as they are, but ``n_chars`` is counted anew. An empty table stays one.
     """
     kept = line_dedup.drop_repeated_lines(docs, exact_short=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
