@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ball_tree, html_text, language_id, line_dedup, near_dedup, packing, pieces, spelling, substring_dedup, tiff, warc
+from strandline.llm import ball_tree, html_text, language_id, line_dedup, near_dedup, packing, pieces, sharding, spelling, substring_dedup, tiff, warc
 from strandline.llm.exact_dedup import exact_duplicates
-from strandline.llm.sharding import reshard
-from strandline.llm.shared import documents, pages
+from strandline.llm.shared import documents, fresh_path, pages
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,9 +24,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, hashed over 32 old shards, put into 40 of equal bytes with the fewest bytes moved."""
-    plan = reshard(documents(spark, sf_dir), new_shards=40, old_shards=32)
-    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """All documents, hashed over 32 old shards, put into 40 of equal bytes with the fewest bytes moved: the shards that change are
+    written and read back, what stays where it is comes from the plan."""
+    docs, path = documents(spark, sf_dir), fresh_path(spark, "resharded")
+    placement = sharding.place(docs, new_shards=40, old_shards=32)
+    sharding.write_shards(docs, placement, path, old_shards=32)
+    body = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    size = (F.octet_length(body) + sharding.OVERHEAD).cast("long")
+    files = sharding.read_shards(docs, path).select("doc_id", size.alias("size"), F.crc32(body).alias("text_crc32"), "shard", "slot")
+    kept = sharding.slots(placement).join(F.broadcast(sharding.affected_shards(placement.parts)), "shard", "left_anti")  # as few rows as shards
+    rows = files.union(kept.select("doc_id", "size", "text_crc32", "shard", "slot"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
