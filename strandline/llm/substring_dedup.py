@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from hashlib import sha256
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -191,15 +192,11 @@ class SuffixAutomaton:
         return out[window - 1 :]
 
 
-def _spans(marked: list[tuple[int, int]], gap: int = 0) -> list[tuple[int, int]]:
-    """(first, number) of windows, joined where at most ``gap`` are between."""
-    out: list[list[int]] = []
-    for start, n in sorted(marked):
-        if out and start <= out[-1][1] + gap:
-            out[-1][1] = max(out[-1][1], start + n)
-        else:
-            out.append([start, start + n])
-    return [(a, b - a) for a, b in out]
+def _spans(starts: list[int]) -> list[tuple[int, int]]:
+    """(first, number) of windows that follow each other."""
+    at = np.array(starts, np.int64)
+    new = np.flatnonzero(np.append(True, np.diff(at) > 1)) if len(at) else at
+    return list(zip(at[new].tolist(), np.diff(np.append(new, len(at))).tolist()))
 
 
 def _texts_of(docs: DataFrame, places: DataFrame, marks: DataFrame) -> DataFrame:
@@ -208,22 +205,42 @@ def _texts_of(docs: DataFrame, places: DataFrame, marks: DataFrame) -> DataFrame
     return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key"))).drop("id", "key")
 
 
+def _each_mark(column: pa.ListArray, *fields: str):
+    """For each list of structs, the fields' values as arrays."""
+    ends, values = column.offsets.to_numpy(), column.values
+    arrays = [values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield [x[a:b] for x in arrays]
+
+
 def _pieces(texts: DataFrame, window: int) -> DataFrame:
     """shard, own, base, start, place, words of the runs in ``marks``, joined where they follow each other in one shard; those of
     the reference also where they overlap."""
 
     def cut(batches):
+        kinds, out = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), []
+
+        def batch_of():
+            arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["shard", "own", "base", "start", "place", "words"])
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                words, base, out = words_of(batch.column("text")[i].as_py()), batch.column("base")[i].as_py(), []
-                by: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-                for m in batch.column("marks")[i].as_py():
-                    by.setdefault((m["shard"], m["own"]), []).append((m["start"], m["n"]))
-                for (shard, own), marked in by.items():
-                    for start, n in _spans(marked, window - 1 if own else 0):
-                        out.append((shard, own, base, start, base + start, b" ".join(words[start : start + n + window - 1])))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["shard", "own", "base", "start", "place", "words"])
+            bases = batch.column("base").to_pylist()
+            for base, text, (starts, counts, shards, owns) in zip(bases, batch.column("text"), _each_mark(batch.column("marks"), "start", "n", "shard", "own")):
+                words = words_of(text.as_py())
+                group = shards * 2 + owns
+                order = np.lexsort((starts, group))
+                group, starts, counts = group[order], starts[order], counts[order]
+                # where a run doesn't follow the one before, or, of the reference, doesn't overlap it
+                gap = np.where(group[1:] & 1, window - 1, 0)
+                new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (starts[1:] > starts[:-1] + counts[:-1] + gap)))
+                last = np.append(new[1:], len(group)) - 1
+                for g, start, end in zip(group[new].tolist(), starts[new].tolist(), (starts[last] + counts[last]).tolist()):
+                    out.append((g >> 1, bool(g & 1), base, start, base + start, b" ".join(words[start : end + window - 1])))
+                if len(out) >= 2000:
+                    yield batch_of()
+        yield batch_of()
 
     return texts.select("base", "text", "marks").mapInArrow(cut, "shard long, own boolean, base long, start int, place long, words binary")
 
@@ -252,7 +269,7 @@ def _matched(pieces: DataFrame, window: int) -> DataFrame:
                 gone = []
                 for k, first in enumerate(automaton.first_places(words, window)):
                     if 0 <= first < place + k:
-                        gone.append((start + k, 1))
+                        gone.append(start + k)
                     else:
                         out.append((base, start + k, 1, xxhash.xxh64_intdigest(b" ".join(words[k : k + window])) - (1 << 63)))
                 out += [(base, a, n, None) for a, n in _spans(gone)]
@@ -312,13 +329,17 @@ def _cut(docs: DataFrame, window: int, kept: bool) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                words = words_of(batch.column("text")[i].as_py())
-                stays = np.ones(len(words), bool)
-                for m in batch.column("spans")[i].as_py():
-                    stays[m["start"] : m["start"] + m["n"] + window - 1] = False
-                left = b" ".join(words[k] for k in np.flatnonzero(stays).tolist())
-                arrays = [batch.column("doc_id").slice(i, 1), batch.column("h").slice(i, 1), pa.array([int((~stays).sum())], pa.int64()), pa.array([left.decode() if kept else sha256(left).hexdigest()])]
+            for at in range(0, batch.num_rows, 200):
+                part, removed, lefts = batch.slice(at, 200), [], []
+                for text, (starts, counts) in zip(part.column("text"), _each_mark(part.column("spans"), "start", "n")):
+                    words = words_of(text.as_py())
+                    stays = np.ones(len(words), bool)
+                    for start, end in zip(starts.tolist(), (starts + counts).tolist()):
+                        stays[start : end + window - 1] = False
+                    left = b" ".join(compress(words, stays.tolist()))
+                    removed.append(len(words) - int(stays.sum()))
+                    lefts.append(left.decode() if kept else sha256(left).hexdigest())
+                arrays = [part.column("doc_id"), part.column("h"), pa.array(removed, pa.int64()), pa.array(lefts, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "n_removed", "left"])
 
     return docs.select("doc_id", "h", "text", "spans").mapInArrow(cut, "doc_id long, h long, n_removed long, left string")
