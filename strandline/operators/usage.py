@@ -42,6 +42,27 @@ def ledger(calls: DataFrame) -> DataFrame:
     return sums.orderBy(F.desc("cost"), "model")
 
 
+SUMS = ["calls", "in_tokens", "out_tokens", "cached_tokens", "cost"]
+
+
+def add_to_ledger(table, calls: DataFrame, batch: tuple[str, int]) -> None:
+    """Adds a batch of calls (see ``priced``) to the sums by model in ``table`` (a ``KeyedTable`` by model), once however often it comes."""
+    sums = priced(calls).groupBy("model").agg(
+        F.count(F.lit(1)).alias("calls"), *[F.coalesce(F.sum(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in ("in_tokens", "out_tokens", "cached_tokens")],
+        F.sum(F.round(F.col("cost") * 10**12).cast("decimal(38,0)")).alias("cost"), F.bool_or("estimated").alias("estimated"),
+    )
+    table.merge(sums, combine=dict.fromkeys(SUMS, lambda old, new: old + new) | {"cost": lambda old, new: (old + new).cast("decimal(38,0)"), "estimated": lambda old, new: old | new}, batch=batch)
+
+
+def cumulative(table) -> DataFrame:
+    """The sums by model that ``table`` has, dearest first, as ``ledger`` gives them; costs are added up in whole millionths of a
+    millionth, so that their order says nothing."""
+    rows = table.read()
+    pct = F.round(100 * F.col("cached_tokens") / F.nullif(F.col("in_tokens"), F.lit(0)), 1)
+    cost = F.round(F.col("cost").cast("double") / 10**12, 6)
+    return rows.select("model", "calls", "in_tokens", "out_tokens", "cached_tokens", cost.alias("cost"), "estimated", pct.alias("cache_hit_pct")).orderBy(F.desc("cost"), "model")
+
+
 def fence(text):
     """Text that can't close or open the marks of a prompt."""
     out = text
