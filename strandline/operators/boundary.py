@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.graph import QUESTION
+
 # Weights of the signals in a candidate's score, tokens of a unit, and the loss that forbids a cut.
 WEIGHTS = {"structural_strength": 1.2, "semantic_shift": 1.0, "speaker_change": 1.0, "temporal_gap": 1.0, "pause_strength": 1.0, "visual_change": 0.9, "scene_change": 0.9, "ocr_change": 0.8, "graph_separation": 0.8, "multimodal_consensus": 1.1}
 LOSS_WEIGHT, DEVIATION_WEIGHT, LIST_PENALTY = 1.5, 0.6, 0.5
@@ -20,8 +22,9 @@ def candidates(elements: DataFrame, edges: DataFrame, region: list[str]) -> Data
         if name not in elements.columns:
             elements = elements.withColumn(name, F.lit(None).cast(kind))
     order = Window.partitionBy("doc_id", *region).orderBy("pos")
-    fields = ["pos", "kind", *OPTIONAL]
-    rows = elements.withColumn("b", F.lag(F.struct(*fields)).over(order))
+    fields = ["pos", "kind", "asks", *OPTIONAL]
+    said = F.trim("text") if "text" in elements.columns else F.lit("")
+    rows = elements.withColumn("asks", said.endswith("?") | said.rlike(QUESTION)).withColumn("b", F.lag(F.struct(*fields)).over(order))
     rows = rows.withColumns({"before": F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), "first": F.min("pos").over(Window.partitionBy("doc_id", *region)), "last": F.max("pos").over(Window.partitionBy("doc_id", *region))})
     rows = rows.filter("b is not null")
     linked = edges.filter("type != 'next'").select("doc_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "type").groupBy("doc_id", "lo", "hi").agg(F.bool_or(F.col("type").isin("captions", "captioned_by")).alias("captioned"))
@@ -44,11 +47,14 @@ def candidates(elements: DataFrame, edges: DataFrame, region: list[str]) -> Data
         "visual_change": F.when(visual == "shot", 0.35).when(visual.isNotNull() | differs(seen(at), seen(b)), 0.85).otherwise(zero),
         "scene_change": F.when(at("kind") == "visual_event", 0.95).otherwise(zero),
         "ocr_change": F.when(differs(at("ocr_text"), b("ocr_text")), 0.8).otherwise(zero),
+        "qa_transition": F.when(b("asks"), 0.9).otherwise(zero),
         "graph_separation": F.when(F.col("captioned").isNotNull(), 0.1).when(~at("heading_path").eqNullSafe(b("heading_path")), 0.95).otherwise(F.lit(0.5)),
         "semantic_shift": F.coalesce(at("semantic_shift"), zero),
     }
     rows = rows.withColumns({"vetoed": (b("kind") == "heading") | pair, **{f"s_{k}": v for k, v in signals.items()}})
-    strong = sum(((F.col(f"s_{k}") > 0.5).cast("int") for k in ("structural_strength", "semantic_shift", "speaker_change", "pause_strength", "visual_change", "scene_change", "ocr_change")), F.lit(0))
+    seen_change = F.when(F.col("s_visual_change") > 0, F.col("s_visual_change")).otherwise(F.col("s_scene_change"))  # one sign, whichever it is
+    own = [F.col(f"s_{k}") for k in ("structural_strength", "semantic_shift", "speaker_change", "temporal_gap", "pause_strength", "ocr_change")]
+    strong = sum(((s > 0.5).cast("int") for s in (*own, seen_change)), F.lit(0))
     rows = rows.withColumn("s_multimodal_consensus", F.when(strong >= 2, F.least(F.lit(1.0), 0.4 + 0.2 * strong)).otherwise(zero))
     losses = _losses(elements.select("doc_id", *region, "pos"), edges, region)
     rows = rows.join(losses, ["doc_id", *region, "pos"], "left").withColumn("loss", F.coalesce("loss", zero))

@@ -11,6 +11,7 @@ from strandline.functions.text import count_tokens
 from strandline.operators import graph, profile, quality, turns
 from strandline.operators.boundary import MAX_TOKENS, TARGET_TOKENS, candidates, cut_regions, score
 from strandline.operators.profile import anaphora_rate, escalation_flags
+from strandline.operators.retrieval import semantic_groups
 from strandline.operators.video import event_windows, semantic_shifts
 from strandline.plans import chunking
 from strandline.stored import stored
@@ -124,36 +125,61 @@ def _events(elements: DataFrame, edges: DataFrame) -> DataFrame:
     return units.select("doc_id", F.element_at("places", 1).alias("first_pos"), F.lit(1).alias("rank"), "content", "unit_type", F.lit("temporal").alias("strategy"), F.format_string("window of %d elements, speech and pictures agree: %s", F.size("places"), "agreement").alias("reason"), F.array().cast("array<string>").alias("heading_path"), "speaker", "start_s", "end_s", count_tokens(F.col("content")).cast("long").alias("n_tokens"), F.lit(False).alias("overflow"), F.lit(True).alias("has_caption"), F.col("places").alias("members"))
 
 
+def semantic_regions(elements: DataFrame) -> DataFrame:
+    """doc_id, pos, region, several of the elements of documents whose elements have vectors: a region is a group of neighbours that are
+    about the same; an element without a vector belongs to the group before it. ``several``: whether its document has more
+    than one."""
+    rows = elements.filter(F.col("embedding").isNotNull())
+    groups = semantic_groups(rows, "doc_id", "pos", "embedding").select("doc_id", "pos", F.col("grp").cast("long").alias("grp"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    known = elements.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "pos").join(groups, ["doc_id", "pos"], "left")
+    known = known.withColumn("region", F.coalesce(F.last("grp", ignorenulls=True).over(order), F.lit(0).cast("long")))
+    return known.select("doc_id", "pos", "region", (F.max("region").over(Window.partitionBy("doc_id")) > 0).alias("several"))
+
+
 def chunk(elements: DataFrame, clean: bool = True) -> DataFrame:
     """The units of documents (elements: doc_id, pos, kind, text, n_tokens and any of OPTIONAL): doc_id, unit_id (in reading
     order), content, unit_type, strategy, reason, heading_path, flags, speaker, start_s, end_s, n_tokens, overflow, route,
     members (positions of its elements), references (units it refers to), previous_id, next_id, parent_id, completeness.
 
-    Elements with an ``embedding`` have their semantic shifts among the signals of a cut. Every element is in a unit; one of a table that is split counts for all its parts. An empty table gives an empty result.
+    Elements with an ``embedding`` have their semantic shifts among the signals of a cut, and flat prose is cut where its subject
+    changes, before its parts are packed. Every element is in a unit; one of a table that is split counts for all its parts. An empty table gives an empty result.
     """
     rows = with_optional(elements)
+    drift = None
     if "embedding" in rows.columns:
+        drift = semantic_regions(rows)
         rows = rows.drop("semantic_shift").join(semantic_shifts(rows), ["doc_id", "pos"], "left").drop("embedding")
     rows = graph.heading_paths(clean_elements(rows) if clean else rows)
     rows = stored(rows.drop("section"))
     edges = stored(all_edges(rows))
-    routes = stored(profile.route(profile.profile(rows)).select("doc_id", "route", F.col("reason").alias("route_reason")))
+    profiles = profile.profile(rows)
+    if drift is not None:
+        profiles = profiles.join(drift.groupBy("doc_id").agg(F.lit(True).alias("embedded")), "doc_id", "left")
+    embedded = F.coalesce("embedded", F.lit(False)) if drift is not None else None
+    routes = stored(profile.route(profiles, embedded).select("doc_id", "route", F.col("reason").alias("route_reason")))
     rows = rows.join(routes, "doc_id")
     captions = edges.filter("type = 'captions'")
     sheets, others = rows.filter("route = 'tabular'"), rows.filter("route != 'tabular'")
     stream = chunking.without_atomic(others, captions)
     seen = F.max((F.col("kind") == "visual_event").cast("int")).over(Window.partitionBy("doc_id")) == 1
     timed = stream.filter("route = 'temporal'").withColumn("seen", seen)
+    flat = stream.filter(F.col("route").isin("semantic", "paragraph_fallback"))
+    if drift is not None:
+        flat = flat.join(drift, ["doc_id", "pos"], "left").withColumns({"several": F.coalesce("several", F.lit(False)), "region": F.coalesce("region", F.lit(0).cast("long"))})
+    else:
+        flat = flat.withColumns({"several": F.lit(False), "region": F.lit(0).cast("long")})
     parts = [
         _atomic(others, captions),
         _sheets(sheets),
         _regions(chunking.sections(stream.filter("route = 'structural'")), edges, "section", "structural"),
-        _regions(stream.filter(F.col("route").isin("semantic", "paragraph_fallback")).withColumn("region", F.lit(0)), edges, "region", "paragraph_fallback"),
+        _regions(flat.filter("not several").withColumn("region", F.lit(0).cast("long")), edges, "region", "paragraph_fallback"),
         _turns(timed.filter(~F.col("seen"))),
         _events(timed.filter("seen"), edges),
+        _regions(flat.filter("several"), edges, "region", "semantic"),
     ]
     present = {r.route for r in routes.select("route").distinct().collect()}
-    used = {0: present - {"tabular"}, 1: present & {"tabular"}, 2: present & {"structural"}, 3: present & {"semantic", "paragraph_fallback"}, 4: present & {"temporal"}, 5: present & {"temporal"}}
+    used = {0: present - {"tabular"}, 1: present & {"tabular"}, 2: present & {"structural"}, 3: present & {"semantic", "paragraph_fallback"}, 4: present & {"temporal"}, 5: present & {"temporal"}, 6: present & {"semantic"}}
     units = parts[0].select(*UNIT)
     for k, p in enumerate(parts[1:], 1):
         units = units.unionByName(p.select(*UNIT)) if used[k] else units
