@@ -115,6 +115,16 @@ def apply_replies(units: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.withColumns(made).drop("__doc", "__id", "s")
 
 
+# What of the reports of files is added up; the rest is the last file's.
+ADDED = ["flagged", "enriched", "api_calls", "calls_saved_by_batching", "failed_calls"]
+
+
+def merge_reports(reports: DataFrame, number: str = "number") -> DataFrame:
+    """One report of those of several files: sums of ADDED, and of other columns the value of the file with the greatest ``number``."""
+    others = [c for c in reports.columns if c not in (*ADDED, number)]
+    return reports.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ADDED], *[F.max_by(c, number).alias(c) for c in others if c != "doc_id"])
+
+
 def merge_entities(units: DataFrame, found: DataFrame) -> DataFrame:
     """``units`` with ``entities`` (as they were, then new ones of ``found``: doc_id, unit_id, entities; each once)."""
     new = found.groupBy("doc_id", "unit_id").agg(F.array_distinct(F.flatten(F.collect_list("entities"))).alias("__new"))

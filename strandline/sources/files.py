@@ -1,4 +1,4 @@
-"""Elements from files of several kinds, by their extension: Markdown, text, HTML, CSV, and JSON transcripts and scenes.
+"""Elements from files of several kinds, by their extension: Markdown, text, HTML, CSV, office files, and JSON transcripts and scenes.
 
 Files are read with Spark's binary source, so any store that Spark reads will do. A file is parsed by one task, as a
 document; large tables are better read with Spark's own readers and ``elements.cells_of``.
@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import count_tokens, table_markdown
+from strandline.sources import office
 
 # Which extension is read how.
 MARKDOWN, TEXT, MARKUP, TABLE = ("md", "markdown"), ("txt", "asciidoc", "adoc"), ("html", "htm"), ("csv", "tsv")
-PARSED = "doc_id string, pos int, kind string, text string, level int, grid array<array<string>>, header_row array<string>"
+SHEETS, WORDS, SLIDES = ("xlsx", "xlsm"), ("docx",), ("pptx",)
+PARSED = "doc_id string, pos int, kind string, text string, level int, grid array<array<string>>, header_row array<string>, page int, sheet string, error string"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -36,27 +38,54 @@ def safe_name(name):
     return F.when(cut == "", "file").otherwise(cut)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Elements of ``files`` with their tokens; empty texts are left out but for tables and figures. Files of other kinds
-    give none (``unsupported`` lists them)."""
+def parse_checked(files: DataFrame) -> DataFrame:
+    """Elements of ``files`` (doc_id, ext, content) with their tokens, and a row with ``error``, the reason, for each file that can't be
+    read; the others go on. Empty texts are left out but for tables and figures. Files of other kinds give nothing
+    (``unsupported`` lists them). A sheet of a workbook is a table with its page and name."""
+
+    def elements(ext: str, content: bytes):
+        if ext in SHEETS:
+            return [(*_grid_element(rows, rows[0] if rows else None), page, name) for page, name, rows in office.workbook_sheets(content)]
+        if ext in WORDS:
+            return office.document_elements(content)
+        if ext in SLIDES:
+            return office.slide_elements(content)
+        return _PARSERS[ext](content.decode("utf-8", "replace").lstrip("\ufeff"))
 
     def parsed(frames):
         for pdf in frames:
             rows = []
             for doc_id, ext, content in zip(pdf["doc_id"], pdf["ext"], pdf["content"]):
-                text = bytes(content).decode("utf-8", "replace").lstrip("﻿")
-                for pos, e in enumerate(e for e in _PARSERS[ext](text) if e[1] or e[0] in ("table", "figure")):
-                    rows.append((doc_id, pos, *e))
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "kind", "text", "level", "grid", "header_row"])
-
-    known = files.filter(F.col("ext").isin(list(_PARSERS)))
+                try:
+                    found = [(*e, *[None] * (7 - len(e))) for e in elements(ext, bytes(content or b"")) if e[1] or e[0] in ("table", "figure")]
+                    rows += [(doc_id, pos, *e, None) for pos, e in enumerate(found)]
+                except Exception as e:
+                    rows.append((doc_id, -1, "other", "", *[None] * 5, str(e) if type(e) is ValueError else f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "pos", "kind", "text", "level", "grid", "header_row", "page", "sheet", "error"])
+
+    known = files.filter(F.col("ext").isin([*_PARSERS, *SHEETS, *WORDS, *SLIDES]))
     rows = known.select("doc_id", "ext", "content").mapInPandas(parsed, PARSED)
-    rows = rows.withColumn("text", F.when(F.col("kind") == "table", table_markdown(F.col("grid"))).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when((F.col("kind") == "table") & F.col("grid").isNotNull(), table_markdown(F.col("grid"))).otherwise(F.col("text")))
     return rows.withColumn("n_tokens", count_tokens(F.col("text")))
 
 
+def parse_files(files: DataFrame) -> DataFrame:
+    """The elements that ``parse_checked`` finds; files that can't be read are left out."""
+    return parse_checked(files).filter("error is null").drop("error")
+
+
+def failures(parsed: DataFrame, must_have_any: bool = True) -> DataFrame:
+    """doc_id, reason of the files of ``parsed`` (by ``parse_checked``) that couldn't be read. If all of them failed, an error with the
+    first reasons, unless that may be."""
+    bad = parsed.filter("error is not null").select("doc_id", F.col("error").alias("reason"))
+    if must_have_any and parsed.filter("error is null").isEmpty() and not bad.isEmpty():
+        first = bad.orderBy("doc_id").limit(5).collect()
+        raise ValueError("every input failed: " + "; ".join(f"{r.doc_id}: {r.reason}" for r in first))
+    return bad
+
+
 def unsupported(files: DataFrame) -> DataFrame:
-    return files.filter(~F.col("ext").isin([*_PARSERS, "json"])).select("doc_id", F.concat(F.lit("no source for ."), "ext").alias("warning"))
+    return files.filter(~F.col("ext").isin([*_PARSERS, *SHEETS, *WORDS, *SLIDES, "json"])).select("doc_id", F.concat(F.lit("no source for ."), "ext").alias("warning"))
 
 
 def _element(kind: str, text: str, level: int | None = None, grid=None, header=None) -> tuple:
