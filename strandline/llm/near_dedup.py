@@ -9,7 +9,9 @@ to meet in one of them with the probability ``recall``, whatever the level its p
 Tree nodes of at most ``LEAF`` members are compared exhaustively on their signatures. Larger ones branch again, down to
 ``DEPTH``, or until a node keeps most of its parent's members: then it is a core of documents that share nearly
 everything, which further tokens would not part. A core is compared in blocks, all with the same pivots, and members
-that don't join its largest component are then compared with all of it, a block of them with a block of members at a time.
+that don't join its largest component are then compared with all of it, a block of them with a block of members at a time. Where
+these are many, as copies of a template that differ in their own words do, only those are compared that share one of their rarer
+shingles, or so few words besides the common ones that those may do.
 
 Candidates are confirmed on full sets, at first those of a spanning forest of the likeliest pairs of each leaf or block;
 then, where they meet, all between documents that these have not connected. So a large group costs links in proportion to its
@@ -39,6 +41,8 @@ CORE_SHARE = 0.7
 #: Candidates have an estimated similarity of the threshold less this: over three standard deviations.
 SLACK = 0.08
 WORDS_KEPT, ROUNDS = 150_000, 100
+#: Of so many members of a core, chosen by their hash, at least half have what is common in it.
+COMMON_OF = 128
 
 _draw = random.Random(20240229)
 _FACTORS = [(_draw.getrandbits(64) | 1, _draw.getrandbits(64)) for _ in range(TOKENS)]
@@ -344,7 +348,7 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     rows = written(sketches.select("doc_id", "h", "n_shingles", "content"), "rows")
     erase(sketches)
     leaves, cores, tables = _tree_nodes(nodes, trees, second)
-    plain = nodes.select("node", "bits")
+    plain_bits = nodes.select("node", "bits")
 
     whole = leaves.select("key", "node", F.lit(False).alias("pivot"))
     if cores is not None:  # blocks of a leaf, a quarter of which are the same pivots; these have a block of their own too
@@ -354,7 +358,7 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         block = F.pmod(F.xxhash64("node"), count).cast("int")
         dealt = cores.select("key", "node", pivot.alias("pivot"), F.explode(F.when(pivot, F.sequence(F.lit(-1), count - 1)).otherwise(F.array(block))).alias("block"))
         whole = whole.union(dealt.select(F.xxhash64("key", "block"), "node", F.col("pivot") & (F.col("block") >= 0)))
-    first = written(_forest_pairs(whole.join(plain, "node"), cutoff).distinct(), "forest")
+    first = written(_forest_pairs(whole.join(plain_bits, "node"), cutoff).distinct(), "forest")
     needed = first.select(F.explode(F.array("a", "b")).alias("node"))
     needed = written((needed.union(cores.select("node")) if cores is not None else needed).distinct(), "needed")
     of = nodes.select("node", "low.doc_id", "low.h").join(needed, "node", "left_semi")
@@ -365,44 +369,142 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     comps = components(links)
 
     # What the forests have not connected: links between components. Alone, a node is its own component.
-    rest = _open_groups(leaves, cores, needed, comps).join(plain, "node").join(texts, "node")
+    known = written(needed.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "known")
+    inside, close, parts = None, None, [known]
+    if cores is not None:
+        inside = written(cores.select("key", "node").join(known, "node"), "cores")
+        parts.append(inside)
+        many = written(_mains(inside).filter(F.col("odds") > LEAF).select("key"), "open-cores")  # others are compared with their few odd ones
+        parts.append(many)
+        if not many.isEmpty():
+            small, plain = _by_rare_shingles(written(_merged(inside.join(many, "key", "left_semi")), "merged-cores"), texts, words, percent)
+            inside = inside.join(many, "key", "left_anti").select("key", "node", "comp").union(plain.join(known, "node").select("key", "node", "comp"))
+            groups = small.join(known, "node")
+            mixed = groups.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
+            near = _close_pairs(groups.join(mixed, "key", "left_semi").join(plain_bits, "node").select("key", "node", "bits", "comp"), cutoff)
+            close = written(_confirm(written(near.distinct(), "close"), texts, words, percent), "close-links")
+    rest = _open_groups(leaves, inside, known).join(plain_bits, "node").join(texts, "node")
     rest = written(_open_links(rest, cutoff, words, percent), "rest")
+    if close is not None:
+        rest = rest.union(close)
     if not rest.isEmpty():
         comps = components(links.union(rest))
     own = nodes.select("node", "content", "low").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = own.groupBy("comp").agg(F.min("low").alias("least"))
     named = written(own.join(least, "comp").select("content", F.col("least").alias("low")), "classes")
-    erase(*tables, nodes, first, needed, texts, links, rest)
+    erase(*tables, *parts, nodes, first, needed, texts, links, rest)
     return rows, named
 
 
-def _open_groups(leaves: DataFrame, cores: DataFrame | None, needed: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members of leaves with several components, and those of cores by blocks, for ``_open_links``."""
-    number = F.coalesce("comp", "node").alias("comp")
-    known = written(needed.join(comps, "node", "left").select("node", number), "known")
+def _open_groups(leaves: DataFrame, inside: DataFrame | None, known: DataFrame) -> DataFrame:
+    """The members of leaves with several components, and those of cores (``inside``: key, node, comp) by blocks, for ``_open_links``."""
     every = leaves.select("key", "node").join(known, "node")  # of a leaf, those with a candidate are in the forest
-    if cores is not None:
-        inside = written(cores.join(comps, "node", "left").select("key", "node", "n", number), "cores")
-        sizes = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
-        main = written(main.select("key", "main", (F.col("all") - F.col("most")).alias("odds")).filter("odds > 0"), "mains")
-        inside = inside.join(main, "key").withColumn("odd", F.col("comp") != F.col("main"))
-        groups = every.select("node", "key").union(inside.select("node", "key"))
-    else:
-        groups = every.select("node", "key")
     mixed = every.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
-    groups = groups.groupBy("node").agg(F.collect_set("key").alias("groups"))
     rows = every.join(mixed, "key", "left_semi").select("key", "node", "comp", F.col("key").alias("group"), F.lit(0).alias("side"), F.lit(False).alias("odd"))
-    if cores is not None:
+    groups = every.select("node", "key")
+    if inside is not None:
+        inside = inside.join(_mains(inside), "key").withColumn("odd", F.col("comp") != F.col("main"))
+        groups = groups.union(inside.select("node", "key"))
         half = LEAF // 2
-        blocks, odds = F.ceil(F.col("n") / half).cast("int"), F.ceil(F.col("odds") / half).cast("int")
+        blocks, odds = F.ceil(F.col("size") / half).cast("int"), F.ceil(F.col("odds") / half).cast("int")
         upto = lambda n: F.sequence(F.lit(0), n - 1)
         block, odd_block = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), odds).cast("int")
         members = inside.select("key", "node", "comp", "odd", block.alias("block"), F.explode(upto(odds)).alias("against"), F.lit(1).alias("side"))
         others = inside.filter("odd").select("key", "node", "comp", "odd", F.explode(upto(blocks)).alias("block"), odd_block.alias("against"), F.lit(2).alias("side"))
         both = members.unionByName(others)
         rows = rows.union(both.select(F.xxhash64("key", "block", "against"), "node", "comp", F.col("key").alias("group"), "side", "odd"))
-    return rows.join(groups, "node")
+    return rows.join(groups.groupBy("node").agg(F.collect_set("key").alias("groups")), "node")
+
+
+def _mains(inside: DataFrame) -> DataFrame:
+    """key, main (the component that most of a core's members are in), size, odds (members outside of it) of the cores that have any."""
+    sizes = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("own", "comp")).alias("main"), F.sum("own").alias("size"), F.max("own").alias("most"))
+    return main.select("key", "main", "size", (F.col("size") - F.col("most")).alias("odds")).filter("odds > 0")
+
+
+def _merged(cores: DataFrame) -> DataFrame:
+    """``cores`` (key, node) with those that have members in common as one, so that a member counts once and not for each tree."""
+    cores = cores.select("key", "node")
+    least = cores.groupBy("node").agg(F.min("key").alias("b"))
+    links = written(cores.join(least, "node").select(F.col("key").alias("a"), "b").filter("a != b").distinct(), "core-links")  # as few as cores
+    if links.isEmpty():
+        return cores.select("key", "node")
+    named = components(links).withColumnRenamed("node", "key")
+    return cores.join(named, "key", "left").select(F.coalesce("comp", "key").alias("key"), "node").distinct()
+
+
+def _by_rare_shingles(cores: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(small groups, plain members) of ``cores`` (key, node), as key, node: two members that are linked share a group, or are plain in
+    one core.
+
+    Common are a core's shingles that at least half of COMMON_OF of its members have; which these are only says how much is left to
+    do. Of two linked members with sizes a and b, and at most c common shingles in either, 100 * shared >= percent * union asks for
+    more than c shared ones if c * (100 + percent) < percent * (a + b): then they share another shingle, and one that at most LEAF
+    members have makes a small group. Others make cores of their own, parted in the same way. Plain is a member whose common
+    shingles alone may do for the core's smallest set.
+    """
+
+    def shingled(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                sets = [shingles(t, words).view(np.int64) for t in part.column("text").to_pylist()]
+                yield _set_batch(part.column("key"), sets)
+
+    def rarer(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part, sets, sizes = batch.slice(i, 200), [], []
+                for text, common in zip(part.column("text").to_pylist(), part.column("common")):
+                    own = shingles(text, words).view(np.int64)
+                    sizes.append(len(own))
+                    common = np.array(common.values if common.is_valid else [], np.int64)
+                    sets.append(own[~np.isin(own, common)])
+                out = _set_batch(part.column("key"), sets)
+                yield pa.RecordBatch.from_arrays([*out.columns, part.column("node"), pa.array(sizes, pa.int64())], ["key", "shingles", "node", "n"])
+
+    small, plain, used = [], [], []
+    while True:
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+        some = cores.withColumn("nth", nth).filter(F.col("nth") <= COMMON_OF).join(texts, "node").select("key", "text")
+        counts = some.mapInArrow(shingled, "key long, shingles array<long>").select("key", F.explode("shingles").alias("shingle")).groupBy("key", "shingle").agg(F.count(F.lit(1)).alias("having"))
+        sizes = cores.groupBy("key").agg(F.least(F.count(F.lit(1)), F.lit(COMMON_OF)).alias("of"))
+        common = counts.join(sizes, "key").filter("having * 2 >= of").groupBy("key").agg(F.collect_list("shingle").alias("common"))  # of two average sets at most
+        rest = cores.join(texts, "node").join(common, "key", "left").select("key", "node", "text", "common")
+        rows = written(rest.mapInArrow(rarer, "key long, shingles array<long>, node long, n long").withColumn("c", F.col("n") - F.size("shingles")), "rarer-shingles")
+        least = rows.groupBy("key").agg(F.min("n").alias("least"))
+        plain.append(written(rows.join(least, "key").filter(F.col("c") * (100 + percent) >= percent * (F.col("n") + F.col("least"))).select("key", "node"), "plain"))
+        apart = rows.select("key", "node", F.explode("shingles").alias("shingle")).select(F.xxhash64("key", "shingle").alias("key"), "node")
+        having = apart.groupBy("key").agg(F.count(F.lit(1)).alias("having"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).filter("having > 1")
+        having = written(having, "having")
+        small.append(written(apart.join(having.filter(F.col("having") <= LEAF), "key").select("key", "node"), "rare"))
+        large = having.filter(F.col("having") > LEAF).groupBy("having", "sum").agg(F.min("key").alias("key"))  # shingles that the same members have are one
+        cores = written(apart.join(large.select("key"), "key", "left_semi"), "inner-cores")
+        erase(rows, having)
+        used.append(cores)
+        if cores.isEmpty():
+            erase(*used)
+            return _union(small), _union(plain)
+
+
+def _set_batch(keys: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets), pa.int64()))], ["key", "shingles"])
+
+
+def _close_pairs(rows: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs (a, b) of each key's members (key, node, bits, comp) of different components, with signatures as near as ``cutoff``."""
+    least = math.ceil(cutoff * TOKENS)
+
+    def pairs(batches):
+        for _, own in _each_key(batches, ("node", "bits", "comp")):
+            m, comps, nodes = _matrix(own["bits"]), np.array(own["comp"]), own["node"]
+            for i in range(len(nodes) - 1):
+                near = (_equal(m[i + 1 :], m[i]) >= least) & (comps[i + 1 :] != comps[i])
+                yield from ((nodes[i], nodes[i + 1 + k]) for k in np.flatnonzero(near).tolist())
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: _pair_batches(pairs(b)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
