@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.graph import QUESTION
+from strandline.settings import Settings
+
+DEFAULTS = Settings()
 
 # Weights of the signals in a candidate's score, tokens of a unit, and the loss that forbids a cut.
 WEIGHTS = {"structural_strength": 1.2, "semantic_shift": 1.0, "speaker_change": 1.0, "temporal_gap": 1.0, "pause_strength": 1.0, "visual_change": 0.9, "scene_change": 0.9, "ocr_change": 0.8, "graph_separation": 0.8, "multimodal_consensus": 1.1}
@@ -72,10 +75,16 @@ def _losses(places: DataFrame, edges: DataFrame, region: list[str]) -> DataFrame
     return deltas.withColumn("loss", F.round(F.sum("d").over(run), 6)).drop("d")
 
 
-def score(tokens_before: Column, loss: Column, target: int = TARGET_TOKENS) -> Column:
-    weighted = sum((w * F.col(k) for k, w in WEIGHTS.items()), F.lit(0.0))
+def weights(own: Settings) -> dict[str, float]:
+    """The signals' weights by the settings; by default WEIGHTS."""
+    time, seen = own.weight_temporal, own.weight_visual
+    return {"structural_strength": own.weight_structure, "semantic_shift": own.weight_semantic, "speaker_change": time, "temporal_gap": time, "pause_strength": time, "visual_change": seen, "scene_change": seen, "ocr_change": own.weight_ocr, "graph_separation": own.weight_graph, "multimodal_consensus": own.weight_consensus}
+
+
+def score(tokens_before: Column, loss: Column, target: int = TARGET_TOKENS, own: Settings = DEFAULTS) -> Column:
+    weighted = sum((w * F.col(k) for k, w in weights(own).items()), F.lit(0.0))
     deviation = F.abs(tokens_before - target) / max(1, target)
-    return weighted - LOSS_WEIGHT * loss - DEVIATION_WEIGHT * deviation - F.when(F.col("list_continuation") > 0, LIST_PENALTY).otherwise(0.0)
+    return weighted - own.weight_relationship_loss * loss - own.weight_fragmentation * deviation - F.when(F.col("list_continuation") > 0, LIST_PENALTY).otherwise(0.0)
 
 
 def choose_cut(scored: DataFrame, region: list[str], target: int = TARGET_TOKENS) -> DataFrame:
@@ -84,7 +93,7 @@ def choose_cut(scored: DataFrame, region: list[str], target: int = TARGET_TOKENS
     return rows.groupBy("doc_id", *region).agg(F.max_by(F.struct("pos", "score"), F.struct("score", -F.col("pos"))).alias("c")).select("doc_id", *region, "c.pos", "c.score")
 
 
-def cut_regions(elements: DataFrame, edges: DataFrame, region: list[str], target: int = TARGET_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
+def cut_regions(elements: DataFrame, edges: DataFrame, region: list[str], target: int = TARGET_TOKENS, most: int = MAX_TOKENS, settings: Settings = DEFAULTS) -> DataFrame:
     """``elements`` with ``part`` and ``overflow``: a region of over ``most`` tokens is cut at its best place, what is left
     of the cut stays as it is, what is right is cut again while it is too large; without a legal cut it overflows.
 
@@ -95,7 +104,8 @@ def cut_regions(elements: DataFrame, edges: DataFrame, region: list[str], target
     large = sizes.filter(F.col("size") > most).select("doc_id", *region)
     own = elements.join(large, ["doc_id", *region], "left_semi")
     found = candidates(own, edges, region)
-    base = score(F.lit(0), F.lit(0.0), target) + DEVIATION_WEIGHT * abs(0 - target) / max(1, target)
+    loss_weight, deviation_weight = settings.weight_relationship_loss, settings.weight_fragmentation
+    base = score(F.lit(0), F.lit(0.0), target, settings) + deviation_weight * abs(0 - target) / max(1, target)
     slim = own.select("doc_id", *region, "pos", "n_tokens").join(found.select("doc_id", *region, "pos", "vetoed", base.alias("base")), ["doc_id", *region, "pos"], "left")
     lo, hi = own.select("doc_id", *region, F.col("pos").alias("lo")), own.select("doc_id", *region, F.col("pos").alias("hi"))
     real = edges.filter("type != 'next' and src != dst").select("doc_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "importance")
@@ -117,7 +127,7 @@ def cut_regions(elements: DataFrame, edges: DataFrame, region: list[str], target
                 for k in range(start, n):
                     if k > start:
                         loss += change[k]
-                        value = base[k] - LOSS_WEIGHT * loss - DEVIATION_WEIGHT * abs(before - target) / max(1, target)
+                        value = base[k] - loss_weight * loss - deviation_weight * abs(before - target) / max(1, target)
                         if not veto[k] and round(loss, 6) < MAX_LOSS and (best is None or value > best[0] + 1e-12):
                             best = value, k
                     before += tokens[k]

@@ -61,3 +61,23 @@ def test_no_element_is_lost(spark, small):
     elements = catalogue._hosts(spark, small)
     members = driver.chunk(elements, clean=False).select("doc_id", F.explode("members").alias("pos"))
     assert members.count() == elements.count() == members.distinct().count()
+
+
+def test_settings_act(spark):
+    rows = [element("f", k, "paragraph", "Words of a paragraph that stand here for a while now. " * 10) for k in range(8)]
+    whole = units(spark, rows, clean=False)["f"]
+    try:
+        spark.conf.set("strandline.max_chunk_tokens", "250")
+        spark.conf.set("strandline.target_chunk_tokens", "200")
+        small = units(spark, rows, clean=False)["f"]
+    finally:
+        spark.conf.unset("strandline.max_chunk_tokens")
+        spark.conf.unset("strandline.target_chunk_tokens")
+    assert len(small) > len(whole) and max(u.n_tokens for u in small) <= 250 < max(u.n_tokens for u in whole)
+
+
+def test_cards_show_types_and_values(spark):
+    grid = [["id", "kind", "price", "note"], *[[f"k{k}", "red" if k % 2 else "blue", f"{k}.50", "" if k else "only"] for k in range(40)]]
+    rows = [element("x", 0, "table", "| h |" + " cell" * 900, grid=grid, header_row=grid[0])]
+    card = units(spark, rows, clean=False)["x"][0].content
+    assert card == "Dataset: x\n40 rows × 4 columns\n\nColumns:\n  - id (identifier): 40 unique values, e.g. 'k0'\n  - kind (categorical): blue, red\n  - price (decimal): 0.50 … 39.50, mean 20.00\n  - note (categorical, 39 empty): only"
