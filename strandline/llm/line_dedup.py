@@ -8,6 +8,10 @@ one. These are joined; candidates whose letter counts differ by more than the ed
 are found, the others are verified by a banded bit-parallel edit distance in code points: for each number of edits a word of
 bits holds which of the diagonals around the main one are reached.
 
+A segment that more than SHARED different lines have (a template's) would join all of them pair by pair. Such lines meet by it only
+together with what else they must share: characters are dealt into groups; an edit touches two groups at most, so
+of two groups more than all edits can touch, two have left the same sequence of characters in both lines. No pair is lost.
+
 Shorter lines than the edits are meant for can take part by exact comparison only: they are grouped like all others, and
 left out of the segments.
 
@@ -17,12 +21,18 @@ broadcast, so that no task gets all occurrences of a frequent line.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.shared import erase, free_names, shuffle_partitions, written
 
 MAX_EDITS, MIN_CHARS, HOT_SHARE = 2, 20, 4
+#: Lines of the index that may meet by one segment; more are parted by the characters of their lines.
+SHARED = 128
+#: Groups of characters that lines with such a segment must share.
+ALIKE = 3
 #: Candidates whose counts of these are too far apart are no candidates.
 LETTERS = " aeioundrstlhcm"
 LINE = ["h1", "h2"]
@@ -83,6 +93,45 @@ def _keys(lines: DataFrame, lookups: list[tuple[int, int, int]], max_edits: int,
     return rows.select(*kept, F.xxhash64(F.col("n") - F.col("at.less"), F.col("at.i"), text).alias("key"))
 
 
+def _candidates(named: DataFrame, max_edits: int, shared: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs a, b (hashes of lines, the lesser first) that can be within ``max_edits``, some more than once, and the written tables
+    that they are read from."""
+    segments, lookups = [(0, i, 0) for i in range(1, max_edits + 2)], _lookups(max_edits)
+    index, probe = _keys(named, segments, max_edits, a="h1", ca="counts"), _keys(named, lookups, max_edits, b="h1", cb="counts")
+    alike = (F.col("a") != F.col("b")) & (_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits)
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    hot = written(index.groupBy("key").count().filter(F.col("count") > shared).select("key"), "hot-segments")
+    if hot.isEmpty():
+        return index.join(probe.hint("merge"), "key").filter(alike).select(*pair), [hot]
+    cold = index.join(hot, "key", "left_anti").join(probe.join(hot, "key", "left_anti").hint("merge"), "key").filter(alike)
+
+    ids = index.join(hot, "key", "left_semi").select(F.col("a").alias("h1")).union(probe.join(hot, "key", "left_semi").select("b")).distinct()
+    parted = written(named.join(ids, "h1", "left_semi").withColumn("groups", _groups(2 * max_edits + ALIKE)), "parted-lines")
+    index = _keys(parted, segments, max_edits, a="h1", ca="counts", ga="groups").join(hot, "key", "left_semi")
+    probe = _keys(parted, lookups, max_edits, b="h1", cb="counts", gb="groups").join(hot, "key", "left_semi")
+    index, probe = _by_groups(index, "ga", max_edits), _by_groups(probe, "gb", max_edits).drop("last")
+    # a pair meets by the first groups that it shares, not by all
+    same = F.size(F.filter(F.zip_with("ga", "gb", lambda x, y: x == y), lambda x, k: x & (k < F.col("last"))))
+    met = index.join(probe.hint("merge"), "key").filter(alike & (same == ALIKE - 1))
+    return cold.select(*pair).union(met.select(*pair)), [hot, parted]
+
+
+def _groups(n: int) -> Column:
+    """For each of ``n`` groups of characters the hash of those in the line, in their order. Code points are dealt in turn, so that
+    letters as well as digits are spread evenly."""
+    chars = F.transform(F.split("line", ""), lambda c: F.struct(c.alias("c"), F.pmod(F.ascii(c), F.lit(n)).alias("g")))
+    of = lambda dealt, g: F.xxhash64(F.array_join(F.transform(F.filter(dealt, lambda x: x["g"] == g), lambda x: x["c"]), ""))
+    return F.flatten(F.transform(F.array(chars), lambda dealt: F.array(*[of(dealt, g) for g in range(n)])))
+
+
+def _by_groups(rows: DataFrame, groups: str, max_edits: int) -> DataFrame:
+    """``rows`` once for each ALIKE groups (the last of them in column last), which go into the key."""
+    choices = [F.array(*map(F.lit, c)) for c in combinations(range(2 * max_edits + ALIKE), ALIKE)]
+    each = F.explode(F.array(*choices)).alias("some")
+    rows = rows.select("*", each).withColumn("last", F.get("some", F.lit(ALIKE - 1)))
+    return rows.withColumn("key", F.xxhash64("key", "some", *[F.get(groups, F.get("some", F.lit(k))) for k in range(ALIKE)])).drop("some")
+
+
 def within(a: str, b: str, max_edits: int) -> Column:
     """Whether the lines in columns ``a`` and ``b``, of lengths that differ by ``max_edits`` or less, are within so many edits.
 
@@ -132,7 +181,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_short: bool = False) -> DataFrame:
+def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_short: bool = False, shared: int = SHARED) -> DataFrame:
     """For each distinct line: h1, h2, count, first (its first occurrence's place), later (a line within ``max_edits``
     edits has its first occurrence before this one's), links (such lines before or after). Lines of less than ``min_chars``
     characters, there with ``exact_short``, have no links."""
@@ -153,15 +202,14 @@ def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     named = lines.join(ends.hint("merge"), "h1", "left_semi").select("h1", "line", "n", "at", _counts().alias("counts"))
     named = written(named, "candidate-lines")
 
-    index, probe = _keys(named, segments, max_edits, a="h1", ca="counts"), _keys(named, lookups, max_edits, b="h1", cb="counts")
-    alike = (F.col("a") != F.col("b")) & (_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits)
-    pairs = index.join(probe.hint("merge"), "key").filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs, tables = _candidates(named, max_edits, shared)
+    pairs = pairs.distinct()
     left = pairs.join(named.select(F.col("h1").alias("a"), F.col("line").alias("la"), F.col("at").alias("pa")), "a")
     both = left.join(named.select(F.col("h1").alias("b"), F.col("line").alias("lb"), F.col("at").alias("pb")), "b")
     linked = both.filter(within("la", "lb", max_edits))
     linked = linked.select(F.explode(F.array(F.struct(F.col("pa").alias("own"), (F.col("pb") < F.col("pa")).alias("later")), F.struct(F.col("pb").alias("own"), (F.col("pa") < F.col("pb")).alias("later")))).alias("e"))
     linked = written(linked.groupBy(F.col("e.own.h1").alias("h1"), F.col("e.own.h2").alias("h2")).agg(F.bool_or("e.later").alias("later"), F.count(F.lit(1)).alias("links")), "linked")
-    erase(probing, named)
+    erase(probing, named, *tables)
     return lines.select(*LINE, "first", "count").join(linked, LINE, "left").select(*LINE, "first", "count", F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

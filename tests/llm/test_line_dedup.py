@@ -5,7 +5,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from strandline.llm import queries
-from strandline.llm.line_dedup import drop_repeated_lines, repeated_lines, within
+from strandline.llm import line_dedup
+from strandline.llm.line_dedup import drop_repeated_lines, line_decisions, repeated_lines, within
 
 
 def distance(a, b):
@@ -140,3 +141,37 @@ def test_clashing_names(spark):
         out = drop_repeated_lines(docs)
         assert out.columns == df.columns and all(r[c] == c for r in out.collect() for c in names)
         assert sorted(r.text for r in out.collect()) == ["a line of some length here", "own line of this document"]
+
+
+def links_of(df, **options):
+    """How many others each line is within the edits of, by its hash."""
+    return {r.h1: r.links for r in line_decisions(df, **options).collect()}
+
+
+@pytest.mark.parametrize(("edits", "shared"), [(1, 1), (2, 1), (3, 4)])
+def test_hot_segments_lose_no_pair(spark, edits, shared):
+    draw, lines = random.Random(shared * 10 + edits), set()
+    frames = ["the same frame of words around {} and what comes after it", "{} é before a frame that they share", "aaaaaaaaaaaaaaaaaaaaaaaa{}aaaaaaaaaaaa", "ends with a number: {}"]
+    for _ in range(100):
+        line = draw.choice(frames).format("".join(draw.choices("ab7", k=draw.randint(1, 8))))
+        lines.add(line)
+        cut = list(line)
+        for _ in range(draw.randint(0, edits + 1)):
+            at = draw.randrange(len(cut) + 1)
+            cut[at : at + draw.randint(0, 1)] = draw.choice(["", "z", "a"])
+        lines.add("".join(cut))
+    lines = sorted(line for line in lines if len(line) >= 12)
+    df = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "doc_id long, text string")
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = {hashes[x]: sum(x != y and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for y in lines) for x in lines}
+    assert links_of(df, max_edits=edits, min_chars=12, shared=shared) == want
+
+
+def test_template_lines_do_not_meet_pair_by_pair(spark):
+    def met(n):
+        draw = random.Random(n)
+        rows = [(k, f"this text stands in every line of the template, {''.join(draw.choices('abcdefghijklmnopqrstuvwxyz', k=24))} is all it has of its own") for k in range(n)]
+        named = spark.createDataFrame(rows, "h1 long, line string").select("h1", "line", F.length("line").alias("n"), F.lit(0).cast("long").alias("counts"))
+        return line_dedup._candidates(named, 2, line_dedup.SHARED)[0].count()
+
+    assert met(1000) < 100 and met(2000) < 200  # 499,500 and 1,999,000 pairs share a segment
