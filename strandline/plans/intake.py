@@ -10,6 +10,7 @@ from strandline.operators import usage
 from strandline.plans import catalogue
 from strandline.sources import elements as sources
 from strandline.sources import files, office
+from strandline.sources.elements import page_blocks
 from strandline.stored import stored
 
 ROWS_A_BOOK = 500
@@ -44,9 +45,7 @@ DAMAGE = ("cut", "other", "empty")
 def _page_files(spark, d):
     """Pages as word-processor files; some of them damaged in three ways."""
     found = spark.read.parquet(f"{d}/pages.parquet")
-    article = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
-    parts = F.regexp_extract_all(article, F.lit("(?s)<(?:h1|p)>.*?(?:</h1>|</p>|<br>)"), F.lit(0))
-    rows = found.select("page_id", F.transform(parts, lambda p: F.struct(F.when(p.startswith("<h1>"), "heading").otherwise("paragraph").alias("kind"), F.trim(F.regexp_replace(p, "<[^>]*>", "")).alias("text"))).alias("parts"))
+    rows = found.select("page_id", page_blocks("html").alias("parts"))
     damage = F.when(F.col("page_id") % 7 == 3, "cut").when(F.col("page_id") % 11 == 5, "other").when(F.col("page_id") % 13 == 4, "empty")
     rows = rows.withColumn("damage", F.coalesce(damage, F.lit("")))
 

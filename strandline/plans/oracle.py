@@ -15,12 +15,15 @@ LINES = f"""raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM doc
 l AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS pos FROM raw),
 el AS (SELECT doc_id, pos, 'paragraph' AS kind, text, {n_tokens('text')} AS n FROM l)"""
 
-HOSTS = f"""raw AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS doc_id, page_id,
-  regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<(?:h1|p)>.*?(?:</h1>|</p>|<br>)') AS parts FROM pages),
+BLOCK = "address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+HOSTS = rf"""seen AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS doc_id, page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(2), ' '),
+  '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<head\b.*?</head\s*>', ' ', 'g') AS html FROM pages),
+raw AS (SELECT doc_id, page_id, string_split(chr(2) || 'P' || regexp_replace(regexp_replace(regexp_replace(html, '(?i)<h[1-6](?:\s[^>]*)?/?>', chr(2) || 'H', 'g'),
+  '(?i)<li(?:\s[^>]*)?/?>', chr(2) || 'L', 'g'), '(?i)</?(?:{BLOCK})(?:\s[^>]*)?/?>', chr(2) || 'P', 'g'), chr(2)) AS parts FROM seen),
 c AS (SELECT doc_id, page_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS part FROM raw),
-t AS (SELECT *, trim(regexp_replace(raw, '<[^>]*>', '', 'g')) AS text FROM c),
+t AS (SELECT *, trim(regexp_replace(substr(raw, 2), '<[^>]*>', '', 'g'), ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS text FROM c),
 el0 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_id, part) - 1 AS pos,
-  CASE WHEN starts_with(raw, '<h1>') THEN 'heading' ELSE 'paragraph' END AS kind, text, {n_tokens('text')} AS n FROM t WHERE text <> ''),
+  CASE raw[1] WHEN 'H' THEN 'heading' WHEN 'L' THEN 'list_item' ELSE 'paragraph' END AS kind, text, {n_tokens('text')} AS n FROM t WHERE text <> ''),
 el AS (SELECT *, (sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS section FROM el0),
 units AS (SELECT doc_id, section AS unit_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS content, sum(n)::BIGINT AS n_tokens,
   CASE WHEN arg_min(kind, pos) = 'heading' THEN 'section' ELSE 'narrative' END AS unit_type FROM el GROUP BY ALL)"""
@@ -164,7 +167,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_documents": f"WITH {_cleaning()} SELECT doc_id, md5(u) AS digest, ({' + '.join(f'n{k}' for k in range(n + 1))})::BIGINT AS n_fixes FROM z",
         "cleaning_report": f"WITH {_cleaning()} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, sum({' + '.join(c)})::BIGINT AS fixes FROM z" for r, c in rules.items()) + ") WHERE fixes > 0",
         "doc_profile": f"WITH {LINES} SELECT doc_id, count(*) AS element_count, count(*) AS text_count, 0::BIGINT AS heading_count, sum(n)::BIGINT AS total_tokens, sum(n)::BIGINT AS prose_tokens, false AS is_tabular, 0.0::DOUBLE AS heading_density FROM el GROUP BY doc_id",
-        "route_documents": f"""WITH {HOSTS}, p AS (SELECT doc_id, count(*) AS element_count, count(*) FILTER (kind = 'paragraph') AS text_count, count(*) FILTER (kind = 'heading') AS heading_count, sum(n)::BIGINT AS total_tokens FROM el GROUP BY doc_id),
+        "route_documents": f"""WITH {HOSTS}, p AS (SELECT doc_id, count(*) AS element_count, count(*) FILTER (kind IN ('paragraph', 'list_item')) AS text_count, count(*) FILTER (kind = 'heading') AS heading_count, sum(n)::BIGINT AS total_tokens FROM el GROUP BY doc_id),
             q AS (SELECT *, round(heading_count / greatest(1, text_count), 4) AS heading_density FROM p) SELECT *, CASE WHEN heading_count >= 3 AND heading_density >= 0.03 THEN 'structural' ELSE 'paragraph_fallback' END AS route FROM q""",
         "anaphora_rate": f"WITH {SENTENCES} SELECT doc_id, n AS sentences, round(coalesce(hits / nullif(n, 0), 0), 6) AS rate FROM r",
         "escalation_flags": f"""WITH {SENTENCES} SELECT doc_id, ((coalesce(hits / nullif(n, 0), 0) > 0.10)::BIGINT + (doc_id % 2 <> 0)::BIGINT + (doc_id % 3 = 0)::BIGINT) AS n_flags,
@@ -174,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "section_ids": f"WITH {HOSTS} SELECT doc_id, section, count(*) AS elements, sum(n)::BIGINT AS n_tokens, min(pos) AS first_pos FROM el GROUP BY ALL",
         "heading_path": f"""WITH {HOSTS} SELECT doc_id, pos, CASE WHEN kind = 'heading' OR section = 0 THEN '' ELSE first_value(text) OVER s END AS path,
             CASE WHEN kind = 'heading' OR section = 0 THEN NULL ELSE first_value(pos) OVER s END AS parent_pos FROM el WINDOW s AS (PARTITION BY doc_id, section ORDER BY pos)""",
-        "surrounding_text": f"""WITH {HOSTS}, x AS (SELECT *, CASE WHEN kind = 'paragraph' AND length(text) > 40 THEN substring(text, 1, 320) END AS said FROM el)
+        "surrounding_text": f"""WITH {HOSTS}, x AS (SELECT *, CASE WHEN kind IN ('paragraph', 'list_item') AND length(text) > 40 THEN substring(text, 1, 320) END AS said FROM el)
             SELECT doc_id, pos, coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS leading,
             coalesce(first_value(said IGNORE NULLS) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS trailing FROM x""",
         "reading_order_edges": f"WITH {LINES} SELECT a.doc_id, a.pos AS src, b.pos AS dst, 'next' AS type, 1.0::DOUBLE AS confidence FROM el a JOIN el b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1",

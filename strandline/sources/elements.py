@@ -31,16 +31,32 @@ def from_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "pos", F.lit("paragraph").alias("kind"), "text", count_tokens(F.col("text")).alias("n_tokens"))
 
 
+#: What isn't shown of a page, and the tags that part its blocks; headings and list items are known by theirs.
+UNSEEN = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>"]
+BLOCKS = "address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+MARK = "\x02"
+
+
+def page_blocks(html: str):
+    """All blocks of a whole page with text, as an array of (kind, text): headings, list items, and whatever else stands between two tags of
+    BLOCKS as paragraphs. Tags may have attributes and need no end."""
+    seen = F.replace(html, F.lit(MARK), F.lit(" "))
+    for pattern in UNSEEN:
+        seen = F.regexp_replace(seen, pattern, " ")
+    for tag, kind in (("<h[1-6]", "H"), ("<li", "L"), (f"</?(?:{BLOCKS})", "P")):
+        seen = F.regexp_replace(seen, rf"(?i){tag}(?:\s[^>]*)?/?>", MARK + kind)
+    kind = lambda x: F.when(x.startswith("H"), "heading").when(x.startswith("L"), "list_item").otherwise("paragraph")
+    text = lambda x: F.trim(F.regexp_replace(F.substring(x, 2, 2**31 - 1), "<[^>]*>", ""), F.lit(" \t\n\f\r"))
+    parts = F.split(F.concat(F.lit(MARK + "P"), seen), MARK, -1)
+    return F.filter(F.transform(parts, lambda x: F.struct(kind(x).alias("kind"), text(x).alias("text"))), lambda x: x["text"] != "")
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
-    """Headings and paragraphs of the pages' articles, the pages of a host as one document in page order."""
+    """The blocks of whole pages, the pages of a host as one document in page order. A null page has none."""
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
-    article = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
-    parts = F.regexp_extract_all(article, F.lit("(?s)<(?:h1|p)>.*?(?:</h1>|</p>|<br>)"), F.lit(0))
-    rows = pages.select(host.alias("doc_id"), "page_id", F.posexplode(parts).alias("part", "raw"))
-    rows = rows.withColumn("text", F.trim(F.regexp_replace("raw", "<[^>]*>", ""))).filter("text != ''")
+    rows = pages.select(host.alias("doc_id"), "page_id", F.posexplode(page_blocks("html")).alias("part", "e"))
     order = Window.partitionBy("doc_id").orderBy("page_id", "part")
-    kind = F.when(F.col("raw").startswith("<h1>"), "heading").otherwise("paragraph")
-    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), kind.alias("kind"), "text", count_tokens(F.col("text")).alias("n_tokens"))
+    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "e.kind", "e.text", count_tokens(F.col("e.text")).alias("n_tokens"))
 
 
 def from_conversations(turns: DataFrame, chars_a_second: int = 15) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from strandline.sources import elements as sources
 from strandline.sources.elements import read_contract, read_contract_units
 from strandline.streaming.transcripts import SEGMENT, live_turns, read_segments, write_turns
 
@@ -41,3 +42,16 @@ def test_live_turns(spark, tmp_path):
         spark.createDataFrame([("z", "C", at(20_000), "later")], SEGMENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     got = {(r.doc_id, r.speaker, r.content) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert {("d", "A", "one two"), ("d", "A", "three"), ("d", "B", "b")} <= got
+
+
+def test_pages_give_all_their_blocks(spark):
+    html = """<html><HEAD><title>not shown</title><script>var t="<p>no</p>";</script></HEAD><body class=x><header>menu</header><!-- <p>no</p> -->
+<article><h1 id="a">Title <b>bold</b></h1><p class="lead">First<br>second<p>third</p><h2>Below</h2><ul><li class="i">one<li>two</ul>
+<table><tr><td>cell</td><th>head</th></tr></table>after</article><script async>let u = 1</script><footer>end</footer></body></html>"""
+    rows = [(1, "https://a.example/x", html), (2, "https://a.example/y", None), (3, "https://a.example/z", ""), (4, "https://b.example/", "no tags \x02 at all")]
+    got = sources.from_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("doc_id", "pos").collect()
+    assert [(r.kind, r.text.strip()) for r in got if r.doc_id == "a.example"] == [
+        ("paragraph", "menu"), ("heading", "Title bold"), ("paragraph", "First"), ("paragraph", "second"), ("paragraph", "third"), ("heading", "Below"),
+        ("list_item", "one"), ("list_item", "two"), ("paragraph", "cell"), ("paragraph", "head"), ("paragraph", "after"), ("paragraph", "end"),
+    ]
+    assert [r.text for r in got if r.doc_id == "b.example"] == ["no tags   at all"] and [r.pos for r in got if r.doc_id == "a.example"] == list(range(12))
