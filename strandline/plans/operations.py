@@ -20,8 +20,9 @@ def vector_store_units(spark, d):
     third, fifth = F.col("unit_id") % 3 == 0, F.col("unit_id") % 5 == 1
     changed = units.filter(third).withColumn("content", F.concat("content", F.lit(" again")))
     new = units.filter("unit_id % 7 = 2").withColumn("unit_id", F.col("unit_id") + 1000)
-    every = changed.withColumn("gone", F.lit(False)).unionByName(units.filter(fifth & ~third).withColumn("gone", F.lit(True))).unionByName(new.withColumn("gone", F.lit(False)))
-    second = chunking.vector_rows(every).join(every.select(F.xxhash64("doc_id", "unit_id").alias("key"), "gone"), "key")
+    second = chunking.vector_rows(changed).withColumn("gone", F.lit(False)).unionByName(chunking.vector_rows(units.filter(fifth & ~third)).withColumn("gone", F.lit(True)))
+    added = chunking.vector_rows(new, F.xxhash64("doc_id", "unit_id", F.lit("new")))  # a host of more sections has units of these numbers already
+    second = second.unionByName(added.withColumn("gone", F.lit(False)))
     for _ in range(2):
         table.merge(second, deleted=F.col("gone"), batch=("units", 1))
     payload = lambda name: F.get_json_object("payload", f"$.{name}")
