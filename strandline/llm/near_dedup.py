@@ -148,10 +148,19 @@ def _tree_nodes(nodes: DataFrame, trees: int, second: float) -> tuple[DataFrame,
             return _union(leaves), _union(cores) if level or DEPTH == 1 else None, tables
         live = live.withColumn("before", F.col("n")).drop("n")
         if level == 0:
-            live = live.join(nodes.select("node", "path"), "node").select("node", "tree", "path", "key", "before")
+            live = _of_nodes(live.select("node", "tree", "key", "before"), nodes.select("node", "path"))
     return _union(leaves), _union(cores), tables
 
 
+def _of_nodes(places: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``places`` (node, and where it is) with what ``tables`` have of each node, which meets them once, however many places it has."""
+    rows = places.groupBy("node").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "node"])).alias("places"))
+    for table in tables:
+        rows = rows.join(table, "node")
+    own = [c for c in rows.columns if c != "places"]
+    return rows.select(*own, F.explode("places").alias("place")).select(*own, "place.*")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -358,7 +367,7 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         block = F.pmod(F.xxhash64("node"), count).cast("int")
         dealt = cores.select("key", "node", pivot.alias("pivot"), F.explode(F.when(pivot, F.sequence(F.lit(-1), count - 1)).otherwise(F.array(block))).alias("block"))
         whole = whole.union(dealt.select(F.xxhash64("key", "block"), "node", F.col("pivot") & (F.col("block") >= 0)))
-    first = written(_forest_pairs(whole.join(plain_bits, "node"), cutoff).distinct(), "forest")
+    first = written(_forest_pairs(_of_nodes(whole, plain_bits), cutoff).distinct(), "forest")
     needed = first.select(F.explode(F.array("a", "b")).alias("node"))
     needed = written((needed.union(cores.select("node")) if cores is not None else needed).distinct(), "needed")
     of = nodes.select("node", "low.doc_id", "low.h").join(needed, "node", "left_semi")
@@ -372,19 +381,19 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     known = written(needed.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "known")
     inside, close, parts = None, None, [known]
     if cores is not None:
-        inside = written(cores.select("key", "node").join(known, "node"), "cores")
+        inside = written(_of_nodes(cores.select("key", "node"), known).select("key", "node", "comp"), "cores")
         parts.append(inside)
         many = written(_mains(inside).filter(F.col("odds") > LEAF).select("key"), "open-cores")  # others are compared with their few odd ones
         parts.append(many)
         if not many.isEmpty():
-            small, plain = _by_rare_shingles(written(_merged(inside.join(many, "key", "left_semi")), "merged-cores"), texts, words, percent)
+            opened = written(inside.join(many, "key", "left_semi").select("key", "node"), "opened")
+            small, plain = _by_rare_shingles(written(_merged(opened), "merged-cores"), texts, words, percent)
             inside = inside.join(many, "key", "left_anti").select("key", "node", "comp").union(plain.join(known, "node").select("key", "node", "comp"))
-            groups = small.join(known, "node")
-            mixed = groups.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
-            near = _close_pairs(groups.join(mixed, "key", "left_semi").join(plain_bits, "node").select("key", "node", "bits", "comp"), cutoff)
+            groups = _mixed(_of_nodes(small, known)).select("key", "node", "comp")
+            near = _close_pairs(_of_nodes(groups, plain_bits).select("key", "node", "bits", "comp"), cutoff)
             close = written(_confirm(written(near.distinct(), "close"), texts, words, percent), "close-links")
-    rest = _open_groups(leaves, inside, known).join(plain_bits, "node").join(texts, "node")
-    rest = written(_open_links(rest, cutoff, words, percent), "rest")
+            erase(opened)
+    rest = written(_open_links(_open_groups(leaves, inside, known, plain_bits, texts), cutoff, words, percent), "rest")
     if close is not None:
         rest = rest.union(close)
     if not rest.isEmpty():
@@ -396,24 +405,33 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     return rows, named
 
 
-def _open_groups(leaves: DataFrame, inside: DataFrame | None, known: DataFrame) -> DataFrame:
-    """The members of leaves with several components, and those of cores (``inside``: key, node, comp) by blocks, for ``_open_links``."""
-    every = leaves.select("key", "node").join(known, "node")  # of a leaf, those with a candidate are in the forest
-    mixed = every.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
-    rows = every.join(mixed, "key", "left_semi").select("key", "node", "comp", F.col("key").alias("group"), F.lit(0).alias("side"), F.lit(False).alias("odd"))
-    groups = every.select("node", "key")
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The ``rows`` (key, comp and others) of keys with several components; a key has LEAF rows at most."""
+    of = Window.partitionBy("key")
+    return rows.withColumns({"x": F.min("comp").over(of), "y": F.max("comp").over(of)}).filter("x != y").drop("x", "y")
+
+
+def _open_groups(leaves: DataFrame, inside: DataFrame | None, known: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members of leaves with several components, and those of cores (``inside``: key, node, comp) by blocks, for ``_open_links``.
+    Bits and texts are joined once a member, before it is dealt to blocks."""
+    none = F.lit(0)
+    every = _mixed(_of_nodes(leaves.select("key", "node"), known))  # of a leaf, those with a candidate are in the forest
+    rows = every.select("key", "node", "comp", F.lit(False).alias("odd"), none.alias("blocks"), none.alias("odds"))
     if inside is not None:
-        inside = inside.join(_mains(inside), "key").withColumn("odd", F.col("comp") != F.col("main"))
-        groups = groups.union(inside.select("node", "key"))
         half = LEAF // 2
-        blocks, odds = F.ceil(F.col("size") / half).cast("int"), F.ceil(F.col("odds") / half).cast("int")
-        upto = lambda n: F.sequence(F.lit(0), n - 1)
-        block, odd_block = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), odds).cast("int")
-        members = inside.select("key", "node", "comp", "odd", block.alias("block"), F.explode(upto(odds)).alias("against"), F.lit(1).alias("side"))
-        others = inside.filter("odd").select("key", "node", "comp", "odd", F.explode(upto(blocks)).alias("block"), odd_block.alias("against"), F.lit(2).alias("side"))
-        both = members.unionByName(others)
-        rows = rows.union(both.select(F.xxhash64("key", "block", "against"), "node", "comp", F.col("key").alias("group"), "side", "odd"))
-    return rows.join(groups.groupBy("node").agg(F.collect_set("key").alias("groups")), "node")
+        parts = lambda n: F.ceil(F.col(n) / half).cast("int").alias(n if n == "odds" else "blocks")
+        rows = rows.union(inside.join(_mains(inside), "key").select("key", "node", "comp", (F.col("comp") != F.col("main")).alias("odd"), parts("size"), parts("odds")))
+    own = rows.groupBy("node", "comp").agg(F.collect_list(F.struct("key", "odd", "blocks", "odds")).alias("places"))
+    own = own.join(bits, "node").join(texts, "node").select("node", "comp", "bits", "text", F.col("places.key").alias("groups"), F.explode("places").alias("at"))
+    own = own.select("node", "comp", "bits", "text", "groups", F.col("at.key").alias("group"), "at.odd", "at.blocks", "at.odds")
+    place = lambda block, against, side: F.struct(F.xxhash64("group", block, against).alias("key"), F.lit(side).alias("side"))
+    one = lambda n, *salt: F.pmod(F.xxhash64("node", *salt), F.greatest(n, F.lit(1))).cast("int")
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), f)
+    member = upto("odds", lambda k: place(one("blocks"), k, 1))
+    other = upto("blocks", lambda k: place(k, one("odds", F.lit(1)), 2))
+    alone = F.array(F.struct(F.col("group").alias("key"), none.alias("side")))
+    places = F.when(F.col("odds") == 0, alone).when(F.col("odd"), F.concat(member, other)).otherwise(member)
+    return own.withColumn("place", F.explode(places)).select("place.key", "node", "comp", "bits", "text", "group", "groups", "place.side", "odd")
 
 
 def _mains(inside: DataFrame) -> DataFrame:
