@@ -145,11 +145,21 @@ def _tree_nodes(nodes: DataFrame, trees: int, second: float) -> tuple[DataFrame,
         cores.append(rows.filter(stuck).select("key", "node", "n"))
         live = rows.filter(large & ~stuck)
         if live.isEmpty():
-            return _union(leaves), _union(cores) if level or DEPTH == 1 else None, tables
+            return _once(leaves, tables), _union(cores) if level or DEPTH == 1 else None, tables
         live = live.withColumn("before", F.col("n")).drop("n")
         if level == 0:
             live = _of_nodes(live.select("node", "tree", "key", "before"), nodes.select("node", "path"))
-    return _union(leaves), _union(cores), tables
+    return _once(leaves, tables), _union(cores), tables
+
+
+def _once(groups: list[DataFrame], tables: list[DataFrame]) -> DataFrame:
+    """The union of ``groups`` (key, node, n) by way of a table that joins ``tables``: of those with the same members, which several trees
+    find, the one with the least key."""
+    every = _union(groups)
+    sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in range(2)]
+    same = every.groupBy("key", "n").agg(*sums).groupBy("n", "sum0", "sum1").agg(F.min("key").alias("key"))
+    tables.append(written(every.join(same.select("key"), "key", "left_semi"), "leaves"))
+    return tables[-1]
 
 
 def _of_nodes(places: DataFrame, *tables: DataFrame) -> DataFrame:
@@ -495,10 +505,10 @@ def _by_rare_shingles(cores: DataFrame, texts: DataFrame, words: int, percent: i
         plain.append(written(rows.join(least, "key").filter(F.col("c") * (100 + percent) >= percent * (F.col("n") + F.col("least"))).select("key", "node"), "plain"))
         apart = rows.select("key", "node", F.explode("shingles").alias("shingle")).select(F.xxhash64("key", "shingle").alias("key"), "node")
         having = apart.groupBy("key").agg(F.count(F.lit(1)).alias("having"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).filter("having > 1")
-        having = written(having, "having")
-        small.append(written(apart.join(having.filter(F.col("having") <= LEAF), "key").select("key", "node"), "rare"))
-        large = having.filter(F.col("having") > LEAF).groupBy("having", "sum").agg(F.min("key").alias("key"))  # shingles that the same members have are one
-        cores = written(apart.join(large.select("key"), "key", "left_semi"), "inner-cores")
+        having = written(having.groupBy("having", "sum").agg(F.min("key").alias("key")), "having")  # shingles that the same members have are one
+        of = lambda some: apart.join(having.filter(some).select("key"), "key", "left_semi")
+        small.append(written(of(F.col("having") <= LEAF), "rare"))
+        cores = written(of(F.col("having") > LEAF), "inner-cores")
         erase(rows, having)
         used.append(cores)
         if cores.isEmpty():
