@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from strandline.llm.lattice import PieceTable, lattices, log_backward, log_forward, log_forward_words, log_ways, long_grid
-from strandline.llm.shared import held
+from strandline.llm.shared import given_back, held
 
 #: The bound of the sample that the model is fitted on: labelled documents of a language, in expectation.
 TRAIN_DOCS = 500
@@ -105,14 +105,16 @@ def train(labelled: DataFrame, model_file: str, text_col: str = "text", lang_col
             for chunk, n in Counter(text.split()).items():
                 for w in vocab.words(chunk):
                     counts[w] += n
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "prob": [fit(counts, vocab)]} if counts else {"lang": [], "prob": []})
+        found = {"lang": [pdf["lang"].iloc[0]], "prob": [fit(counts, vocab)]} if counts else {"lang": [], "prob": []}
+        given_back()
+        return pd.DataFrame(found)
 
     found = sorted(sample.groupBy("lang").applyInPandas(fitted, "lang string, prob array<double>").collect(), key=lambda r: r.lang)
     return [r.lang for r in found], np.array([r.prob for r in found]).T
 
 
 def scorer_of(name: str, spread, model_file: str) -> Scorer:
-    """A worker's scorer of a broadcast model; what it has learned serves the worker's next tasks."""
+    """A worker's scorer of a broadcast model, which serves the worker's next tasks too."""
     return held(("scorer", name), lambda: Scorer(*spread.value, vocabulary(model_file)))
 
 
@@ -189,11 +191,15 @@ def identify_rows(docs: DataFrame, model: tuple[list[str], np.ndarray], model_fi
 
     def predicted(batches):
         scorer = scorer_of(name, spread, model_file)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                pred, score = scorer.score(part.column(text_col).to_pylist())
-                yield part.append_column(pred_col, pa.array(pred, pa.string())).append_column(score_col, pa.array(score, pa.float64()))
+        try:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 500):
+                    part = batch.slice(i, 500)
+                    pred, score = scorer.score(part.column(text_col).to_pylist())
+                    yield part.append_column(pred_col, pa.array(pred, pa.string())).append_column(score_col, pa.array(score, pa.float64()))
+        finally:
+            scorer.forget()
+            given_back()
 
     return rows.mapInArrow(predicted, StructType([*rows.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())]))
 
