@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,27 +34,31 @@ class JobStatus(StatefulProcessor):
         self.state = handle.getValueState("status", "progress int, events long, last_event long, last_ms long, ended string, ended_at long, ended_event long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        progress, events, last_event, last_ms, ended, ended_at, ended_event = self.state.get() if self.state.exists() else (0, 0, -1, -1, None, -1, -1)
+        known = self.state.get()
+        progress, events, last_event, last_ms, ended, ended_at, ended_event = known or (0, 0, -1, -1, None, -1, -1)
+        timer = int(last_ms) + QUIET_MS if known and ended is None else None  # the only one that can be there
         for pdf in rows:
             if pdf.empty:
                 continue
-            ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
-            done = pdf["progress"].fillna(0).clip(0, MOST).astype(int).max()
-            progress, events = max(int(progress), int(done)), int(events) + len(pdf)
-            last_ms, last_event = max((int(last_ms), int(last_event)), max(zip(ms.tolist(), pdf["event_id"].tolist())))
-            for at, number, kind in zip(ms.tolist(), pdf["event_id"].tolist(), pdf["kind"].tolist()):
-                if kind in TERMINAL and (at, number) > (ended_at, ended_event):
-                    ended, ended_at, ended_event = TERMINAL[kind], at, number
+            ms, numbers = pdf["ts"].to_numpy().astype("datetime64[ms]").astype("int64"), pdf["event_id"].to_numpy()
+            done = np.clip(np.nan_to_num(pdf["progress"].to_numpy(float)), 0, MOST).astype(int).max()
+            progress, events, latest = max(int(progress), int(done)), int(events) + len(pdf), ms.max()
+            last_ms, last_event = max((int(last_ms), int(last_event)), (int(latest), int(numbers[ms == latest].max())))
+            for i, kind in enumerate(pdf["kind"].tolist()):
+                if kind in TERMINAL and (ms[i], numbers[i]) > (ended_at, ended_event):
+                    ended, ended_at, ended_event = TERMINAL[kind], int(ms[i]), int(numbers[i])
         self.state.update((int(progress), int(events), int(last_event), int(last_ms), ended, int(ended_at), int(ended_event)))
-        for timer in list(self.handle.listTimers()):
+        wanted = int(last_ms) + QUIET_MS if ended is None else None
+        if timer is not None and timer != wanted:
             self.handle.deleteTimer(timer)
-        if ended is None:
-            self.handle.registerTimer(int(last_ms) + QUIET_MS)
+        if wanted is not None:
+            self.handle.registerTimer(wanted)
         yield self._row(key, progress, events, last_event, last_ms, ended, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            progress, events, last_event, last_ms, ended, *_ = self.state.get()
+        known = self.state.get()
+        if known:
+            progress, events, last_event, last_ms, ended, *_ = known
             yield self._row(key, progress, events, last_event, last_ms, ended, ended is None)
 
     def _row(self, key, progress, events, last_event, last_ms, ended, silent) -> pd.DataFrame:
