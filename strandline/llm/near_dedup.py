@@ -41,6 +41,8 @@ CORE_SHARE = 0.7
 #: Candidates have an estimated similarity of the threshold less this: over three standard deviations.
 SLACK = 0.08
 WORDS_KEPT, ROUNDS = 150_000, 100
+#: Nodes that a task connects at once.
+OWN_NODES = 500_000
 #: Of so many members of a core, chosen by their hash, at least half have what is common in it.
 COMMON_OF = 128
 
@@ -135,7 +137,7 @@ def _tree_nodes(nodes: DataFrame, trees: int, second: float) -> tuple[DataFrame,
     leaves, cores, tables = [], [], []
     for level in range(DEPTH):
         rows = _branch(live, level, second)
-        several = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
+        several = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")  # written, so that the join can part a large key
         rows = written(rows.join(several, "key"), f"level{level}")
         erase(several)
         tables.append(rows)
@@ -158,7 +160,7 @@ def _once(groups: list[DataFrame], tables: list[DataFrame]) -> DataFrame:
     every = _union(groups)
     sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in range(2)]
     same = every.groupBy("key", "n").agg(*sums).groupBy("n", "sum0", "sum1").agg(F.min("key").alias("key"))
-    tables.append(written(every.join(same.select("key"), "key", "left_semi"), "leaves"))
+    tables.append(written(every.join(same.select("key"), "key"), "leaves"))  # a semi join would be one for each level
     return tables[-1]
 
 
@@ -334,25 +336,58 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the least node that can be reached) for each node with an edge (a, b), by alternating stars.
+    """node, comp (the least node that can be reached) for each node with an edge (a, b)."""
+    stars = _stars(edges)
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
-    A round makes two passes over the edges and as good as halves the longest path; each round is a written table.
+
+def _own_stars(batches):
+    """What the edges (a, b) of a task connect, as edges of each node with the least one; so many nodes at a time as fit."""
+    top: dict[int, int] = {}
+
+    def least(x: int) -> int:
+        while x in top:
+            top[x] = x = top.get(top[x], top[x])
+        return x
+
+    def stars():
+        return pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([least(x) for x in list(top)], pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            x, y = least(a), least(b)
+            if x != y:
+                top[max(x, y)] = min(x, y)
+        if len(top) > OWN_NODES:
+            yield stars()
+            top.clear()
+    yield stars()
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """u, v: each node with an edge (a, b) but the least of its component, and that least one, by alternating stars.
+
+    Each task first connects the edges that it reads. Then a round makes two passes over what is left and as good as halves the
+    longest path; each is a written table. The first pass of a round changes nothing once all smaller ends are the least of their
+    component as far as their edges tell; if no node has two of them either, that is the result.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    sums = lambda table: table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now = written(edges.select("a", "b").mapInArrow(_own_stars, "u long, v long"), "edges")
     mark = None
     for _ in range(ROUNDS):
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large, "large")  # as it is read twice
+        if mark is not None and sums(large) == mark and large.groupBy("u").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x != y").isEmpty():
+            erase(large)
+            return now
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("u", "m"))
+        to = lambda c: F.struct(F.col(c).alias("u"), F.col("m").alias("v"))
+        small = large.join(least, "u").select(F.explode(F.array(to("v"), to("u"))).alias("e")).select("e.u", "e.v").filter("u != v")
         before, now = now, written(small.distinct(), "edges")
         erase(before, large)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        mark = seen
+        mark = sums(now)
     raise RuntimeError(f"components have not settled in {ROUNDS} rounds")
 
 
@@ -385,7 +420,8 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     texts = source.alias("s").join(of.alias("o"), F.expr("s.doc_id <=> o.doc_id and s.h = o.h")).select("node", "text")
     texts = written(texts.dropDuplicates(["node"]), "texts")
     links = written(_confirm(first, texts, words, percent), "links")
-    comps = components(links)
+    stars = _stars(links)
+    comps = stars.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
     # What the forests have not connected: links between components. Alone, a node is its own component.
     known = written(needed.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "known")
@@ -407,7 +443,7 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     if close is not None:
         rest = rest.union(close)
     if not rest.isEmpty():
-        comps = components(links.union(rest))
+        comps = _stars(stars.toDF("a", "b").union(rest)).toDF("node", "comp")
     own = nodes.select("node", "content", "low").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = own.groupBy("comp").agg(F.min("low").alias("least"))
     named = written(own.join(least, "comp").select("content", F.col("least").alias("low")), "classes")
@@ -452,14 +488,12 @@ def _mains(inside: DataFrame) -> DataFrame:
 
 
 def _merged(cores: DataFrame) -> DataFrame:
-    """``cores`` (key, node) with those that have members in common as one, so that a member counts once and not for each tree."""
+    """``cores`` (key, node) under the least core that any of their members is in, so that a member of cores of the same documents counts
+    once and not for each tree. Members of a core stay together."""
     cores = cores.select("key", "node")
-    least = cores.groupBy("node").agg(F.min("key").alias("b"))
-    links = written(cores.join(least, "node").select(F.col("key").alias("a"), "b").filter("a != b").distinct(), "core-links")  # as few as cores
-    if links.isEmpty():
-        return cores.select("key", "node")
-    named = components(links).withColumnRenamed("node", "key")
-    return cores.join(named, "key", "left").select(F.coalesce("comp", "key").alias("key"), "node").distinct()
+    least = cores.groupBy("node").agg(F.min("key").alias("least"))
+    named = cores.join(least, "node").groupBy("key").agg(F.min("least").alias("least"))
+    return cores.join(named, "key").select(F.col("least").alias("key"), "node").distinct()
 
 
 def _by_rare_shingles(cores: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
