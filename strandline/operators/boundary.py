@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections import defaultdict
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,24 +116,30 @@ def cut_regions(elements: DataFrame, edges: DataFrame, region: list[str], target
     ties = real.join(lo, ["doc_id", "lo"]).join(hi, ["doc_id", *region, "hi"]).groupBy("doc_id", *region, F.col("lo").alias("pos")).agg(F.collect_list(F.struct("hi", "importance")).alias("ties"))
     slim = slim.join(ties, ["doc_id", *region, "pos"], "left")
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        pos, tokens = pdf["pos"].tolist(), pdf["n_tokens"].tolist()
+    def cut(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        pos, veto = rows.column("pos").to_pylist(), rows.column("vetoed").to_pylist()
         at = {p: k for k, p in enumerate(pos)}
-        ties = [[(at[t["hi"]], t["importance"]) for t in (x if x is not None else [])] for x in pdf["ties"]]
-        base, veto = pdf["base"].tolist(), pdf["vetoed"].tolist()
+        ties = [[(at[t["hi"]], t["importance"]) for t in x or []] for x in rows.column("ties").to_pylist()]
+        tokens, base = ([math.nan if x is None else x for x in rows.column(c).to_pylist()] for c in ("n_tokens", "base"))
         start, part, parts, over, n = 0, 0, [0] * len(pos), [False] * len(pos), len(pos)
+        rest = list(accumulate(reversed(tokens)))[::-1]
+        highest = list(accumulate((-math.inf if math.isnan(x) else x for x in reversed(base)), max))[::-1]  # of what is right of a place
+        falling = loss_weight >= 0 and deviation_weight > 0 and all(weight >= 0 for x in ties for _, weight in x)
         while start < n:
-            left, best, change, loss = sum(tokens[start:]), None, [0.0] * (n + 1), 0.0
+            left, best, change, loss = rest[start], None, defaultdict(float), 0.0
             end = n
             if left > most:
                 before = 0
                 for k in range(start, n):
                     if k > start:
-                        loss += change[k]
+                        loss += change.pop(k, 0.0)
                         value = base[k] - loss_weight * loss - deviation_weight * abs(before - target) / max(1, target)
                         if not veto[k] and round(loss, 6) < MAX_LOSS and (best is None or value > best[0] + 1e-12):
                             best = value, k
+                        # no place further on can be better, as what is left of it only grows
+                        if falling and best and before > target and highest[k] - deviation_weight * (before - target) / max(1, target) < best[0] - 1e-9:
+                            break
                     before += tokens[k]
                     for to, weight in ties[k]:
                         loss_at = k + 1
@@ -141,10 +151,10 @@ def cut_regions(elements: DataFrame, edges: DataFrame, region: list[str], target
                     end = best[1]
             parts[start:end] = [part] * (end - start)
             start, part = end, part + 1
-        return pdf.assign(part=parts, overflow=over)[["doc_id", *region, "pos", "part", "overflow"]]
+        return rows.select(["doc_id", *region, "pos"]).append_column("part", pa.array(parts, pa.int32())).append_column("overflow", pa.array(over, pa.bool_()))
 
     kinds = dict(elements.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *region, "pos")) + ", part int, overflow boolean"
-    done = slim.groupBy("doc_id", *region).applyInPandas(cut, schema)
+    done = slim.groupBy("doc_id", *region).applyInArrow(cut, schema)
     rows = elements.join(done, ["doc_id", *region, "pos"], "left")
     return rows.withColumns({"part": F.coalesce("part", F.lit(0)), "overflow": F.coalesce("overflow", F.lit(False))})
