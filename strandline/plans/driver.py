@@ -24,8 +24,9 @@ UNIT = ["doc_id", "first_pos", "rank", "content", "unit_type", "strategy", "reas
 
 def clean_elements(elements: DataFrame) -> DataFrame:
     """``elements`` (with OPTIONAL ones) with cleaned texts and cells, counted anew; code keeps its spacing. Those left without
-    text go, but tables and figures stay."""
-    rows = cleaning.clean(elements, verbatim=F.col("kind") == "code").drop("fixes")
+    text go, but tables and figures stay. They are stored before that filter: moved below the rules it would hold each rule twice or
+    more for each rule after it, which no driver's memory has room for."""
+    rows = stored(cleaning.clean(elements, verbatim=F.col("kind") == "code").drop("fixes"))
     text = F.coalesce("text", F.lit(""))
     rows = rows.withColumns({"text": text, "n_tokens": count_tokens(text), "grid": cleaning.clean_cells(F.col("grid")), "header_row": cleaning.clean_cells(F.array("header_row"))[0]})
     return rows.filter((F.trim("text") != "") | F.col("kind").isin("table", "figure"))
